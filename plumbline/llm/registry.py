@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.llm import exact_dedup, fingerprints, pii, sharding
+from plumbline.llm import exact_dedup, fingerprints, langid, pii, sharding
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
     "op6_pii": pii.op6_pii,
     "op8_fingerprints": fingerprints.op8_fingerprints,
+    "op9_langid": langid.op9_langid,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {"op10_exact_dedup": exact_dedup.ORACLE}
