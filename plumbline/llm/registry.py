@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe_codec, exact_dedup, fingerprints, langid, packing, pii, sharding, token_counts
+from plumbline.llm import bpe_codec, exact_dedup, fingerprints, langid, ngram_join, packing, pii, sharding, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_sharding": sharding.op3_sharding,
     "op4_packing": packing.op4_packing,
     "op5_bpe_codec": bpe_codec.op5_bpe_codec,
