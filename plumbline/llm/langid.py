@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.plans.scratch import ship, table
 
@@ -139,7 +141,7 @@ def directions(prototypes: np.ndarray) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, lang_pred and score: how far the best language's share leads, 0 to 1."""
+    """keep (any columns), lang_pred and score: the best cosine, from -1 to 1, as 0 to 1."""
     spark = docs.sparkSession
     ship(spark)
     names, prototypes = model
@@ -148,8 +150,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     def of(batches):
         space, (langs, unit) = Space(), shared.value
         for batch in batches:
-            null = batch["__text"].isna().to_numpy()
-            texts = [t if isinstance(t, str) else "" for t in batch["__text"]]
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            null = np.array([t is None for t in texts], bool)
+            texts = [t or "" for t in texts]
             best, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             for lo, hi in _blocks(texts) if langs else ():
                 v, lettered = space.vectors(texts[lo:hi])
@@ -157,11 +160,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
                 ok = lettered & ~null[lo:hi]
                 best[lo:hi][ok] = np.array(langs, object)[cosine.argmax(1)][ok]
                 score[lo:hi][ok] = np.clip((1 + cosine.max(1)) / 2, 0, 1)[ok]
-            yield pd.DataFrame({**{c: batch[c] for c in batch.columns if c != "__text"}, "lang_pred": best, "score": score})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(best.tolist(), pa.string()), pa.array(score)], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
     rows = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInPandas(of, f"{schema}, lang_pred string, score double")
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(of, schema)
 
 
 def held_out_split(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
