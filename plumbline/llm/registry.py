@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe_codec, exact_dedup, fingerprints, langid, ngram_join, packing, pii, sharding, token_counts
+from plumbline.llm import bpe_codec, exact_dedup, fingerprints, langid, lm_score, ngram_join, packing, pii, sharding, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_bpe_codec": bpe_codec.op5_bpe_codec,
     "op6_pii": pii.op6_pii,
+    "op7_lm_score": lm_score.op7_lm_score,
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_langid": langid.op9_langid,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
