@@ -10,8 +10,9 @@ and short documents), each give one hash of the document's sorted terms in it. T
 the likeness of two is the share of equal ones among those that are not empty on both sides. A text without any
 term in a subset is described by the hash of all its sorted distinct words instead.
 
-The edited text takes its tail from the next document in descending order of id. Who is next comes from a range exchange over
-ids alone: the next row within a partition, and the first row of the partition after it.
+The edited text takes its tail from the next document in descending order of id. Ids are cut into ``blocks`` runs at approximate
+quantiles; a run is sorted by one task, and the document after its last comes along as a guest, so that texts are shuffled
+once. With n documents a run has about n / blocks of them; raise ``blocks`` with the input.
 
 Defined results: a null text is the empty text; its fingerprint is that of no words. Repeated rows: a ``doc_id`` counts once,
 with its smallest text in the order of (characters, hash). A null ``doc_id`` is the last of all. An empty table gives no rows. One document
@@ -33,6 +34,8 @@ SUBSETS = sum(n for _, _, n in FAMILIES)
 EMPTY = "-" * 8
 #: Buckets of the lexicon's table.
 BUCKETS = 1 << 14
+#: Runs of neighbouring ids that a task takes whole, and how many bounds a coarse step passes.
+BLOCKS, STEP = 256, 32
 
 
 def words(text: Column) -> Column:
@@ -68,15 +71,16 @@ def fingerprint(text: Column, lexicon_table: Column) -> Column:
     def of(state):
         terms, all_ = state["terms"], state["all"]
         parts = []
-        for start, width, n in FAMILIES:
-            parts += [F.filter(terms, _within(start + k * width, width)) for k in range(n)]
+        for f, (start, width, n) in enumerate(FAMILIES):
+            parts += [F.filter(terms[f], _within(start + k * width, width)) for k in range(n)]
         hexed = F.transform(F.array(*parts), lambda p: F.when(F.size(p) > 0, F.lower(F.lpad(F.hex(F.xxhash64(p).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))).otherwise(F.lit(EMPTY)))
         code = F.array_join(hexed, "")
         return F.when(code == EMPTY * SUBSETS, F.concat(code, F.lower(F.lpad(F.hex(F.xxhash64(F.array_sort(all_))), 16, "0")))).otherwise(code)
 
     all_words = words(text)
-    once = F.transform(F.array(all_words), lambda a: F.struct(a.alias("all"), F.array_sort(F.filter(a, known)).alias("terms")))
-    return F.element_at(F.transform(once, of), 1)
+    once = F.transform(F.array(all_words), lambda a: F.struct(a.alias("all"), F.array_sort(F.filter(a, known)).alias("known")))
+    split = F.transform(once, lambda s: F.struct(s["all"].alias("all"), F.array(*[F.filter(s["known"], _within(lo, w * n)) for lo, w, n in FAMILIES]).alias("terms")))
+    return F.element_at(F.transform(split, of), 1)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -88,40 +92,42 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(used > 0, same / used).otherwise(F.when(a == b, F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
-def following(ids: DataFrame, scratch: Scratch) -> DataFrame:
-    """ids: doc_id (distinct) and more columns. Adds prev_id, whose next this is, and the columns of prev as a struct ``prev``."""
-    names = ids.columns
-    ranged = ids.repartitionByRange(F.col("doc_id").desc_nulls_last()).sortWithinPartitions(F.col("doc_id").desc_nulls_last()).withColumn("pid", F.spark_partition_id())
-    ranged = scratch.write(ranged, "ranged")  # the range bounds are sampled: what follows must see one outcome
-    row, order = F.struct(*names), F.col("doc_id").desc_nulls_last()
-    ends = ranged.groupBy("pid").agg(F.min_by(row, F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("last"))
-    chain = Window.orderBy("pid")  # one row for each partition
-    whole = Window.partitionBy()
-    ends = ends.withColumn("before", F.coalesce(F.lag("last").over(chain), F.max_by("last", "pid").over(whole))).select("pid", "before")
-    local = Window.partitionBy("pid").orderBy(order)
-    return ranged.withColumn("p", F.lag(row).over(local)).join(F.broadcast(ends), "pid").select(*names, F.coalesce("p", "before").alias("prev"))
+def _block(bounds: Column, coarse: Column) -> Column:
+    """How many bounds are at most doc_id: a coarse step over every ``STEP``-th bound, a fine one between two of them."""
+    first = F.size(F.filter(coarse, lambda b: b <= F.col("doc_id")))
+    first = F.when(first > 0, first - 1).otherwise(0) * STEP
+    return F.when(F.col("doc_id").isNull(), 0).otherwise(first + F.size(F.filter(F.slice(bounds, first + 1, F.lit(STEP)), lambda b: b <= F.col("doc_id"))))
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", blocks: int = BLOCKS) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "imatch")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     buckets = lexicon(rows, F.col("text")).select(F.to_json("table")).first()[0]  # no more than m / LOW words
     lex = F.from_json(F.lit(buckets), "array<array<bigint>>")
-    own = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("hash"), fingerprint(F.col("text"), lex).alias("fingerprint"))
-    own = own.groupBy("doc_id").agg(F.min(F.struct("n_chars", "hash", "fingerprint")).alias("s")).select("doc_id", "s.*")
-    own = scratch.write(own, "own")
-    chain = following(own.select("doc_id", "n_chars", "hash"), scratch).select("doc_id", "hash", "n_chars", "prev").alias("c")
-    joined = rows.withColumn("h", F.xxhash64("text")).alias("r").join(chain, F.col("r.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("r.h") == F.col("c.hash")))
-    joined = joined.select(F.col("r.doc_id").alias("doc_id"), "text", "c.n_chars", F.col("prev.doc_id").alias("prev_id"), F.expr("prev.n_chars div 3").alias("takes"))
-    tails = joined.select("prev_id", F.expr("substring(text, 1, cast(takes as int))").alias("tail"), F.col("doc_id").alias("next_id")).dropDuplicates(["prev_id"]).alias("t")
-    cut = joined.select("doc_id", "text", "n_chars").dropDuplicates(["doc_id"]).alias("j").join(tails, F.col("j.doc_id").eqNullSafe(F.col("t.prev_id")))
-    edited = cut.select("doc_id", "n_chars", "next_id", F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 3 as int))"), "tail").alias("edited"))
-    edited = edited.select("doc_id", "n_chars", "next_id", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited"), lex).alias("edited_fingerprint"))
-    mine, theirs = own.select("doc_id", "fingerprint").alias("o"), own.select("doc_id", F.col("fingerprint").alias("next_fingerprint")).alias("x")
-    out = edited.alias("e").join(mine, F.col("e.doc_id").eqNullSafe(F.col("o.doc_id"))).join(theirs, F.col("e.next_id").eqNullSafe(F.col("x.doc_id")))
-    return out.select(
-        F.col("e.doc_id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+    shares = [i / blocks for i in range(1, blocks)]
+    found = rows.agg(F.percentile_approx("doc_id", shares, 100 * blocks)).first()[0] or []  # no more than the blocks
+    found = sorted(set(found))
+    bounds, coarse = (F.from_json(F.lit(str(x)), "array<bigint>") for x in (found, found[::STEP]))
+    rows = rows.withColumn("block", _block(bounds, coarse))
+    # The document after a block's last is the first of the next lower block, or the first of all: it comes along as a guest.
+    tops = rows.groupBy("block").agg(F.max("doc_id").alias("top"))
+    down = Window.orderBy(F.desc("block"))  # one row for each block
+    tops = tops.select(F.col("top").alias("guest_id"), F.coalesce(F.lag("block").over(down), F.min("block").over(Window.partitionBy())).alias("host"))
+    tops = scratch.write(tops, "tops")
+    guests = rows.join(F.broadcast(tops), F.col("doc_id").eqNullSafe(F.col("guest_id"))).select("doc_id", "text", F.col("host").alias("block"), F.lit(True).alias("guest"))  # blocks rows
+    dealt = rows.select("doc_id", "text", "block", F.lit(False).alias("guest")).unionByName(guests)
+    dealt = dealt.select("*", F.length("text").alias("chars"), F.xxhash64("text").alias("hash"), fingerprint(F.col("text"), lex).alias("fingerprint"))
+    order = Window.partitionBy("block").orderBy("guest", F.col("doc_id").desc_nulls_last(), "chars", "hash")
+    again = F.lag("doc_id").over(order).eqNullSafe(F.col("doc_id")) & F.lag("guest").over(order).eqNullSafe(F.col("guest"))
+    once = dealt.withColumn("again", again & (F.row_number().over(order) > 1)).filter(~F.col("again"))
+    after = F.lead(F.struct("text", "fingerprint")).over(order)
+    pairs = once.withColumn("next", after).filter(~F.col("guest"))
+    takes = F.expr("chars div 3")
+    pairs = pairs.select("doc_id", F.col("chars").cast("long").alias("n_chars"), "fingerprint", F.col("next.fingerprint").alias("next_fingerprint"), F.concat(F.substring("text", F.lit(1), F.col("chars") - takes), F.substring("next.text", F.lit(1), takes)).alias("edited"))
+    pairs = pairs.select("*", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited"), lex).alias("edited_fingerprint"))
+    return pairs.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
 
