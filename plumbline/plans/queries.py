@@ -581,9 +581,9 @@ X, Y, Z = ("ix", "0.5::DOUBLE", "iy, iz"), ("iy", "0.25::DOUBLE", "ix, iz"), ("i
 CURL = f"cu AS (SELECT ix, iy, iz, {_grad('w', *Y)} - ({_grad('v', *Z)}) AS cx, {_grad('u', *Z)} - ({_grad('w', *X)}) AS cy, {_grad('v', *X)} - ({_grad('u', *Y)}) AS cz FROM vol)"
 
 
-@query("grid_curl", f"WITH {VOL}, {CURL} SELECT ix, iy, iz, round(cx, 5) AS cx, round(cy, 4) AS cy, round(cz, 4) AS cz FROM cu")
+@query("grid_curl", f"WITH {VOL}, {CURL} SELECT ix, iy, iz, round(cx, 8) AS cx, round(cy, 7) AS cy, round(cz, 7) AS cz FROM cu")
 def grid_curl(spark, d):
-    return fields.curl(_volume(spark, d), [], [0.5, 0.25, 2.0]).select("ix", "iy", "iz", r("cx", 5), r("cy", 4), r("cz", 4))
+    return fields.curl(_volume(spark, d), [], [0.5, 0.25, 2.0]).select("ix", "iy", "iz", r("cx", 8), r("cy", 7), r("cz", 7))
 
 
 DEV = "dv AS (SELECT ix, iy, iz, sqrt((cx - avg(cx) OVER ()) * (cx - avg(cx) OVER ()) + (cy - avg(cy) OVER ()) * (cy - avg(cy) OVER ()) + (cz - avg(cz) OVER ()) * (cz - avg(cz) OVER ())) AS deviation FROM cu)"
