@@ -9,6 +9,7 @@ or a bar, take the library's own pre-tokenizer (or the library, where white spac
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 
@@ -293,16 +294,22 @@ class Encoder:
             for e in self.tok.encode_batch_fast([chunks[i].decode("utf-8") for i in strange], add_special_tokens=False):
                 more.append(np.array(e.ids, np.int64))
         else:
-            for i in strange:
-                got: list[np.ndarray] = []
-                for piece in self._odd(chunks[i]):
+            pieces = [self._odd(chunks[i]) for i in strange]
+            short = [p for own in pieces for p in own if not isinstance(p, int) and len(p) <= LONG]
+            size = np.array([len(p) for p in short], np.int64)
+            flat, n = self.merge(self.first[np.concatenate(short)], size) if short else (np.zeros(0, np.int64), size)
+            ends, k = np.cumsum(n).tolist(), 0
+            for own in pieces:
+                got = []
+                for piece in own:
                     if isinstance(piece, int):
                         got.append(np.array([piece], np.int64))
                     elif len(piece) > LONG:
                         alphabet = byte_alphabet()
                         got.append(np.array([t.id for t in self.tok.model.tokenize("".join(alphabet[b] for b in piece))], np.int64))
                     else:
-                        got.append(self.merge(self.first[piece], np.array([len(piece)]))[0])
+                        got.append(flat[ends[k] - n[k] : ends[k]])
+                        k += 1
                 more.append(np.concatenate(got))
         counts[strange] = [len(m) for m in more]
         out = np.zeros(counts.sum(), np.int64)
@@ -344,3 +351,9 @@ class Encoder:
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that ids stand for; special ones included."""
         return self.text[ranges(self.text_at[ids], self.text_len[ids])].tobytes()
+
+
+@functools.lru_cache(maxsize=1)
+def shared_encoder(content: str) -> Encoder:
+    """The process's encoder of a tokenizer: workers run many tasks, and building one takes time and memory."""
+    return Encoder(content)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.automaton import Automaton, compile
-from plumbline.llm.bpe import LONG, Encoder
+from plumbline.llm.bpe import LONG, shared_encoder
 from plumbline.plans.scratch import ship, table
 
 SHARE, WORDS, BLOCK = 1 / (1 << 16), 1 << 16, 1 << 21
@@ -62,7 +62,7 @@ def frequent_chunks(docs: DataFrame, content, text: str = "text", share: float =
     """The lexicon's entries, from all texts; content: the broadcast tokenizer."""
 
     def count(batches):
-        encoder, total, tally = Encoder(content.value), 0, {}
+        encoder, total, tally = shared_encoder(content.value), 0, {}
         for batch in batches:
             for _, texts in byte_blocks(batch["text"]):
                 data, starts, lengths, _ = encoder.chunks(texts)
@@ -95,7 +95,7 @@ def codec(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str,
     with open(tokenizer, encoding="utf-8") as f:
         content = spark.sparkContext.broadcast(f.read())  # one tokenizer file
     words = frequent_chunks(docs, content, text)
-    encoder = Encoder(content.value)
+    encoder = shared_encoder(content.value)
     got, count = encoder.encode_chunks(words)
     at = np.cumsum(count) - count
     buffer = compile({w: got[a : a + n].tolist() for w, a, n in zip(words, at, count)})
@@ -103,7 +103,8 @@ def codec(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str,
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields]
 
     def run(batches):
-        encoder = Encoder(content.value, mapped(lexicon.value))
+        encoder = shared_encoder(content.value)
+        encoder.automaton = mapped(lexicon.value)
         for batch in batches:
             out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if ids else {})
             for _, texts in byte_blocks(batch["__text"]):

@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.bpe import Encoder
+from plumbline.llm.bpe import shared_encoder
 from plumbline.llm.bpe_codec import byte_blocks
 from plumbline.plans.scratch import Scratch, ship, table
 
@@ -55,18 +55,18 @@ def _steps(x: int, items: list[int], own: np.ndarray, lengths: np.ndarray, room:
     fits = np.flatnonzero((room >= n) & (np.arange(len(room)) != source))
     if len(fits):
         b = int(fits[room[fits].argmin()])
-        return n, b, -1, -1
+        if n + room[source] > room[b]:
+            return n, b, -1, -1
     slack = room[own]  # of each item's bin
-    best = (0, -1, -1, -1)
+    best, most = (0, -1, -1, -1), 0  # the step that raises the sum of squares most
     other = own != source
     for extra in [-1, *[i for i in items if i != x]]:
         put = n + (int(lengths[extra]) if extra >= 0 else 0)
         grow = put - lengths
-        ok = other & (grow > 0) & (grow <= slack)
-        if ok.any():
-            y = int(np.where(ok, grow, 0).argmax())
-            if grow[y] > best[0]:
-                best = (int(grow[y]), int(own[y]), y, extra)
+        rise = np.where(other & (grow > 0) & (grow <= slack), grow * (grow + room[source] - slack), 0)
+        y = int(rise.argmax())
+        if rise[y] > most:
+            most, best = int(rise[y]), (int(grow[y]), int(own[y]), y, extra)
     return best
 
 
@@ -74,7 +74,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
     """Moves and exchanges from emptier bins into fuller ones, each raising the sum of squared fills, until bins empty.
 
     Sources are the underfull bins from the emptiest on; an emptied bin goes and the search starts over. It ends at the lower
-    bound on bins, or when no source has a step left. The sum of squares only grows, so it ends.
+    bound on bins, or when a whole pass finds no step. The sum of squares only grows, so it ends.
     """
     least = -(-int(lengths.sum()) // capacity)
     bins = [list(b) for b in bins]
@@ -84,7 +84,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
     room = capacity - np.bincount(own, lengths, len(bins)).astype(np.int64)
     live = len(bins)
     while live > least:
-        emptied = False
+        emptied = changed = False
         for source in np.argsort(-room, kind="stable").tolist():
             if not bins[source] or not room[source]:
                 continue
@@ -92,11 +92,12 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
                 item, step = -1, (0, -1, -1, -1)
                 for x in sorted(bins[source], key=lambda i: -lengths[i]):
                     step = _steps(x, bins[source], own, lengths, room, source)
-                    if step[0] and step[0] + room[source] - room[step[1]] > 0:
+                    if step[0]:
                         item = x
                         break
                 if item < 0:
                     break
+                changed = True
                 gain, b, out, extra = step
                 for i in [item] + ([extra] if extra >= 0 else []):
                     bins[source].remove(i)
@@ -112,7 +113,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
                 live, emptied = live - 1, True
                 room[source] = -1  # gone: nothing fits
                 break
-        if not emptied:
+        if not (emptied or changed):
             break
     return [b for b in bins if b]
 
@@ -136,7 +137,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, closing: int =
         content = spark.sparkContext.broadcast(f.read())  # one tokenizer file
 
     def run(batches):
-        encoder = Encoder(content.value)
+        encoder = shared_encoder(content.value)
         for batch in batches:
             for first, texts in byte_blocks(batch["text"]):
                 flat, counts = encoder.encode(texts)
