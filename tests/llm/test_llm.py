@@ -330,7 +330,7 @@ def test_attention_is_causal_scores_once_and_sums_to_one():
     begin = np.cumsum(counts) - counts
     for t, (b, n) in enumerate(zip(begin, counts)):
         assert y[owner == t][y[owner == t] >= 0].tolist() == [*ids[b : b + n], 0]
-    p, bias = attention.init(), rng.normal(size=(attention.CLASSES, attention.CLASSES)).astype(np.float32)
+    p, bias = attention.init(), rng.random((attention.CLASSES, attention.CLASSES)).astype(np.float32)
     z, _ = attention.forward(p, x, before, bias, 0)
     later = x.copy()
     later[:, 20:] = 5
@@ -348,7 +348,7 @@ def test_attention_gradient():
     rng = np.random.default_rng(0)
     x, before, y = (rng.integers(0, attention.CLASSES, (3, attention.WINDOW)) for _ in range(3))
     p = {k: v.astype(float) for k, v in attention.init().items()}
-    bias = rng.normal(size=(attention.CLASSES,) * 2)
+    bias = rng.random((attention.CLASSES,) * 2)
     g = attention.gradient(p, x, before, y, bias)[1]
     for name in p:
         i = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
