@@ -4,14 +4,16 @@
 2. All sets follow one global order: rare shingles first by the sketch, ties by hash. An order decides only how much work there is, never the
    result. Two similar sets share a shingle within their first (1 - 0.75) * n + 1 in that order. These prefixes meet by shingle, one blob for
    each task and bucket of shingles; a set that occurs often in a task goes there once.
-3. Round one links each set to one other that it shares most prefix shingles with; links that hold form components.
-4. Round two takes every pair of a shingle's sets that lie in different components, if sizes, places in the order and parity bitmaps leave
-   similarity possible (all three are bounds: no similar pair is lost). Pairs within a component need no look: their link is known to join nothing new.
+3. ``ROUNDS`` rounds link sets to heads: of a shingle's sets one is the head, by a hash that changes with the round; each other set of another
+   component tries the head that it shares most prefix shingles with. Links that hold merge components.
+4. A last round takes every pair of a shingle's sets that still lie in different components. Pairs within a component need no look:
+   their link would join nothing new. All rounds pass over pairs whose sizes, places in the order or parity bitmaps rule similarity out
+   (three bounds: no similar pair is lost), before a pair is emitted.
 5. A round's pairs are verified exactly: a set's candidates form a trie in the global order, which is traversed with the set, sharing
    partial overlaps and pruning subtrees by remaining lengths (``prefix_trie``). Candidates of one set are split into chunks of ``CHUNK``.
 
-The result is one row a document with its component; no pair of copies is ever listed. Large groups of near copies fall into one component in round
-one, so round two doesn't square them. Sets that nothing is similar to never travel whole.
+The result is one row a document with its component; no pair of copies is ever listed. Large groups of near copies fall into few components in the rounds
+of heads, which try as many pairs as there are sets, so the last round doesn't square them. Sets that nothing is similar to never travel whole.
 
 Growth: what is broadcast has a fixed size: the sketch (``SKETCH`` counters of a byte) and a filter of ``FILTER`` bits, which lets sets travel that are in
 a candidate pair; both only decide how much is moved. Buckets grow in number with the input.
@@ -38,7 +40,7 @@ from plumbline.llm.prefix_trie import DENOMINATOR, NUMERATOR, Trie, needed
 from plumbline.llm.shingles import BITS, shingle_sets, set_id
 from plumbline.plans.scratch import Scratch, ship, table
 
-SKETCH, PART, FILTER, MAP_WORDS, CHUNK, BUCKET = 1 << 22, 1 << 16, 1 << 23, 16, 256, 300_000
+SKETCH, PART, FILTER, MAP_WORDS, CHUNK, BUCKET, ROUNDS = 1 << 22, 1 << 16, 1 << 23, 8, 256, 300_000, 3
 ENTRY = np.dtype([("key", "<u8"), ("sid", "<i8"), ("size", "<u4"), ("place", "<u4")])
 
 
@@ -91,10 +93,10 @@ def ordered(shingles: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.sort(classes[(shingles >> np.uint64(BITS - 22)).astype(np.int64)].astype(np.uint64) << np.uint64(BITS) | shingles)
 
 
-def parity(shingles: np.ndarray) -> list[int]:
+def parity(shingles: np.ndarray) -> bytes:
     """Bit b is set if an odd number of shingles fall on it: two sets differ in at least as many items as their maps in bits."""
     bits = np.bincount((shingles & np.uint64(MAP_WORDS * 64 - 1)).astype(np.int64), minlength=MAP_WORDS * 64) & 1
-    return np.packbits(bits.astype(np.uint8)).view(">i8").astype(np.int64).tolist()
+    return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
 def prefix_length(n: int) -> int:
@@ -139,60 +141,85 @@ def possible(n, i, m, j):
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The entries of a bucket's shingles that more than one set has, each with the shingle's head and whether it may be similar to it."""
+    """The entries of a bucket's shingles that more than one set has."""
     e = np.concatenate([np.frombuffer(d, ENTRY) for d in pdf["data"]])
     e = e[np.lexsort((e["sid"], e["key"]))]
     e = e[np.r_[True, (e["key"][1:] != e["key"][:-1]) | (e["sid"][1:] != e["sid"][:-1])]]
     first = np.flatnonzero(np.r_[True, e["key"][1:] != e["key"][:-1]])
     size = np.diff(np.r_[first, len(e)])
-    head = np.repeat(first, size)
-    many = np.repeat(size, size) > 1
-    e, h = e[many], e[head[many]]
-    n, m = e["size"].astype(np.int64), h["size"].astype(np.int64)
-    ok = (e["sid"] != h["sid"]) & possible(n, e["place"].astype(np.int64), m, h["place"].astype(np.int64))
-    return pd.DataFrame({"key": e["key"].astype(np.int64), "sid": e["sid"], "size": n, "place": e["place"].astype(np.int64), "head": h["sid"], "ok": ok})
+    e = e[np.repeat(size, size) > 1]
+    return pd.DataFrame({"key": e["key"].astype(np.int64), "sid": e["sid"], "size": e["size"].astype(np.int64), "place": e["place"].astype(np.int64)})
 
 
-def _cross(batches):
-    """Pairs of different components that share a shingle; rows come sorted by shingle. A shingle's sets go against each other in blocks."""
-
-    def pairs(g):
-        sid, size, place, comp = g
-        for lo in range(0, len(sid), 512):
-            a = slice(lo, lo + 512)
-            for at in range(lo, len(sid), 4096):
-                b = slice(at, at + 4096)
-                ok = (comp[a, None] != comp[None, b]) & possible(size[a, None], place[a, None], size[None, b], place[None, b]) & (sid[a, None] < sid[None, b])
-                x, y = np.nonzero(ok)
-                if len(x):
-                    yield sid[a][x], sid[b][y]
-
-    def drain(rows):
+def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+
+
+def _groups(batches):
+    """Of rows sorted by shingle, the arrays (sid, size, place, comp, map) of each shingle's sets, by sid; of more than one component only."""
+    held = None
+
+    def cut(rows):
         keys = rows["key"].to_numpy()
+        maps = np.frombuffer(b"".join(rows["map"]), np.uint64).reshape(-1, MAP_WORDS)
         cols = [rows[c].to_numpy() for c in ("sid", "size", "place", "comp")]
         edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-        xs, ys = [], []
         for lo, hi in zip(edges, edges[1:]):
-            comp = cols[3][lo:hi]
-            if hi - lo > 1 and (comp != comp[0]).any():
-                order = np.argsort(cols[0][lo:hi])
-                for x, y in pairs([c[lo:hi][order] for c in cols]):
-                    xs.append(x)
-                    ys.append(y)
-                    if sum(map(len, xs)) > 200_000:
-                        yield pd.DataFrame({"x": np.concatenate(xs), "y": np.concatenate(ys)}).drop_duplicates()
-                        xs, ys = [], []
-        if xs:
-            yield pd.DataFrame({"x": np.concatenate(xs), "y": np.concatenate(ys)}).drop_duplicates()
+            if hi - lo > 1 and (cols[3][lo:hi] != cols[3][lo]).any():
+                order = lo + np.argsort(cols[0][lo:hi])
+                yield (*[c[order] for c in cols], maps[order])
 
-    held = None
     for batch in batches:
         rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        last = rows["key"].iloc[-1] if len(rows) else None
-        held = rows[rows["key"] == last]
-        yield from drain(rows[rows["key"] != last])
+        if not len(rows):
+            continue
+        last = rows["key"] == rows["key"].iloc[-1]
+        held = rows[last]
+        if not last.all():
+            yield from cut(rows[~last])
     if held is not None and len(held):
-        yield from drain(held)
+        yield from cut(held)
+
+
+def _heads(round_: int):
+    """Pairs of a shingle's head and its other sets, where components differ and similarity is possible: at most one a set and shingle."""
+
+    def run(batches):
+        xs, ys = [], []
+        for sid, size, place, comp, maps in _groups(batches):
+            h = int(np.argmin((sid.astype(np.uint64) + np.uint64(round_)) * np.uint64(0x9E3779B97F4A7C15) * np.uint64(2 * round_ + 1)))
+            ok = (comp != comp[h]) & possible(size, place, size[h], place[h])
+            ok &= _bits(maps, maps[h]) <= size + size[h] - 2 * needed(size, size[h])
+            xs.append(np.full(int(ok.sum()), sid[h]))
+            ys.append(sid[ok])
+            if len(xs) >= 20_000:
+                yield pd.DataFrame({"x": np.concatenate(xs), "y": np.concatenate(ys)})
+                xs, ys = [], []
+        if xs:
+            yield pd.DataFrame({"x": np.concatenate(xs), "y": np.concatenate(ys)})
+
+    return run
+
+
+def _cross(batches):
+    """All pairs of a shingle's sets that lie in different components and may be similar; sets go against each other in blocks."""
+    xs, ys, n = [], [], 0
+    for sid, size, place, comp, maps in _groups(batches):
+        for lo in range(0, len(sid), 256):
+            a = slice(lo, lo + 256)
+            for at in range(lo, len(sid), 2048):
+                b = slice(at, at + 2048)
+                x, y = np.nonzero((comp[a, None] != comp[None, b]) & (sid[a, None] < sid[None, b]) & possible(size[a, None], place[a, None], size[None, b], place[None, b]))
+                x, y = x + lo, y + at
+                ok = _bits(maps[x], maps[y]) <= size[x] + size[y] - 2 * needed(size[x], size[y])
+                xs.append(sid[x[ok]])
+                ys.append(sid[y[ok]])
+                n += int(ok.sum())
+        if n > 200_000 or len(xs) > 20_000:
+            yield pd.DataFrame({"x": np.concatenate(xs), "y": np.concatenate(ys)}).drop_duplicates()
+            xs, ys, n = [], [], 0
+    if xs:
+        yield pd.DataFrame({"x": np.concatenate(xs), "y": np.concatenate(ys)}).drop_duplicates()
 
 
 def _verify(batches):
@@ -257,14 +284,6 @@ def _links(pairs: DataFrame, rows: DataFrame, shared, scratch: Scratch, name: st
     return scratch.write(rows.mapInPandas(_verify, "a long, b long, shared long"), f"{name}_links")
 
 
-def _near_maps(pairs: DataFrame, maps: DataFrame) -> DataFrame:
-    """The pairs whose bitmaps differ in no more bits than similar sets differ in items."""
-    a, b = maps.select(F.col("sid").alias("x"), F.col("size").alias("n"), F.col("map").alias("p")), maps.select(F.col("sid").alias("y"), F.col("size").alias("m"), F.col("map").alias("q"))
-    differ = F.aggregate(F.zip_with("p", "q", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
-    most = F.expr(f"n + m - 2 * (({NUMERATOR} * (n + m) + {DENOMINATOR + NUMERATOR - 1}) div {DENOMINATOR + NUMERATOR})")
-    return pairs.join(a, "x").join(b, "y").filter(differ <= most).select("x", "y")
-
-
 def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
@@ -277,34 +296,38 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(64, int(total * (DENOMINATOR - NUMERATOR) / DENOMINATOR) // BUCKET)
 
-    prefix = rows.select("text").mapInPandas(_prefix_rows(classes, buckets), "kind int, bucket long, sid long, size long, map array<long>, data binary")
+    prefix = rows.select("text").mapInPandas(_prefix_rows(classes, buckets), "kind int, bucket long, sid long, size long, map binary, data binary")
     prefix = prefix.withColumn("part", F.when(F.col("kind") == 0, F.col("bucket")).otherwise(-1 - F.pmod("sid", F.lit(buckets))))
 
     def reduce(key, pdf):
-        blank = {"key": None, "place": None, "head": None, "ok": None}
         if key[0] < 0:
-            one = pdf.drop_duplicates("sid")
-            out = pd.DataFrame({"sid": one["sid"], "size": one["size"], "map": one["map"]}).assign(**blank)
+            return pdf.drop_duplicates("sid")[["sid", "size", "map"]].assign(key=None, place=None)[["key", "sid", "size", "place", "map"]]
+        return _meet(pdf).assign(map=None)
+
+    met = scratch.write(prefix.groupBy("part").applyInPandas(reduce, "key long, sid long, size long, place long, map binary"), "met")
+    maps, live = met.filter("key is null").select("sid", "map"), met.filter("key is not null").select("key", "sid", "size", "place")
+    links = roots = None
+    for step in range(ROUNDS + 1):
+        if roots is None:
+            live = live.withColumn("comp", F.col("sid"))
+        else:  # what is left: shingles whose sets lie in different components
+            named = live.drop("comp").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "size", "place", F.coalesce("root", "sid").alias("comp"))
+            apart = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+            live = scratch.write(named.join(apart, "key", "left_semi"), f"live{step}")
+        asked = live.join(maps, "sid").repartition("key").sortWithinPartitions("key")
+        if step < ROUNDS:
+            pairs = asked.mapInPandas(_heads(step), "x long, y long").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+            pairs = pairs.groupBy("y").agg(F.max_by("x", F.struct("n", "x")).alias("x")).select("x", "y")
         else:
-            out = _meet(pdf).assign(map=None)
-        return out[["key", "sid", "size", "place", "head", "ok", "map"]]
-
-    met = scratch.write(prefix.groupBy("part").applyInPandas(reduce, "key long, sid long, size long, place long, head long, ok boolean, map array<long>"), "met")
-    maps, entries = met.filter("key is null").select("sid", "size", "map"), met.filter("key is not null").drop("map")
-
-    # Round one: each set and the head that it shares most prefix shingles with.
-    tried = entries.filter("ok").groupBy("sid", "head").agg(F.count(F.lit(1)).alias("n")).groupBy("sid").agg(F.max_by("head", F.struct("n", "head")).alias("head"))
-    tried = scratch.write(_near_maps(tried.select(F.col("head").alias("x"), F.col("sid").alias("y")), maps), "tried")
-    links = _links(tried, rows, classes, scratch, "one")
-    roots = scratch.write(components(links.select("a", "b"), scratch, "first"), "roots")
-
-    # Round two: what shares a shingle across components.
-    known = entries.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "size", "place", F.coalesce("root", "sid").alias("comp"))
-    cross = known.repartition("key").sortWithinPartitions("key").mapInPandas(_cross, "x long, y long").distinct()
-    cross = scratch.write(_near_maps(cross, maps).join(tried.select("x", "y"), ["x", "y"], "left_anti"), "cross")
-    more = _links(cross, rows, classes, scratch, "two")
-    every = links.select("a", "b").unionByName(more.select("a", "b"))
-    roots = scratch.write(components(every, scratch, "all"), "final_roots")
+            pairs = asked.mapInPandas(_cross, "x long, y long").distinct()
+        pairs = scratch.write(pairs, f"pairs{step}")
+        found = None if pairs.isEmpty() else _links(pairs, rows, classes, scratch, f"round{step}").select("a", "b")
+        if found is None or found.isEmpty():
+            continue
+        links = found if links is None else links.unionByName(found)
+        roots = scratch.write(components(links, scratch, f"stars{step}"), f"roots{step}")
+    if roots is None:
+        roots = spark.createDataFrame([], "node long, root long")
 
     named = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "sid")).alias("root"))
     least = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
