@@ -14,18 +14,18 @@ from pyspark.sql.window import Window
 
 
 
-def _n(condition: Column) -> Column:
-    return F.sum(F.when(condition, 1).otherwise(0)).cast("long")
+def _n(condition: Column, weight: str | None = None) -> Column:
+    return F.coalesce(F.sum(F.when(condition, F.col(weight) if weight else 1).otherwise(0)), F.lit(0)).cast("long")
 
 
 def _ratio(a: Column, b: Column, empty=0.0) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(empty).cast("double"))
 
 
-def confusion(df: DataFrame, keys: Sequence[str], label: str = "y", prediction: str = "p") -> DataFrame:
-    """Counts per group, in one partially aggregated pass."""
+def confusion(df: DataFrame, keys: Sequence[str], label: str = "y", prediction: str = "p", weight: str | None = None) -> DataFrame:
+    """Counts per group, in one partially aggregated pass; weight: how many rows a row stands for."""
     y, p = F.col(label), F.col(prediction)
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), _n(y).alias("positives"), _n(y & p).alias("tp"), _n(~y & p).alias("fp"), _n(~y & ~p).alias("tn"), _n(y & ~p).alias("fn"))
+    return df.groupBy(*keys).agg(_n(F.lit(True), weight).alias("n"), _n(y, weight).alias("positives"), _n(y & p, weight).alias("tp"), _n(~y & p, weight).alias("fp"), _n(~y & ~p, weight).alias("tn"), _n(y & ~p, weight).alias("fn"))
 
 
 def decision_metrics(counts: DataFrame) -> DataFrame:
@@ -39,13 +39,13 @@ def decision_metrics(counts: DataFrame) -> DataFrame:
     )
 
 
-def ranking(df: DataFrame, keys: Sequence[str], label: str = "y", score: str = "s") -> DataFrame:
+def ranking(df: DataFrame, keys: Sequence[str], label: str = "y", score: str = "s", weight: str | None = None) -> DataFrame:
     """average_precision and auroc per group, from one table of distinct scores.
 
     The first aggregation is by score, so the windows see as many rows as there are distinct scores in a group, and never raw rows.
     """
     y = F.col(label)
-    steps = df.groupBy(*keys, score).agg(_n(y).alias("pos"), _n(~y).alias("neg"))
+    steps = df.groupBy(*keys, score).agg(_n(y, weight).alias("pos"), _n(~y, weight).alias("neg"))
     down = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     seen = steps.select(*keys, "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("p"), F.sum("neg").over(whole).alias("q"))
@@ -56,8 +56,10 @@ def ranking(df: DataFrame, keys: Sequence[str], label: str = "y", score: str = "
 
 
 def metric_rows(df: DataFrame, keys: Sequence[str], label: str = "y", prediction: str = "p", score: str = "s") -> DataFrame:
-    """All metrics per group."""
-    return decision_metrics(confusion(df, keys, label, prediction)).join(ranking(df, keys, label, score), list(keys)) if keys else decision_metrics(confusion(df, keys, label, prediction)).crossJoin(ranking(df, keys, label, score))
+    """All metrics per group. Rows are first counted by group, score, label and decision; both halves read that one exchange, so df runs once."""
+    base = df.groupBy(*keys, score, label, prediction).agg(F.count(F.lit(1)).alias("__c"))
+    counts, ranked = decision_metrics(confusion(base, keys, label, prediction, "__c")), ranking(base, keys, label, score, "__c")
+    return counts.join(ranked, list(keys) if keys else F.lit(True))
 
 
 def with_coverage(rows: DataFrame, assigned: DataFrame, keys: Sequence[str]) -> DataFrame:
