@@ -322,6 +322,29 @@ def test_lm_base_and_split(docs, empty):
     assert lm_score.lm_scores(empty, BYTE).count() == 0
 
 
+def test_lm_training_windows_tile_every_text(spark, docs, tmp_path):
+    from types import SimpleNamespace
+
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    with open(BYTE, encoding="utf-8") as f:
+        content = SimpleNamespace(value=f.read())
+    encoder = bpe.Encoder(content.value)
+    model = SimpleNamespace(value=SimpleNamespace(class_of=np.arange(60000) % 100, closing=101))
+    df = docs.select("doc_id", "text", (F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 10 == 0).alias("held_out"))
+    windows = lm_score.training_windows(df, content, model, Scratch(spark, "tile"))
+    expected, pairs = collections.Counter(), collections.Counter()
+    for i, t, *_ in ROWS:
+        if not held(i):
+            words = re.findall(rb"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode())
+            seq = [101, 101, *(lm_score.word_ids(encoder, words)[0] % 100).tolist(), 101]
+            for k, lo in enumerate(range(0, len(seq) - 2, attention.WINDOW)):
+                expected[i, k, bytes(seq[lo : lo + attention.WINDOW + 2])] += 1
+            pairs.update(zip(seq[1:], seq[2:]))
+    assert collections.Counter((r.doc_id, r.nth, bytes(r.run)) for r in windows.collect()) == expected
+    joint = lm_score.count_pairs(windows)
+    assert {(a, b): int(joint[a, b]) for a, b in zip(*np.nonzero(joint))} == pairs
+
+
 def test_attention_is_causal_scores_once_and_sums_to_one():
     rng = np.random.default_rng(0)
     counts = np.array([0, 1, 30, 31, 32, 100, 57])
