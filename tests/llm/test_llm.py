@@ -367,6 +367,13 @@ def test_attention_is_causal_scores_once_and_sums_to_one():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_later_windows_score_after_half_a_window():
+    counts = np.array([100, 33, 500])
+    _, _, y, owner = attention.cut(np.ones(counts.sum(), np.int64), counts, 0)
+    later = np.r_[False, owner[1:] == owner[:-1]]
+    assert later.sum() > 10 and (y[later][:, : attention.WINDOW // 2] == -1).all() and (y[later][:, attention.WINDOW // 2] >= 0).all()
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     x, before, y = (rng.integers(0, attention.CLASSES, (3, attention.WINDOW)) for _ in range(3))
