@@ -4,23 +4,22 @@
 2. All sets follow one global order: rare shingles first by the sketch, ties by hash. An order decides only how much work there is, never the
    result. Two similar sets share a shingle within their first (1 - 0.75) * n + 1 in that order. These prefixes meet by shingle, one blob for
    each task and bucket of shingles; a set that occurs often in a task goes there once.
-3. ``ROUNDS`` rounds link sets to heads: of a shingle's sets one is the head, by a hash that changes with the round; each other set of another
-   component tries the head that it shares most prefix shingles with. Links that hold merge components.
-4. A last round takes every pair of a shingle's sets that still lie in different components. Pairs within a component need no look:
-   their link would join nothing new. All rounds pass over pairs whose sizes, places in the order or parity bitmaps rule similarity out
-   (three bounds: no similar pair is lost), before a pair is emitted.
-5. A round's pairs are verified exactly: a set's candidates form a trie in the global order, which is traversed with the set, sharing
+3. Every pair of a shingle's sets is a candidate, unless sizes, places in the order or parity bitmaps rule similarity out (three bounds: no
+   similar pair is lost), before it is emitted.
+4. Candidates are verified exactly: a set's candidates form a trie in the global order, which is traversed with the set, sharing
    partial overlaps and pruning subtrees by remaining lengths (``prefix_trie``). Candidates of one set are split into chunks of ``CHUNK``.
+5. The links that hold, each pair of different sets once, are the join. Degrees and components follow from them.
 
-The result is one row a document with its component; no pair of copies is ever listed. Large groups of near copies fall into few components in the rounds
-of heads, which try as many pairs as there are sets, so the last round doesn't square them. Sets that nothing is similar to never travel whole.
+``near_links`` gives the links and which set each document has. ``near_components`` gives a row a document, with its number of links (other sets that its own is
+similar to; equal sets count once) and its component. A group of n near copies of different texts has up to n * (n - 1) / 2 links, all of them
+verified and written: that is the size of the result. Sets that nothing is similar to never travel whole.
 
 Growth: what is broadcast has a fixed size: the sketch (``SKETCH`` counters of a byte) and a filter of ``FILTER`` bits, which lets sets travel that are in
 a candidate pair; both only decide how much is moved. Buckets grow in number with the input.
 
 Sets are named by 64 bits: among n different sets two share a name with a chance of n * n / 2**65.
 
-Defined results: null and empty texts and texts of white space have no shingles and link with nothing, their component is their own ``doc_id``. Fewer
+Defined results: null and empty texts and texts of white space have no shingles, link with nothing and have 0 links, their component is their own ``doc_id``. Fewer
 than five words are one shingle. Repeated rows are equal sets. Rows with a null ``doc_id`` count in no component's smallest id; one whose component
 holds no other id gets null. An empty table gives no rows. Extra columns are ignored.
 """
@@ -40,7 +39,7 @@ from plumbline.llm.prefix_trie import DENOMINATOR, NUMERATOR, Trie, needed
 from plumbline.llm.shingles import BITS, shingle_sets, set_id
 from plumbline.plans.scratch import Scratch, ship, table
 
-SKETCH, PART, FILTER, MAP_WORDS, CHUNK, BUCKET, ROUNDS = 1 << 22, 1 << 16, 1 << 23, 8, 256, 300_000, 3
+SKETCH, PART, FILTER, MAP_WORDS, CHUNK, BUCKET = 1 << 22, 1 << 16, 1 << 23, 8, 256, 300_000
 ENTRY = np.dtype([("key", "<u8"), ("sid", "<i8"), ("size", "<u4"), ("place", "<u4")])
 
 
@@ -156,16 +155,16 @@ def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _groups(batches):
-    """Of rows sorted by shingle, the arrays (sid, size, place, comp, map) of each shingle's sets, by sid; of more than one component only."""
+    """Of rows sorted by shingle, the arrays (sid, size, place, map) of each shingle's sets, by sid."""
     held = None
 
     def cut(rows):
         keys = rows["key"].to_numpy()
         maps = np.frombuffer(b"".join(rows["map"]), np.uint64).reshape(-1, MAP_WORDS)
-        cols = [rows[c].to_numpy() for c in ("sid", "size", "place", "comp")]
+        cols = [rows[c].to_numpy() for c in ("sid", "size", "place")]
         edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
         for lo, hi in zip(edges, edges[1:]):
-            if hi - lo > 1 and (cols[3][lo:hi] != cols[3][lo]).any():
+            if hi - lo > 1:
                 order = lo + np.argsort(cols[0][lo:hi])
                 yield (*[c[order] for c in cols], maps[order])
 
@@ -181,35 +180,15 @@ def _groups(batches):
         yield from cut(held)
 
 
-def _heads(round_: int):
-    """Pairs of a shingle's head and its other sets, where components differ and similarity is possible: at most one a set and shingle."""
-
-    def run(batches):
-        xs, ys = [], []
-        for sid, size, place, comp, maps in _groups(batches):
-            h = int(np.argmin((sid.astype(np.uint64) + np.uint64(round_)) * np.uint64(0x9E3779B97F4A7C15) * np.uint64(2 * round_ + 1)))
-            ok = (comp != comp[h]) & possible(size, place, size[h], place[h])
-            ok &= _bits(maps, maps[h]) <= size + size[h] - 2 * needed(size, size[h])
-            xs.append(np.full(int(ok.sum()), sid[h]))
-            ys.append(sid[ok])
-            if len(xs) >= 20_000:
-                yield pd.DataFrame({"x": np.concatenate(xs), "y": np.concatenate(ys)})
-                xs, ys = [], []
-        if xs:
-            yield pd.DataFrame({"x": np.concatenate(xs), "y": np.concatenate(ys)})
-
-    return run
-
-
 def _cross(batches):
-    """All pairs of a shingle's sets that lie in different components and may be similar; sets go against each other in blocks."""
+    """All pairs of a shingle's sets that may be similar; sets go against each other in blocks."""
     xs, ys, n = [], [], 0
-    for sid, size, place, comp, maps in _groups(batches):
+    for sid, size, place, maps in _groups(batches):
         for lo in range(0, len(sid), 256):
             a = slice(lo, lo + 256)
             for at in range(lo, len(sid), 2048):
                 b = slice(at, at + 2048)
-                x, y = np.nonzero((comp[a, None] != comp[None, b]) & (sid[a, None] < sid[None, b]) & possible(size[a, None], place[a, None], size[None, b], place[None, b]))
+                x, y = np.nonzero((sid[a, None] < sid[None, b]) & possible(size[a, None], place[a, None], size[None, b], place[None, b]))
                 x, y = x + lo, y + at
                 ok = _bits(maps[x], maps[y]) <= size[x] + size[y] - 2 * needed(size[x], size[y])
                 xs.append(sid[x[ok]])
@@ -255,7 +234,7 @@ def _filter_words(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _links(pairs: DataFrame, rows: DataFrame, shared, scratch: Scratch, name: str) -> DataFrame:
+def _links(pairs: DataFrame, rows: DataFrame, shared, scratch: Scratch) -> DataFrame:
     """The pairs (x, y) that are similar, verified on whole sets."""
     spark = pairs.sparkSession
     ids = pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid"))).distinct()
@@ -274,21 +253,20 @@ def _links(pairs: DataFrame, rows: DataFrame, shared, scratch: Scratch, name: st
                     yield pd.DataFrame(out, columns=["sid", "data"])
 
     found = rows.mapInPandas(sets, "sid long, data binary").join(ids, "sid", "left_semi").groupBy("sid").agg(F.min("data").alias("data"))
-    found = scratch.write(found, f"{name}_sets")
+    found = scratch.write(found, "sets")
     # The candidates of a set are dealt out in chunks; each chunk gets the set itself.
     many = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
     dealt = pairs.join(many, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.ceil(F.col("n") / CHUNK)).cast("int").alias("chunk"))
     probes = dealt.select("x", "chunk").distinct().join(found, F.col("x") == F.col("sid")).select("x", "chunk", F.lit(0).alias("role"), F.col("x").alias("y"), "data")
     others = dealt.join(found, F.col("y") == F.col("sid")).select("x", "chunk", F.lit(1).alias("role"), "y", "data")
     rows = probes.unionByName(others).repartition("x", "chunk").sortWithinPartitions("x", "chunk", "role", "y")
-    return scratch.write(rows.mapInPandas(_verify, "a long, b long, shared long"), f"{name}_links")
+    return scratch.write(rows.mapInPandas(_verify, "a long, b long, shared long"), "links")
 
 
-def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def near_links(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """a, b, shared of every pair of different sets that are similar; doc_id, sid, n_shingles of every row."""
     spark = docs.sparkSession
     ship(spark)
-    scratch = Scratch(spark, "ngram")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     scanned = scratch.write(rows.mapInPandas(_scan, "kind int, doc_id long, sid long, n long, data binary"), "scanned")
     members = scanned.filter("kind = 0").select("doc_id", "sid", F.col("n").alias("n_shingles"))
@@ -306,32 +284,23 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     met = scratch.write(prefix.groupBy("part").applyInPandas(reduce, "key long, sid long, size long, place long, map binary"), "met")
     maps, live = met.filter("key is null").select("sid", "map"), met.filter("key is not null").select("key", "sid", "size", "place")
-    links = roots = None
-    for step in range(ROUNDS + 1):
-        if roots is None:
-            live = live.withColumn("comp", F.col("sid"))
-        else:  # what is left: shingles whose sets lie in different components
-            named = live.drop("comp").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "size", "place", F.coalesce("root", "sid").alias("comp"))
-            apart = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-            live = scratch.write(named.join(apart, "key", "left_semi"), f"live{step}")
-        asked = live.join(maps, "sid").repartition("key").sortWithinPartitions("key")
-        if step < ROUNDS:
-            pairs = asked.mapInPandas(_heads(step), "x long, y long").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-            pairs = pairs.groupBy("y").agg(F.max_by("x", F.struct("n", "x")).alias("x")).select("x", "y")
-        else:
-            pairs = asked.mapInPandas(_cross, "x long, y long").distinct()
-        pairs = scratch.write(pairs, f"pairs{step}")
-        found = None if pairs.isEmpty() else _links(pairs, rows, classes, scratch, f"round{step}").select("a", "b")
-        if found is None or found.isEmpty():
-            continue
-        links = found if links is None else links.unionByName(found)
-        roots = scratch.write(components(links, scratch, f"stars{step}"), f"roots{step}")
-    if roots is None:
-        roots = spark.createDataFrame([], "node long, root long")
+    asked = live.join(maps, "sid").repartition("key").sortWithinPartitions("key")
+    pairs = scratch.write(asked.mapInPandas(_cross, "x long, y long").distinct(), "pairs")
+    return _links(pairs, rows, classes, scratch), members
 
-    named = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "sid")).alias("root"))
+
+def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, n_links, component_id of every row."""
+    scratch = Scratch(docs.sparkSession, "ngram")
+    links, members = near_links(docs, scratch, text, doc_id)
+    roots = scratch.write(components(links.select("a", "b"), scratch, "stars"), "roots")
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
+    degrees = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    nodes = degrees.join(roots, "node", "left").withColumnRenamed("node", "sid")
+    of_set = F.when(F.col("n_shingles") > 0, F.coalesce("root", "sid")).alias("root")
+    named = members.join(nodes, "sid", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), of_set)
     least = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return named.join(least, "root", "left").select("doc_id", "n_shingles", "n_links", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,6 +138,30 @@ def test_ngram_join_at_the_threshold_and_in_chains(spark, monkeypatch):
     assert got == {r[0]: v for r, v in zip(rows, brute_components(rows))}
 
 
+def brute_degrees(rows):
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append(frozenset(zip(*[w[i:] for i in range(5)])) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    different = set(sets) - {frozenset()}
+    n = {a: sum(a != b and 100 * len(a & b) >= 75 * len(a | b) for b in different) for a in different}
+    return [n.get(s, 0) for s in sets]
+
+
+def test_ngram_join_counts_every_link(spark, docs, empty):
+    rng = random.Random(11)
+    base = prose(80, rng).split()
+    rows = list(enumerate([" ".join([*base[:k], rng.choice(VOCABULARY), *base[k + 1 :]]) for k in range(60)] * 2))
+    for df, table_ in ((spark.createDataFrame(rows, "doc_id long, text string"), rows), (docs, [r[:2] for r in ROWS])):
+        expected = keyed([{"doc_id": r[0], "v": v} for r, v in zip(table_, brute_degrees(table_))], lambda r: r["v"])
+        assert keyed(ngram_join.near_components(df).collect(), lambda r: r.n_links) == expected
+    assert max(brute_degrees(rows)) > 30
+    links, members = ngram_join.near_links(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "links"))
+    found = links.collect()
+    assert all(r.a != r.b for r in found) and len({frozenset((r.a, r.b)) for r in found}) == len(found) == sum(brute_degrees(rows)) // 4
+    assert members.count() == len(rows)
+
+
 def test_trie_against_brute_force():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))).astype(np.uint64) for _ in range(300)]
