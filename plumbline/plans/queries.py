@@ -211,6 +211,28 @@ def paired_bootstrap(spark, d):
     return metrics.paired_bootstrap(units, draws, "a", "b").select(r("point"), r("ci_lower"), r("ci_upper"), "replicates")
 
 
+#: As many draws with replacement as the family has units, from a mixing of (replicate, family, slot).
+MIX = "(((replicate * 1000003 + family * 7919 + slot * 104729 + 12345) * 48271 % 2147483647) * 69621 % 2147483647) * 16807 % 2147483647"
+BOOT_ALL = BOOT[: BOOT.index(", dr AS")] + f", n AS (SELECT family, count(*) AS n FROM u GROUP BY family), dr AS (SELECT replicate, family, {MIX} % n AS pos FROM n, range(200) r(replicate), LATERAL (SELECT unnest(range(n)) AS slot))"
+
+
+@query("paired_bootstrap_all_units", f"WITH {V}, {BOOT_ALL}, x AS (SELECT family, pos, a - b AS d FROM u), bf AS (SELECT replicate, family, avg(d) AS d FROM dr JOIN x USING (family, pos) GROUP BY ALL), rp AS (SELECT replicate, avg(d) AS d FROM bf GROUP BY replicate), pt AS (SELECT avg(d) AS point FROM (SELECT family, avg(d) AS d FROM x GROUP BY family)) SELECT round(any_value(point), 6) AS point, round(quantile_cont(d, 0.025), 6) AS ci_lower, round(quantile_cont(d, 0.975), 6) AS ci_upper, count(d) AS replicates FROM rp, pt")
+def paired_bootstrap_all_units(spark, d):
+    units, draws = bootstrap_draws(spark, d)
+    return metrics.paired_bootstrap(units, draws, "a", "b").select(r("point"), r("ci_lower"), r("ci_upper"), "replicates")
+
+
+def bootstrap_draws(spark, d):
+    """Every unit with its place in its family, and for each replicate as many places as the family has."""
+    from pyspark.sql.window import Window
+
+    units = scored(spark, d).groupBy("family", "g").agg(F.avg("s").alias("a"), F.avg(F.when(F.col("ok"), F.col("s"))).alias("b"))
+    units = units.withColumn("pos", F.row_number().over(Window.partitionBy("family").orderBy("g")) - 1)
+    draws = units.groupBy("family").agg(F.count(F.lit(1)).alias("n")).crossJoin(spark.range(200).select(F.col("id").alias("replicate")))
+    draws = draws.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return units, draws.select("replicate", "family", F.expr(f"cast({MIX} % n AS int)").alias("pos"))
+
+
 @query("counterexamples", f"WITH {V}, m AS (SELECT g, avg(s) FILTER (y) AS ours, avg(s) FILTER (NOT y) AS theirs FROM v GROUP BY g) SELECT g, round(ours, 6) AS ours, round(theirs, 6) AS theirs, round(ours - theirs, 6) AS difference FROM m WHERE ours - theirs <= 0")
 def counterexamples(spark, d):
     rows = scored(spark, d).groupBy("g", F.when(F.col("y"), "ours").otherwise("theirs").alias("method")).agg(F.avg("s").alias("value"))

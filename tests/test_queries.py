@@ -44,3 +44,14 @@ def test_query(spark, duck, name):
     names = [c[0] for c in found.description]
     assert sorted(names) == columns
     assert got == plain(tuple(r[names.index(c)] for c in columns) for r in found.fetchall())
+
+
+def test_bootstrap_draws_reach_every_unit(spark):
+    from plumbline.plans.queries import bootstrap_draws
+
+    units, draws = bootstrap_draws(spark, DATA)
+    have = {r.family: r["count"] for r in units.groupBy("family").count().collect()}
+    assert {(r.replicate, r.family): r["count"] for r in draws.groupBy("replicate", "family").count().collect()} == {(k, f): n for k in range(200) for f, n in have.items()}
+    assert {(r.family, r.pos) for r in draws.select("family", "pos").distinct().collect()} == {(f, p) for f, n in have.items() for p in range(n)}
+    row = catalog.QUERIES["paired_bootstrap_all_units"](spark, DATA).first()
+    assert row.ci_lower < row.ci_upper
