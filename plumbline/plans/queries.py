@@ -572,6 +572,15 @@ def leave_one_family_out(spark, d):
     return experiments.family_folds(vectors(spark, d), [2]).select("query_id", "fold", "y", "p", "matched_id", r("s", 4))
 
 
+def _fold(k):
+    return FOLD.replace("family <> 2", f"family <> {k}").replace("family = 2", f"family = {k}")
+
+
+@query("leave_one_family_out_all", " UNION ALL ".join(f"SELECT * FROM (WITH {_fold(k)} SELECT query_id, {k} AS fold, y, p, matched_id, round(s, 4) AS s FROM m)" for k in range(7)))
+def leave_one_family_out_all(spark, d):
+    return experiments.family_folds(vectors(spark, d), list(range(7))).select("query_id", "fold", "y", "p", "matched_id", r("s", 4))
+
+
 # Fields and sources (GR, SC).
 
 

@@ -55,3 +55,9 @@ def test_bootstrap_draws_reach_every_unit(spark):
     assert {(r.family, r.pos) for r in draws.select("family", "pos").distinct().collect()} == {(f, p) for f, n in have.items() for p in range(n)}
     row = catalog.QUERIES["paired_bootstrap_all_units"](spark, DATA).first()
     assert row.ci_lower < row.ci_upper
+
+
+def test_every_family_is_left_out(spark):
+    rows = catalog.QUERIES["leave_one_family_out_all"](spark, DATA).select("query_id", "fold").distinct().collect()
+    ids = [r.vec_id for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").collect()]
+    assert {(r.query_id, r.fold) for r in rows} == {(i, i % 7) for i in ids}
