@@ -541,6 +541,13 @@ def rank_likelihood_query(spark, d):
     return experiments.rank_likelihood(df, df.filter("id % 20 = 0"), "family", "y", "rk", 8, 0.5, "id").select("id", r("llr"), r("score"))
 
 
+# Rows of equal llr have equal scores, so the ECDF runs over distinct values.
+@query("rank_likelihood_query_all", f"WITH {V}, {RANKED}, {HIST}, {LLR}, sx AS (SELECT id, family, round(llr, 12) AS llr FROM bb JOIN ll USING (bin)), fv AS (SELECT f.family, l.llr, count(sx.id) AS c FROM (SELECT DISTINCT family FROM sx) f CROSS JOIN (SELECT DISTINCT llr FROM sx) l LEFT JOIN sx ON sx.family = f.family AND sx.llr = l.llr GROUP BY ALL), ec AS (SELECT llr, (sum(c) OVER (PARTITION BY family ORDER BY llr) - c)::DOUBLE / (sum(c) OVER (PARTITION BY family) + 1) AS e FROM fv), sc AS (SELECT llr, avg(e) AS score FROM ec GROUP BY llr) SELECT id, round(sx.llr, 6) AS llr, round(score, 6) AS score FROM sx JOIN sc USING (llr)")
+def rank_likelihood_query_all(spark, d):
+    df = _ranked(spark, d)
+    return experiments.rank_likelihood(df, df, "family", "y", "rk", 8, 0.5, "id").select("id", r("llr"), r("score"))
+
+
 @query("leave_source_out_counts", f"WITH {V}, {RANKED}, o AS (SELECT family, g, y, bin, count(*) AS c FROM bb GROUP BY ALL), t AS (SELECT family, y, bin, sum(c) AS t FROM o GROUP BY ALL) SELECT s.family, s.g, t.y, t.bin, (t - coalesce(c, 0))::BIGINT AS c FROM (SELECT DISTINCT family, g FROM v) s JOIN t USING (family) LEFT JOIN o USING (family, g, y, bin)")
 def leave_source_out_counts(spark, d):
     return calibration.left_out_counts(_ranked(spark, d), "family", "g", "y", "rk", 8)

@@ -61,3 +61,8 @@ def test_every_family_is_left_out(spark):
     rows = catalog.QUERIES["leave_one_family_out_all"](spark, DATA).select("query_id", "fold").distinct().collect()
     ids = [r.vec_id for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").collect()]
     assert {(r.query_id, r.fold) for r in rows} == {(i, i % 7) for i in ids}
+
+
+def test_every_row_gets_a_rank_likelihood(spark):
+    ids = [r.event_id for r in spark.read.parquet(f"{DATA}/events.parquet").select("event_id").collect()]
+    assert sorted(r.id for r in catalog.QUERIES["rank_likelihood_query_all"](spark, DATA).collect()) == sorted(ids)
