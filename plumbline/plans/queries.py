@@ -605,11 +605,15 @@ def seed_grid(spark, d):
 VOL = "vol AS (SELECT (l_quantity - 1)::INT AS ix, (l_linenumber - 1)::INT AS iy, (year(l_shipdate) - 1995)::INT AS iz, avg(l_extendedprice) AS u, avg(l_discount) AS v, avg(l_tax) AS w FROM lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 2000 GROUP BY ALL)"
 
 
-def _volume(spark, d):
-    df = table(spark, d, "lineitem").filter(F.year("l_shipdate").between(1995, 2000))
+def _volume(spark, d, last=2000):
+    df = table(spark, d, "lineitem").filter(F.year("l_shipdate").between(1995, last))
     return df.groupBy((F.col("l_quantity") - 1).cast("int").alias("ix"), (F.col("l_linenumber") - 1).cast("int").alias("iy"), (F.year("l_shipdate") - 1995).cast("int").alias("iz")).agg(F.avg("l_extendedprice").alias("u"), F.avg("l_discount").alias("v"), F.avg("l_tax").alias("w"))
 
 
+#: All years of the table, 1995 to 2001.
+VOL_ALL = VOL.replace("BETWEEN 1995 AND 2000", "BETWEEN 1995 AND 2001")
+
+
 def _grad(c, axis, h, rest):
     w = f"(PARTITION BY {rest} ORDER BY {axis})"
     return f"CASE WHEN lag({c}) OVER {w} IS NULL THEN (lead({c}) OVER {w} - {c}) / {h} WHEN lead({c}) OVER {w} IS NULL THEN ({c} - lag({c}) OVER {w}) / {h} ELSE (lead({c}) OVER {w} - lag({c}) OVER {w}) / (2 * {h}) END"
@@ -624,6 +628,11 @@ def grid_curl(spark, d):
     return fields.curl(_volume(spark, d), [], [0.5, 0.25, 2.0]).select("ix", "iy", "iz", r("cx", 8), r("cy", 7), r("cz", 7))
 
 
+@query("grid_curl_all_years", f"WITH {VOL_ALL}, {CURL} SELECT ix, iy, iz, round(cx, 8) AS cx, round(cy, 7) AS cy, round(cz, 7) AS cz FROM cu")
+def grid_curl_all_years(spark, d):
+    return fields.curl(_volume(spark, d, 2001), [], [0.5, 0.25, 2.0]).select("ix", "iy", "iz", r("cx", 8), r("cy", 7), r("cz", 7))
+
+
 DEV = "dv AS (SELECT ix, iy, iz, sqrt((cx - avg(cx) OVER ()) * (cx - avg(cx) OVER ()) + (cy - avg(cy) OVER ()) * (cy - avg(cy) OVER ()) + (cz - avg(cz) OVER ()) * (cz - avg(cz) OVER ())) AS deviation FROM cu)"
 
 
@@ -633,6 +642,12 @@ def vorticity_deviation_mask(spark, d):
     return predicates.percentile_mask(dv, [], "deviation").select("ix", "iy", "iz", r("deviation", 3), "mask")
 
 
+@query("vorticity_deviation_mask_all_years", f"WITH {VOL_ALL}, {CURL}, {DEV}, q AS (SELECT quantile_cont(deviation, 0.95) AS c FROM dv) SELECT ix, iy, iz, round(deviation, 3) AS deviation, deviation >= c AS mask FROM dv, q")
+def vorticity_deviation_mask_all_years(spark, d):
+    dv = fields.group_centred_norm(fields.curl(_volume(spark, d, 2001), [], [0.5, 0.25, 2.0]), [], ["cx", "cy", "cz"])
+    return predicates.percentile_mask(dv, [], "deviation").select("ix", "iy", "iz", r("deviation", 3), "mask")
+
+
 @query("group_centred", "WITH v AS (SELECT l_orderkey, l_linenumber, l_discount - avg(l_discount) OVER (PARTITION BY l_returnflag) AS a, l_tax - avg(l_tax) OVER (PARTITION BY l_returnflag) AS b FROM lineitem) SELECT l_orderkey, l_linenumber, round(sqrt(a * a + b * b), 9) AS deviation FROM v")
 def group_centred(spark, d):
     return fields.group_centred_norm(table(spark, d, "lineitem"), ["l_returnflag"], ["l_discount", "l_tax"]).select("l_orderkey", "l_linenumber", r("deviation", 9))
@@ -648,6 +663,16 @@ def trilinear_sample(spark, d):
     return fields.trilinear(points, _volume(spark, d), "id", [0, 0, 0], [1, 1, 1], [50, 7, 6], "u").select("id", r("u", 4))
 
 
+@query("trilinear_sample_all_years", f"""WITH {VOL_ALL}, p AS (SELECT c_custkey AS id, (c_custkey * 37 % 4900) / 100.0::DOUBLE AS x, (c_custkey * 53 % 600) / 100.0::DOUBLE AS y, (c_custkey * 71 % 600) / 100.0::DOUBLE AS z FROM customer),
+c AS (SELECT *, least(floor(x), 48)::INT AS cx, least(floor(y), 5)::INT AS cy, least(floor(z), 5)::INT AS cz FROM p),
+k AS (SELECT id, cx + i AS ix, cy + j AS iy, cz + k AS iz, CASE i WHEN 1 THEN x - cx ELSE 1 - (x - cx) END * CASE j WHEN 1 THEN y - cy ELSE 1 - (y - cy) END * CASE k WHEN 1 THEN z - cz ELSE 1 - (z - cz) END AS w FROM c, range(2) a(i), range(2) b(j), range(2) e(k))
+SELECT id, round(sum(k.w * vol.u), 4) AS u FROM k JOIN vol USING (ix, iy, iz) GROUP BY id""")
+def trilinear_sample_all_years(spark, d):
+    c = F.col("c_custkey")
+    points = table(spark, d, "customer").select(c.alias("id"), (c * 37 % 4900 / 100.0).alias("x"), (c * 53 % 600 / 100.0).alias("y"), (c * 71 % 600 / 100.0).alias("z"))
+    return fields.trilinear(points, _volume(spark, d, 2001), "id", [0, 0, 0], [1, 1, 1], [50, 7, 7], "u").select("id", r("u", 4))
+
+
 @query("uniform_axis", "WITH d AS (SELECT o_custkey % 5 AS k, o_orderkey AS x, o_orderkey - lag(o_orderkey) OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) AS s FROM orders), f AS (SELECT k, arg_min(s, x) AS f, min(s) AS lo, max(s) AS hi, count(s) AS n FROM d WHERE s IS NOT NULL GROUP BY k) SELECT k, lo > 0 AS increasing, lo > 0 AND greatest(hi - f, f - lo) <= 1e-8::DOUBLE + 1e-4::DOUBLE * abs(f) AS uniform, n AS steps FROM f")
 def uniform_axis(spark, d):
     df = table(spark, d, "orders").select((F.col("o_custkey") % 5).alias("k"), F.col("o_orderkey").alias("x"))

@@ -66,3 +66,10 @@ def test_every_family_is_left_out(spark):
 def test_every_row_gets_a_rank_likelihood(spark):
     ids = [r.event_id for r in spark.read.parquet(f"{DATA}/events.parquet").select("event_id").collect()]
     assert sorted(r.id for r in catalog.QUERIES["rank_likelihood_query_all"](spark, DATA).collect()) == sorted(ids)
+
+
+def test_fields_hold_every_year(spark):
+    years = [r.y - 1995 for r in spark.read.parquet(f"{DATA}/lineitem.parquet").selectExpr("year(l_shipdate) AS y").distinct().collect()]
+    for name in ("grid_curl_all_years", "vorticity_deviation_mask_all_years"):
+        assert {r.iz for r in catalog.QUERIES[name](spark, DATA).select("iz").distinct().collect()} == set(years) == set(range(7))
+    assert catalog.QUERIES["trilinear_sample_all_years"](spark, DATA).count() == spark.read.parquet(f"{DATA}/customer.parquet").count()
