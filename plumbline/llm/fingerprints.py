@@ -14,7 +14,7 @@ The edited text takes its tail from the next document in descending order of id.
 quantiles; a run is sorted by one task, and the document after its last comes along as a guest, so that texts are shuffled
 once. With n documents a run has about n / blocks of them; raise ``blocks`` with the input.
 
-Defined results: a null text is the empty text; its fingerprint is that of no words. Repeated rows: a ``doc_id`` counts once,
+Defined results: a null text is the empty text; its fingerprint is that of no words. Repeated rows: ``op8_fingerprints`` (``every``) keeps each row; else a ``doc_id`` counts once,
 with its smallest text in the order of (characters, hash). A null ``doc_id`` is the last of all. An empty table gives no rows. One document
 alone is its own next. Extra columns are ignored.
 """
@@ -99,7 +99,8 @@ def _block(bounds: Column, coarse: Column) -> Column:
     return F.when(F.col("doc_id").isNull(), 0).otherwise(first + F.size(F.filter(F.slice(bounds, first + 1, F.lit(STEP)), lambda b: b <= F.col("doc_id"))))
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", blocks: int = BLOCKS) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", blocks: int = BLOCKS, every: bool = False) -> DataFrame:
+    """every: each row counts, also those of a repeated or null doc_id, in the order of (doc_id descending, characters, hash)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "imatch")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -120,7 +121,9 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bl
     dealt = dealt.select("*", F.length("text").alias("chars"), F.xxhash64("text").alias("hash"), fingerprint(F.col("text"), lex).alias("fingerprint"))
     order = Window.partitionBy("block").orderBy("guest", F.col("doc_id").desc_nulls_last(), "chars", "hash")
     again = F.lag("doc_id").over(order).eqNullSafe(F.col("doc_id")) & F.lag("guest").over(order).eqNullSafe(F.col("guest"))
-    once = dealt.withColumn("again", again & (F.row_number().over(order) > 1)).filter(~F.col("again"))
+    # Rows that the order doesn't tell apart are equal. Of a guest's rows the first is enough.
+    again = again & (F.row_number().over(order) > 1) & (F.col("guest") | F.lit(not every))
+    once = dealt.withColumn("again", again).filter(~F.col("again"))
     after = F.lead(F.struct("text", "fingerprint")).over(order)
     pairs = once.withColumn("next", after).filter(~F.col("guest"))
     takes = F.expr("chars div 3")
@@ -133,4 +136,4 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bl
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(table(spark, sf_dir, "documents"))
+    return fingerprints(table(spark, sf_dir, "documents"), every=True)

@@ -429,6 +429,19 @@ def test_fingerprints(spark, docs, empty):
     assert fingerprints.fingerprints(empty).count() == 0
 
 
+def test_op8_keeps_every_row(spark, tmp_path):
+    rows = [(5, "five words of a text"), (5, "another text"), (5, "another text"), (4, "four"), (None, "no id"), (None, "none either"), (9, "nine of them"), (1, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    order = ["nine of them", "another text", "another text", "five words of a text", "four", "", "no id", "none either"]
+    ids = [9, 5, 5, 5, 4, 1, None, None]
+    after = order[1:] + order[:1]
+    expected = collections.Counter((i, len(t), sha(t[: len(t) - len(t) // 3] + n[: len(t) // 3])) for i, t, n in zip(ids, order, after))
+    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.op8_fingerprints(spark, str(tmp_path)).collect()) == expected
+    for blocks in (2, 7):
+        df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.fingerprints(df, blocks=blocks, every=True).collect()) == expected
+
+
 def test_fingerprints_recognise_edited_documents(spark):
     rng = random.Random(2)
     many = [a + b for a in VOCABULARY for b in VOCABULARY[:10]]
