@@ -1,8 +1,8 @@
 """Exact byte-pair encoding of many texts at once, with flat arrays.
 
 A block of texts is cut into chunks that the tokenizer would never join: before each run of white space that follows
-something else (byte-level tokenizers, whose tokens hold white space), or at white space (tokenizers that drop it). Equal chunks are
-encoded once. A chunk known to the lexicon's automaton takes its ids from there; the others are split into pre-tokens
+something else (byte-level tokenizers, whose tokens hold white space), or at white space (tokenizers that drop it). Equal chunks, compared
+byte by byte, are encoded once. A chunk known to the lexicon's automaton takes its ids from there; the others are split into pre-tokens
 and merged exactly, lowest rank first, all of a round together. Chunks with anything but ASCII and plain Latin letters, or with an apostrophe
 or a bar, take the library's own pre-tokenizer (or the library, where white space is dropped); so do very long ones.
 """
@@ -16,6 +16,7 @@ import os
 import numpy as np
 
 from plumbline.llm.automaton import Automaton
+from plumbline.llm.hashing import groups
 
 LETTER, DIGIT, OTHER, SPACE, UNSAFE = 0, 1, 2, 3, 4
 LONG = 512
@@ -39,34 +40,6 @@ def _classes() -> np.ndarray:
 
 
 CLASS = _classes()
-_RNG = np.random.default_rng(7)
-_TABLES = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.int64).astype(np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-class Hasher:
-    """Two independent 64-bit hashes of runs of a byte array, from prefix sums."""
-
-    def __init__(self):
-        self.up = self.down = np.zeros(0, np.uint64)
-
-    def __call__(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: int = 0) -> np.ndarray:
-        if len(self.up) < len(data) + 1:
-            n = 1 << (len(data) + 1).bit_length()
-            self.up, self.down = _powers(_BASE, n), _powers(_INVERSE, n)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLES[which][data] * self.up[: len(data)], out=sums[1:])
-        h = (sums[starts + lengths] - sums[starts]) * self.down[starts]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        return h ^ (h >> np.uint64(29))
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -124,7 +97,7 @@ class Encoder:
         self.text = np.frombuffer(b"".join(texts), np.uint8)
         self.text_len = np.array([len(t) for t in texts], np.int64)
         self.text_at = np.cumsum(self.text_len) - self.text_len
-        self.automaton, self.hash = automaton, Hasher()
+        self.automaton = automaton
 
     @staticmethod
     def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -323,14 +296,7 @@ class Encoder:
         data, starts, lengths, doc = self.chunks(texts)
         if not len(starts):
             return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-        h = self.hash(data, starts, lengths)
-        _, one, which = np.unique(h, return_index=True, return_inverse=True)
-        second = self.hash(data, starts, lengths, 1)
-        if not (np.array_equal(second, second[one][which]) and np.array_equal(lengths, lengths[one][which])):
-            order = {}  # two chunks share a hash: go by their bytes
-            raw = data.tobytes()
-            which = np.array([order.setdefault(raw[s : s + n], len(order)) for s, n in zip(starts, lengths)])
-            _, one = np.unique(which, return_index=True)
+        one, which = groups(data, starts, lengths)
         s, n = starts[one], lengths[one]
         counts, at = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
         known = self.automaton.lookup(data, s, n) if self.automaton else np.full(len(one), -1, np.int64)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.automaton import Automaton, compile
 from plumbline.llm.bpe import LONG, shared_encoder
+from plumbline.llm.hashing import groups
 from plumbline.plans.scratch import ship, table
 
 SHARE, WORDS, BLOCK = 1 / (1 << 16), 1 << 16, 1 << 21
@@ -69,8 +70,8 @@ def frequent_chunks(docs: DataFrame, content, text: str = "text", share: float =
                 if not len(starts):
                     continue
                 total += len(starts)
-                h = encoder.hash(data, starts, lengths)
-                key, one, n = np.unique(h, return_index=True, return_counts=True)
+                one, which = groups(data, starts, lengths)
+                n = np.bincount(which)
                 raw = data.tobytes()
                 for i in np.flatnonzero(n > 1):
                     s = starts[one[i]]

@@ -1,23 +1,29 @@
 """N-gram Jaccard join by prefix trees, exact at 0.75 over sets of five-word shingles.
 
-1. Every text's set gets an id (equal sets, one id); a sketch of fixed size counts shingles over all texts.
+1. Every text's set gets a 128-bit id (equal sets, one id); a sketch of fixed size counts shingles over all texts.
 2. All sets follow one global order: rare shingles first by the sketch, ties by hash. An order decides only how much work there is, never the
-   result. Two similar sets share a shingle within their first (1 - 0.75) * n + 1 in that order. These prefixes meet by shingle, one blob for
-   each task and bucket of shingles; a set that occurs often in a task goes there once.
-3. Every pair of a shingle's sets is a candidate, unless sizes, places in the order or parity bitmaps rule similarity out (three bounds: no
-   similar pair is lost), before it is emitted.
-4. Candidates are verified exactly: a set's candidates form a trie in the global order, which is traversed with the set, sharing
-   partial overlaps and pruning subtrees by remaining lengths (``prefix_trie``). Candidates of one set are split into chunks of ``CHUNK``.
-5. The links that hold, each pair of different sets once, are the join. Degrees and components follow from them.
-
-``near_links`` gives the links and which set each document has. ``near_components`` gives a row a document, with its number of links (other sets that its own is
-similar to; equal sets count once) and its component. A group of n near copies of different texts has up to n * (n - 1) / 2 links, all of them
-verified and written: that is the size of the result. Sets that nothing is similar to never travel whole.
-
-Growth: what is broadcast has a fixed size: the sketch (``SKETCH`` counters of a byte) and a filter of ``FILTER`` bits, which lets sets travel that are in
-a candidate pair; both only decide how much is moved. Buckets grow in number with the input.
-
-Sets are named by 64 bits: among n different sets two share a name with a chance of n * n / 2**65.
+   result. Two similar sets share a shingle within their first (1 - 0.75) * n + 1 in that order. These prefixes meet by shingle, in
+   buckets; a set that occurs often in a task goes there once.
+3. The sets of one shingle that three bounds leave similar (sizes, places in the order, parity bitmaps; no similar pair is lost) are joined into
+   groups: a task emits one edge a set, to the least set of its group, never pairs. Connected components of these edges are the neighbourhoods,
+   so similar sets are always in one neighbourhood.
+4. The whole sets of neighbourhoods travel, each text once, to cells of about ``CHUNK`` sets. A cell stores its sets in a trie in the
+   global order and joins all of them with it in one traversal, in which probes share the path's partial overlaps and leave subtrees by remaining-length
+   bounds (``prefix_trie``). Small neighbourhoods share a cell; a large one is split into blocks, and each two blocks meet in a cell of
+   their own, so every pair of its sets meets exactly once.
+5. A cell gives a row a set: how many sets it is similar to, and the least set that it is linked with. Sums of the counts are the numbers of links;
+   the components of neighbourhoods that one cell holds are final, those of split ones follow from the cells' edges.
+
+``near_components`` gives a row a document: its number of links (other sets that its own is similar to; equal sets count once) and its
+component. Every similar pair is verified and counted, none is written. ``near_links`` writes the pairs, for callers who want them: a
+group of n similar texts has up to n * (n - 1) / 2.
+
+Growth: what is broadcast has a fixed size: the sketch (``SKETCH`` counters of a byte) and a filter of ``FILTER`` bits, which lets texts travel that are in
+a neighbourhood; both only decide how much is moved. Buckets grow in number with the input. A shingle that the sketch holds for very
+frequent is dealt to pairs of blocks of its sets (``HOT``), and so is one that many sets of a bucket share (``WIDE``). The work within a
+group of n near copies grows with n * n in compares of trie paths, and its sets travel n / ``CHUNK`` times; rows and files don't grow so.
+
+Shingles are 56-bit hashes, which only matter within a candidate pair (see ``shingles``).
 
 Defined results: null and empty texts and texts of white space have no shingles, link with nothing and have 0 links, their component is their own ``doc_id``. Fewer
 than five words are one shingle. Repeated rows are equal sets. Rows with a null ``doc_id`` count in no component's smallest id; one whose component
@@ -36,21 +42,23 @@ from pyspark.sql import functions as F
 from plumbline.llm.bpe_codec import byte_blocks
 from plumbline.llm.components import components
 from plumbline.llm.prefix_trie import DENOMINATOR, NUMERATOR, Trie, needed
-from plumbline.llm.shingles import BITS, shingle_sets, set_id
+from plumbline.llm.shingles import BITS, set_id, shingle_sets
 from plumbline.plans.scratch import Scratch, ship, table
 
-SKETCH, PART, FILTER, MAP_WORDS, CHUNK, BUCKET = 1 << 22, 1 << 16, 1 << 23, 8, 256, 300_000
-ENTRY = np.dtype([("key", "<u8"), ("sid", "<i8"), ("size", "<u4"), ("place", "<u4")])
+SKETCH, PART, FILTER, MAP_WORDS = 1 << 22, 1 << 16, 1 << 23, 8
+#: Prefix entries of a bucket; sets and items of a cell; sets of one shingle in a bucket and in a candidate task.
+BUCKET, CHUNK, ITEMS, HOT, WIDE = 300_000, 384, 1 << 20, 1 << 18, 4096
+ENTRY = np.dtype([("key", "<u8"), ("sid", "V16"), ("size", "<u4"), ("place", "<u4")])
 
 
 def _sketch_rows(counts: np.ndarray):
     for i in range(0, SKETCH, PART):
-        yield i // PART, zlib.compress(counts[i : i + PART].astype("<u4").tobytes(), 1)
+        yield i // PART, zlib.compress(counts[i : i + PART].tobytes(), 1)
 
 
 def _scan(batches):
-    """Rows: kind 0, a document's set id and size; kind 1, a part of the task's sketch."""
-    counts, seen = np.zeros(SKETCH, np.int64), set()
+    """Rows: kind 0, a document's set id, size and text digest; kind 1, a part of the task's sketch."""
+    counts, seen = np.zeros(SKETCH, np.uint32), set()
     for batch in batches:
         sid, size = [], []
         for _, texts in byte_blocks(batch["text"]):
@@ -63,11 +71,11 @@ def _scan(batches):
                     seen.add(i)
                     fresh.append(s)
             if fresh:
-                counts += np.bincount((np.concatenate(fresh) >> np.uint64(BITS - 22)).astype(np.int64), minlength=SKETCH)
-        yield pd.DataFrame({"kind": 0, "doc_id": batch["doc_id"].astype("Int64"), "sid": sid, "n": size, "data": None})
+                counts += np.bincount((np.concatenate(fresh) >> np.uint64(BITS - 22)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+        yield pd.DataFrame({"kind": 0, "doc_id": batch["doc_id"].astype("Int64"), "digest": batch["digest"], "sid": sid, "n": size, "data": None})
     if seen:
         parts = list(_sketch_rows(counts))
-        yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * len(parts), "Int64"), "sid": 0, "n": [k for k, _ in parts], "data": [d for _, d in parts]})
+        yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * len(parts), "Int64"), "digest": 0, "sid": None, "n": [k for k, _ in parts], "data": [d for _, d in parts]})
 
 
 def _add_parts(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -102,8 +110,21 @@ def prefix_length(n: int) -> int:
     return n - (-(-NUMERATOR * n // DENOMINATOR)) + 1
 
 
-def _prefix_rows(shared, buckets: int):
-    """Rows: kind 0, the prefixes' entries of a bucket; kind 1, a set's size and parity bitmap."""
+def _cells(block: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries dealt to the cells of their block with each block: the entry's number, and the cell. One block has cell 0."""
+    at = np.repeat(np.arange(len(block)), blocks)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    mine = block[at]
+    return at, np.maximum(mine, other) * (np.maximum(mine, other) + 1) // 2 + np.minimum(mine, other)
+
+
+def _block(sid: np.ndarray, blocks: np.ndarray, half: int) -> np.ndarray:
+    """The block of each entry, by one half of its set's id."""
+    return (sid.copy().view("<u8")[half::2] % blocks.astype(np.uint64)).astype(np.int64)
+
+
+def _prefix_rows(shared, buckets: int, hot: int):
+    """Rows: part from 0 on, the prefixes' entries of a bucket; below 0, a set's size and parity bitmap."""
 
     def run(batches):
         classes, seen = np.frombuffer(shared.value, np.uint8), set()
@@ -116,20 +137,26 @@ def _prefix_rows(shared, buckets: int):
                     seen.add(i)
                     keys = ordered(s, classes)[: prefix_length(len(s))]
                     e = np.empty(len(keys), ENTRY)
-                    e["key"], e["sid"], e["size"], e["place"] = keys, i, len(s), np.arange(len(keys))
+                    e["key"], e["sid"], e["size"], e["place"] = keys, np.void(i), len(s), np.arange(len(keys))
                     entries.append(e)
                     sids.append(i)
                     sizes.append(len(s))
                     maps.append(parity(s))
                 if not entries:
                     continue
-                yield pd.DataFrame({"kind": 1, "bucket": 0, "sid": sids, "size": sizes, "map": maps, "data": None})
+                own = np.array([int.from_bytes(i[:4], "little") % buckets for i in sids])
+                yield pd.DataFrame({"part": -1 - own, "sid": sids, "size": sizes, "map": maps, "data": None})
                 e = np.concatenate(entries)
-                b = (e["key"] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % buckets
-                order = np.argsort(b, kind="stable")
-                e, b = e[order], b[order]
-                edges = np.flatnonzero(np.r_[True, b[1:] != b[:-1], True])
-                yield pd.DataFrame({"kind": 0, "bucket": b[edges[:-1]], "sid": 0, "size": 0, "map": None, "data": [e[lo:hi].tobytes() for lo, hi in zip(edges, edges[1:])]})
+                # The most that the sketch allows a shingle's sets to be; few exceed HOT.
+                most = 2.0 ** (((e["key"] >> np.uint64(BITS)).astype(float) + 0.5) / 6)
+                blocks = np.maximum(1, np.ceil(most / hot)).astype(np.int64)
+                at, cell = _cells(_block(e["sid"], blocks, 0), blocks)
+                e = e[at]
+                b = (((e["key"] + cell.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((cell, b))
+                e, b, cell = e[order], b[order], cell[order]
+                edges = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (cell[1:] != cell[:-1]), True])
+                yield pd.DataFrame({"part": b[edges[:-1]], "sid": None, "size": cell[edges[:-1]], "map": None, "data": [e[lo:hi].tobytes() for lo, hi in zip(edges, edges[1:])]})
 
     return run
 
@@ -140,165 +167,218 @@ def possible(n, i, m, j):
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The entries of a bucket's shingles that more than one set has."""
+    """The entries of a bucket's shingles that more than one set has; those that many sets have, in cells."""
     e = np.concatenate([np.frombuffer(d, ENTRY) for d in pdf["data"]])
-    e = e[np.lexsort((e["sid"], e["key"]))]
-    e = e[np.r_[True, (e["key"][1:] != e["key"][:-1]) | (e["sid"][1:] != e["sid"][:-1])]]
-    first = np.flatnonzero(np.r_[True, e["key"][1:] != e["key"][:-1]])
+    outer = np.repeat(pdf["size"].to_numpy(np.int64), [len(d) // ENTRY.itemsize for d in pdf["data"]])
+    half = e["sid"].copy().view("<u8")
+    order = np.lexsort((half[1::2], half[::2], outer, e["key"]))
+    e, outer, half = e[order], outer[order], half.reshape(-1, 2)[order]
+    group = (e["key"][1:] != e["key"][:-1]) | (outer[1:] != outer[:-1])
+    one = np.r_[True, group | (half[1:] != half[:-1]).any(1)]
+    e, outer, group = e[one], outer[one], np.r_[True, group][one]
+    first = np.flatnonzero(group)
     size = np.diff(np.r_[first, len(e)])
-    e = e[np.repeat(size, size) > 1]
-    return pd.DataFrame({"key": e["key"].astype(np.int64), "sid": e["sid"], "size": e["size"].astype(np.int64), "place": e["place"].astype(np.int64)})
+    many = np.repeat(size, size)
+    e, outer, many = e[many > 1], outer[many > 1], many[many > 1]
+    at, cell = _cells(_block(e["sid"], blocks := -(-many // WIDE), 1), blocks)
+    e, raw = e[at], e["sid"][at].tobytes()
+    return pd.DataFrame({"key": e["key"].astype(np.int64), "cell": outer[at] << 32 | cell, "sid": [raw[i : i + 16] for i in range(0, len(raw), 16)], "size": e["size"].astype(np.int64), "place": e["place"].astype(np.int64)})
 
 
 def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
 
-def _groups(batches):
-    """Of rows sorted by shingle, the arrays (sid, size, place, map) of each shingle's sets, by sid."""
-    held = None
-
-    def cut(rows):
-        keys = rows["key"].to_numpy()
+def least_linked(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each of n nodes the least one that the links (x, y) join it with, itself included."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        label = label[label]
+        if np.array_equal(label, before):
+            return label
+
+
+def _pairs(first: np.ndarray, size: np.ndarray):
+    """All pairs of places within groups, in portions: groups of one size together, large ones in blocks."""
+    for m in np.unique(size[size > 1]).tolist():
+        begin = first[size == m]
+        if m <= 64:
+            a, b = np.triu_indices(m, 1)
+            for lo in range(0, len(begin), step := max(1, 200_000 // len(a))):
+                some = begin[lo : lo + step, None]
+                yield (some + a).ravel(), (some + b).ravel()
+        else:
+            for g in begin.tolist():
+                for lo in range(0, m, 128):
+                    a, b = np.arange(lo, min(lo + 128, m)), np.arange(lo, m)
+                    x, y = np.broadcast_arrays(a[:, None], b[None])
+                    yield g + x[x < y], g + y[x < y]
+
+
+def _edges(batches):
+    """Rows sorted by shingle and cell: for each set an edge to the least set that it may be similar to, by way of others in the batch."""
+
+    def run(rows):
+        key, cell = rows["key"].to_numpy(), rows["cell"].to_numpy()
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
+        node, size, place = (rows[c].to_numpy() for c in ("node", "size", "place"))
         maps = np.frombuffer(b"".join(rows["map"]), np.uint64).reshape(-1, MAP_WORDS)
-        cols = [rows[c].to_numpy() for c in ("sid", "size", "place")]
-        edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-        for lo, hi in zip(edges, edges[1:]):
-            if hi - lo > 1:
-                order = lo + np.argsort(cols[0][lo:hi])
-                yield (*[c[order] for c in cols], maps[order])
+        nodes, number = np.unique(node, return_inverse=True)
+        label = np.arange(len(nodes))
+        for x, y in _pairs(first, np.diff(np.r_[first, len(key)])):
+            apart = label[number[x]] != label[number[y]]  # what is joined already needs no second edge
+            x, y = x[apart], y[apart]
+            ok = possible(size[x], place[x], size[y], place[y])
+            x, y = x[ok], y[ok]
+            ok = _bits(maps[x], maps[y]) <= size[x] + size[y] - 2 * needed(size[x], size[y])
+            if ok.any():
+                label = least_linked(len(nodes), np.r_[np.arange(len(nodes)), number[x[ok]]], np.r_[label, number[y[ok]]])
+        at = np.flatnonzero(label != np.arange(len(nodes)))
+        return pd.DataFrame({"a": nodes[at], "b": nodes[label[at]]})
 
+    held = None
     for batch in batches:
         rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
         if not len(rows):
             continue
-        last = rows["key"] == rows["key"].iloc[-1]
-        held = rows[last]
+        last = (rows["key"] == rows["key"].iloc[-1]) & (rows["cell"] == rows["cell"].iloc[-1])
+        held = rows[last].reset_index(drop=True)
         if not last.all():
-            yield from cut(rows[~last])
+            yield run(rows[~last].reset_index(drop=True))
     if held is not None and len(held):
-        yield from cut(held)
-
-
-def _cross(batches):
-    """All pairs of a shingle's sets that may be similar; sets go against each other in blocks."""
-    xs, ys, n = [], [], 0
-    for sid, size, place, maps in _groups(batches):
-        for lo in range(0, len(sid), 256):
-            a = slice(lo, lo + 256)
-            for at in range(lo, len(sid), 2048):
-                b = slice(at, at + 2048)
-                x, y = np.nonzero((sid[a, None] < sid[None, b]) & possible(size[a, None], place[a, None], size[None, b], place[None, b]))
-                x, y = x + lo, y + at
-                ok = _bits(maps[x], maps[y]) <= size[x] + size[y] - 2 * needed(size[x], size[y])
-                xs.append(sid[x[ok]])
-                ys.append(sid[y[ok]])
-                n += int(ok.sum())
-        if n > 200_000 or len(xs) > 20_000:
-            yield pd.DataFrame({"x": np.concatenate(xs), "y": np.concatenate(ys)}).drop_duplicates()
-            xs, ys, n = [], [], 0
-    if xs:
-        yield pd.DataFrame({"x": np.concatenate(xs), "y": np.concatenate(ys)}).drop_duplicates()
-
-
-def _verify(batches):
-    """Rows sorted by (x, chunk, role): a probe's set, then the sets of its candidates. Gives the links that hold."""
-    now, probe, names, sets = None, None, [], []
-
-    def close():
-        if probe is not None and sets:
-            hits = Trie(sets).similar(probe)
-            if hits:
-                yield pd.DataFrame({"a": now[0], "b": [names[i] for i, _ in hits], "shared": [n for _, n in hits]})
+        yield run(held)
 
-    for batch in batches:
-        for x, chunk, role, y, data in zip(batch["x"], batch["chunk"], batch["role"], batch["y"], batch["data"]):
-            if (x, chunk) != now:
-                yield from close()
-                now, probe, names, sets = (x, chunk), None, [], []
-            if role == 0:
-                probe = np.frombuffer(data, "<u8")
-            else:
-                names.append(y)
-                sets.append(np.frombuffer(data, "<u8"))
-    yield from close()
-
-
-def _filter_words(ids: DataFrame) -> bytes:
-    """A bitmap of FILTER bits with the ids' bits set; its size is fixed."""
-    bit = f"pmod(sid, {FILTER})"
-    rows = ids.select(F.expr(f"{bit} div 64").alias("w"), F.expr(f"shiftleft(1L, cast({bit} % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+
+def _filter_words(digests: DataFrame) -> bytes:
+    """A bitmap of FILTER bits with the digests' bits set; its size is fixed."""
+    bit = f"pmod(digest, {FILTER})"
+    rows = digests.select(F.expr(f"{bit} div 64").alias("w"), F.expr(f"shiftleft(1L, cast({bit} % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
     out = np.zeros(FILTER // 64, np.int64)
     for r in rows:
         out[r["w"]] = r["b"]
     return out.tobytes()
 
 
-def _links(pairs: DataFrame, rows: DataFrame, shared, scratch: Scratch) -> DataFrame:
-    """The pairs (x, y) that are similar, verified on whole sets."""
-    spark = pairs.sparkSession
-    ids = pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid"))).distinct()
-    wanted = spark.sparkContext.broadcast(_filter_words(ids))
+def _cell_hits(pdf: pd.DataFrame):
+    """Nodes of a cell, by number, and its similar pairs (x, y, shared): within the one block it has, or between its two."""
+    pdf = pdf.sort_values(["block", "node"], ignore_index=True)
+    sets = [np.frombuffer(d, "<u8") for d in pdf["data"]]
+    block = pdf["block"].to_numpy()
+    a = int((block == block[0]).sum())
+    if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
+        x, y, shared = Trie(sets).join(sets)
+        once = x < y
+        return pdf, x[once], y[once], shared[once]
+    x, y, shared = Trie(sets[:a]).join(sets[a:])
+    return pdf, x, y + a, shared
 
-    def sets(batches):
-        classes, bits, seen = np.frombuffer(shared.value, np.uint8), np.frombuffer(wanted.value, np.int64), set()
-        for batch in batches:
-            for _, texts in byte_blocks(batch["text"]):
-                out = []
-                for s in shingle_sets(texts):
-                    if len(s) and (i := set_id(s)) not in seen and bits[i % FILTER // 64] >> (i % 64) & 1:
-                        seen.add(i)
-                        out.append((i, ordered(s, classes).astype("<u8").tobytes()))
-                if out:
-                    yield pd.DataFrame(out, columns=["sid", "data"])
 
-    found = rows.mapInPandas(sets, "sid long, data binary").join(ids, "sid", "left_semi").groupBy("sid").agg(F.min("data").alias("data"))
-    found = scratch.write(found, "sets")
-    # The candidates of a set are dealt out in chunks; each chunk gets the set itself.
-    many = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    dealt = pairs.join(many, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.ceil(F.col("n") / CHUNK)).cast("int").alias("chunk"))
-    probes = dealt.select("x", "chunk").distinct().join(found, F.col("x") == F.col("sid")).select("x", "chunk", F.lit(0).alias("role"), F.col("x").alias("y"), "data")
-    others = dealt.join(found, F.col("y") == F.col("sid")).select("x", "chunk", F.lit(1).alias("role"), "y", "data")
-    rows = probes.unionByName(others).repartition("x", "chunk").sortWithinPartitions("x", "chunk", "role", "y")
-    return scratch.write(rows.mapInPandas(_verify, "a long, b long, shared long"), "links")
+def _cell_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf, x, y, shared = _cell_hits(pdf)
+    node = pdf["node"].to_numpy()
+    return pd.DataFrame({"a": node[x], "b": node[y], "shared": shared})
 
 
-def near_links(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """a, b, shared of every pair of different sets that are similar; doc_id, sid, n_shingles of every row."""
+def _cell_counts(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf, x, y, _ = _cell_hits(pdf)
+    node = pdf["node"].to_numpy()
+    order = np.argsort(node)
+    rank = np.empty(len(node), np.int64)
+    rank[order] = np.arange(len(node))
+    label = least_linked(len(node), rank[x], rank[y])
+    links = np.bincount(np.r_[x, y], minlength=len(node))
+    return pd.DataFrame({"node": node, "root": node[order][label[rank]], "n_links": links, "whole": pdf["whole"]})
+
+
+def _neighbourhoods(docs: DataFrame, scratch: Scratch, text: str, doc_id: str):
+    """(doc_id, sid, n_shingles) of every row; (sid, node) of the sets in neighbourhoods; their cells' rows."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    scanned = scratch.write(rows.mapInPandas(_scan, "kind int, doc_id long, sid long, n long, data binary"), "scanned")
-    members = scanned.filter("kind = 0").select("doc_id", "sid", F.col("n").alias("n_shingles"))
-    classes = spark.sparkContext.broadcast(_classes(scanned.filter("kind = 1")))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("digest"))
+    scanned = scratch.write(rows.mapInPandas(_scan, "kind int, doc_id long, digest long, sid binary, n long, data binary"), "scanned")
+    members = scanned.filter("kind = 0").select("doc_id", "sid", F.col("n").alias("n_shingles"), "digest")
+    packed = _classes(scanned.filter("kind = 1"))
+    classes = spark.sparkContext.broadcast(packed)
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(64, int(total * (DENOMINATOR - NUMERATOR) / DENOMINATOR) // BUCKET)
+    hot = max(HOT, 4 * total // SKETCH)  # no counter is hot because of what else it holds
 
-    prefix = rows.select("text").mapInPandas(_prefix_rows(classes, buckets), "kind int, bucket long, sid long, size long, map binary, data binary")
-    prefix = prefix.withColumn("part", F.when(F.col("kind") == 0, F.col("bucket")).otherwise(-1 - F.pmod("sid", F.lit(buckets))))
+    prefix = rows.select("text").mapInPandas(_prefix_rows(classes, buckets, hot), "part long, sid binary, size long, map binary, data binary")
 
     def reduce(key, pdf):
         if key[0] < 0:
-            return pdf.drop_duplicates("sid")[["sid", "size", "map"]].assign(key=None, place=None)[["key", "sid", "size", "place", "map"]]
+            return pdf.drop_duplicates("sid")[["sid", "size", "map"]].assign(key=None, cell=None, place=None)[["key", "cell", "sid", "size", "place", "map"]]
         return _meet(pdf).assign(map=None)
 
-    met = scratch.write(prefix.groupBy("part").applyInPandas(reduce, "key long, sid long, size long, place long, map binary"), "met")
-    maps, live = met.filter("key is null").select("sid", "map"), met.filter("key is not null").select("key", "sid", "size", "place")
-    asked = live.join(maps, "sid").repartition("key").sortWithinPartitions("key")
-    pairs = scratch.write(asked.mapInPandas(_cross, "x long, y long").distinct(), "pairs")
-    return _links(pairs, rows, classes, scratch), members
+    met = scratch.write(prefix.groupBy("part").applyInPandas(reduce, "key long, cell long, sid binary, size long, place long, map binary"), "met")
+    live = met.filter("key is not null")
+    nodes = met.filter("key is null").select("sid", "size", "map").join(live.select("sid").distinct(), "sid", "left_semi")
+    nodes = scratch.write(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    asked = live.select("key", "cell", "sid", "place").join(nodes, "sid").drop("sid").repartition("key", "cell").sortWithinPartitions("key", "cell")
+    edges = scratch.write(asked.mapInPandas(_edges, "a long, b long").distinct(), "edges")
+    stars = components(edges, scratch, "near")
+    roots = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+    sizes = roots.join(nodes.select("node", "size"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("items"))
+    sizes = sizes.withColumn("g", F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("items") / (2 * ITEMS))).cast("int"))
+    near = scratch.write(roots.join(sizes, "root").join(nodes.select("node", "sid", "size"), "node"), "neighbourhoods")
+    scratch.drop("met", "edges")
+
+    small = near.filter("g = 1").agg(F.count(F.lit(1)), F.sum("size")).first()
+    cells = max(1, (small[0] or 0) // CHUNK, (small[1] or 0) // ITEMS)
+    alone = near.filter("g = 1").select("sid", "node", F.pmod(F.xxhash64("root"), F.lit(cells)).alias("cell"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("block"), F.lit(True).alias("whole"))
+    split = near.filter("g > 1").select("sid", "node", F.col("root").alias("cell"), F.pmod(F.xxhash64("node"), F.col("g")).cast("int").alias("block"), F.explode(F.expr("sequence(0, g - 1)")).alias("k"))
+    split = split.select("sid", "node", "cell", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", F.lit(False).alias("whole"))
+    dealt = alone.unionByName(split)
+
+    # One text of each set in a neighbourhood travels: those whose digest is in the filter.
+    one = members.join(near.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.min("digest").alias("digest"))
+    wanted = spark.sparkContext.broadcast(_filter_words(one))
+
+    def sets(batches):
+        order, bits, seen = np.frombuffer(classes.value, np.uint8), np.frombuffer(wanted.value, np.int64), set()
+        for batch in batches:
+            b = batch["digest"].to_numpy() % FILTER
+            chosen = batch["text"][(bits[b // 64] >> (b % 64) & 1).astype(bool)]
+            for _, texts in byte_blocks(chosen):
+                out = []
+                for s in shingle_sets(texts):
+                    if len(s) and (i := set_id(s)) not in seen:
+                        seen.add(i)
+                        out.append((i, ordered(s, order).astype("<u8").tobytes()))
+                if out:
+                    yield pd.DataFrame(out, columns=["sid", "data"])
+
+    whole = rows.select("text", "digest").mapInPandas(sets, "sid binary, data binary").join(near.select("sid"), "sid", "left_semi")
+    whole = scratch.write(whole.groupBy("sid").agg(F.any_value("data").alias("data")), "sets")
+    return members, near.select("sid", "node"), dealt.join(whole, "sid").select("cell", "i", "j", "block", "whole", "node", "data")
+
+
+def near_links(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """a, b, shared of every pair of different sets that are similar; doc_id, sid, n_shingles and node of every row, node
+    being what a and b refer to and null where nothing may be similar."""
+    members, nodes, cells = _neighbourhoods(docs, scratch, text, doc_id)
+    links = cells.groupBy("cell", "i", "j").applyInPandas(_cell_links, "a long, b long, shared long")
+    return scratch.write(links, "links"), members.drop("digest").join(nodes, "sid", "left")
 
 
 def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, n_links, component_id of every row."""
     scratch = Scratch(docs.sparkSession, "ngram")
-    links, members = near_links(docs, scratch, text, doc_id)
-    roots = scratch.write(components(links.select("a", "b"), scratch, "stars"), "roots")
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-    degrees = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    nodes = degrees.join(roots, "node", "left").withColumnRenamed("node", "sid")
-    of_set = F.when(F.col("n_shingles") > 0, F.coalesce("root", "sid")).alias("root")
-    named = members.join(nodes, "sid", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), of_set)
+    members, nodes, cells = _neighbourhoods(docs, scratch, text, doc_id)
+    counted = scratch.write(cells.groupBy("cell", "i", "j").applyInPandas(_cell_counts, "node long, root long, n_links long, whole boolean"), "counted")
+    scratch.drop("sets")
+    found = counted.groupBy("node").agg(F.sum("n_links").alias("n_links"), F.min("root").alias("least"))
+    open_ = counted.filter("not whole and node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
+    if not open_.isEmpty():
+        found = found.join(components(open_, scratch, "stars"), "node", "left").withColumn("least", F.coalesce("root", "least")).drop("root")
+    named = members.drop("digest").join(nodes.join(found, "node"), "sid", "left")
+    # A set without a neighbour is a component of its own; sets without shingles aren't in any.
+    root = F.when(F.col("n_shingles") > 0, F.coalesce(F.col("least").cast("string"), F.hex("sid")))
+    named = named.select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), root.alias("root"))
     least = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "root", "left").select("doc_id", "n_shingles", "n_links", F.coalesce("component_id", "doc_id").alias("component_id"))
 

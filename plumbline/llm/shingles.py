@@ -11,19 +11,16 @@ import hashlib
 
 import numpy as np
 
-from plumbline.llm.bpe import Hasher
+from plumbline.llm.hashing import hashes, mix
 
 WIDTH = 5
 BITS = 56
 MASK = np.uint64((1 << BITS) - 1)
 _ROW = np.random.default_rng(11).integers(1, 1 << 63, WIDTH + 1, dtype=np.int64).astype(np.uint64) | np.uint64(1)
-_HASH = Hasher()
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (h ^ (h >> np.uint64(31))) & MASK
+    return mix(h) & MASK
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -38,7 +35,7 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(~space & (edge[:-1] | np.r_[True, space[:-1]])) if len(data) else np.zeros(0, np.int64)
     ends = np.flatnonzero(~space & (edge[1:] | np.r_[space[1:], True])) + 1 if len(data) else starts
     doc = np.searchsorted(np.cumsum(sizes), starts, "right")
-    return _HASH(data, starts, ends - starts), np.bincount(doc, minlength=len(texts))
+    return hashes(data, starts, ends - starts), np.bincount(doc, minlength=len(texts))
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
@@ -60,6 +57,6 @@ def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     return out
 
 
-def set_id(shingles: np.ndarray) -> int:
-    """64 bits that stand for a set of shingles."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_id(shingles: np.ndarray) -> bytes:
+    """128 bits of a cryptographic digest that stand for a set of shingles."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()

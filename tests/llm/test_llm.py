@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plumbline.llm import attention, automaton, bpe, bpe_codec, exact_dedup, fingerprints, langid, lm_score, ngram_join, packing, pii, prefix_trie, sharding, shingles, token_counts
+from plumbline.llm import attention, automaton, bpe, bpe_codec, exact_dedup, fingerprints, hashing, langid, lm_score, ngram_join, packing, pii, prefix_trie, sharding, shingles, token_counts
 from plumbline.llm.components import components
 from plumbline.plans.scratch import Scratch
 
@@ -162,6 +162,79 @@ def test_ngram_join_counts_every_link(spark, docs, empty):
     assert members.count() == len(rows)
 
 
+def hard_words(n=1000):
+    """Words that polynomial hashes of any base put together, as Thue-Morse words and what they form, and long ones that differ in one byte."""
+    one, other = b"a", b"b"
+    while len(one) < 1024:
+        one, other = one + other, other + one
+    rng = random.Random(21)
+    out = [one, other, b"x" + one, b"x" + other, one + other, other + one]
+    while len(out) < n:
+        a, b = rng.sample(range(6), 2)
+        w = bytearray(out[a] + out[b])
+        if rng.random() < 0.5:
+            w[rng.randrange(len(w))] = 99
+        out.append(bytes(w[: rng.randint(1, len(w))]))
+    return out
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_encoder_tells_hard_words_apart(path):
+    with open(path) as f:
+        encoder = bpe.Encoder(f.read())
+    words = hard_words(200)
+    text = b" ".join(words)
+    ids, counts = encoder.encode([text, words[0], words[1]])
+    want_ = [Tokenizer.from_file(path).encode(t.decode(), add_special_tokens=False).ids for t in (text, words[0], words[1])]
+    assert counts.tolist() == [len(w) for w in want_] and ids.tolist() == sum(want_, [])
+
+
+def test_groups_are_exact_whatever_the_hash():
+    words = hard_words()
+    data = np.frombuffer(b"".join(words), np.uint8)
+    n = np.array([len(w) for w in words])
+    at = np.cumsum(n) - n
+    for h in (hashing.hashes(data, at, n), np.zeros(len(words), np.uint64)):
+        one, which = hashing.groups(data, at, n, h)
+        assert len(one) == len(set(words)) and all(words[one[g]] == w for g, w in zip(which, words))
+    assert len(np.unique(hashing.hashes(data, at, n))) == len(set(words))
+    assert not np.array_equal(hashing.hashes(data, at, n), hashing.hashes(data, at, n, 1))
+    assert len(hashing.groups(data[:0], at[:0], n[:0])[0]) == 0
+
+
+def test_hard_words_are_different_documents(spark):
+    rows = [(i, " ".join([w.decode()] * 3)) for i, w in enumerate(hard_words(40))] + [(100 + i, f"a b c d {w.decode()} e f g h") for i, w in enumerate(hard_words(6))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {r[0]: v for r, v in zip(rows, brute_components(rows))}
+
+
+def test_hot_shingles_meet_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", 6)
+    rng = random.Random(13)
+    base = prose(40, rng).split()
+    rows = list(enumerate([" ".join([*base[:k], rng.choice(VOCABULARY), *base[k + 1 :]]) for k in range(40)]))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {r[0]: (*v, n) for r, v, n in zip(rows, brute_components(rows), brute_degrees(rows))}
+
+
+def test_trie_joins_all_probes_at_once():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 30, rng.integers(1, 25))).astype(np.uint64) for _ in range(120)]
+    got = set(zip(*(x.tolist() for x in prefix_trie.Trie(sets).join(sets[:50]))))
+    both = [[len(np.intersect1d(a, b)) for b in sets[:50]] for a in sets]
+    assert got == {(i, j, both[i][j]) for i in range(120) for j in range(50) if both[i][j] and 100 * both[i][j] >= 75 * (len(sets[i]) + len(sets[j]) - both[i][j])}
+
+
+def test_cells_hold_each_pair_once():
+    for g in (1, 2, 5):
+        block = np.arange(30) % g
+        at, cell = ngram_join._cells(block, np.full(30, g))
+        held = collections.defaultdict(set)
+        for a, c in zip(at.tolist(), cell.tolist()):
+            held[c].add(a)
+        assert all(any({a, b} <= s for s in held.values()) for a in range(30) for b in range(30)) and len(held) == g * (g + 1) // 2
+
+
 def test_trie_against_brute_force():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))).astype(np.uint64) for _ in range(300)]
