@@ -352,9 +352,10 @@ def _neighbourhoods(docs: DataFrame, scratch: Scratch, text: str, doc_id: str):
                 if out:
                     yield pd.DataFrame(out, columns=["sid", "data"])
 
-    whole = rows.select("text", "digest").mapInPandas(sets, "sid binary, data binary").join(near.select("sid"), "sid", "left_semi")
-    whole = scratch.write(whole.groupBy("sid").agg(F.any_value("data").alias("data")), "sets")
-    return members, near.select("sid", "node"), dealt.join(whole, "sid").select("cell", "i", "j", "block", "whole", "node", "data")
+    # Dealt by set once, for the filter, the choice of one and the join with the cells.
+    whole = rows.select("text", "digest").mapInPandas(sets, "sid binary, data binary").join(near.select("sid").hint("merge"), "sid", "left_semi")
+    whole = whole.groupBy("sid").agg(F.any_value("data").alias("data"))
+    return members, near.select("sid", "node"), dealt.hint("merge").join(whole, "sid").select("cell", "i", "j", "block", "whole", "node", "data")
 
 
 def near_links(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -370,7 +371,6 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     scratch = Scratch(docs.sparkSession, "ngram")
     members, nodes, cells = _neighbourhoods(docs, scratch, text, doc_id)
     counted = scratch.write(cells.groupBy("cell", "i", "j").applyInPandas(_cell_counts, "node long, root long, n_links long, whole boolean"), "counted")
-    scratch.drop("sets")
     found = counted.groupBy("node").agg(F.sum("n_links").alias("n_links"), F.min("root").alias("least"))
     open_ = counted.filter("not whole and node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
     if not open_.isEmpty():
