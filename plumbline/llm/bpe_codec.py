@@ -34,14 +34,14 @@ from plumbline.plans.scratch import ship, table
 SHARE, WORDS, BLOCK = 1 / (1 << 16), 1 << 16, 1 << 21
 
 
-def byte_blocks(texts, size: int = BLOCK):
-    """(first row, texts as bytes) of runs of about so many bytes."""
+def byte_blocks(texts, size: int = BLOCK, rows: int = 1 << 15):
+    """(first row, texts as bytes) of runs of about so many bytes, and no more than so many rows."""
     out, n, first = [], 0, 0
     for i, t in enumerate(texts):
         b = t.encode("utf-8") if isinstance(t, str) else b""
         out.append(b)
         n += len(b)
-        if n >= size:
+        if n >= size or len(out) >= rows:
             yield first, out
             out, n, first = [], 0, i + 1
     if out:
