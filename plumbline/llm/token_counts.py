@@ -1,14 +1,15 @@
 """Token counts through a cache keyed by content and tokenizer digests.
 
-The cache is a Parquet table of (content digest, tokenizer digest, tokens). Documents are digested where they are read; their distinct digests
-lose those the cache already holds; only the rest, one text for each digest, is encoded, and appended. Counts come back to the
-rows by a join on the digest, so a text with a million copies is encoded once.
+The cache is a Parquet table of (content digest, tokenizer digest, tokens), in a folder for each tokenizer. Documents are digested where they
+are read and joined with it, which gives every known count; of the others one text for each digest is encoded, and appended. Their counts come
+back to the rows by a join on the digest, so a text with a million copies is encoded once, and one that any run has seen not at all.
+``op1_token_counts`` keeps its cache in the shared folder, where later runs find it.
 
 Normalisation is what leaves every count as the tokenizer gives it: null becomes the empty text, and nothing else
 changes. The tokenizer digest is that of its file's bytes, so another version never meets these counts.
 
 Recovery: a run appends through Spark's committer; an append that dies leaves no rows, one that is repeated leaves equal rows, which the
-join sees once. Memory: encoding goes in blocks of about a million characters. Hot texts: the rows' side of the joins is split by adaptive
+join sees once. Two runs at a time may both encode and append a text. Memory: encoding goes in blocks of about a million characters. Hot texts: the rows' side of the joins is split by adaptive
 execution where a digest is frequent; the other side has one row for each digest.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens. Repeated rows give repeated results; a null ``doc_id`` stays null. An
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.plans.scratch import Scratch, ship, table
+from plumbline.plans.scratch import Scratch, shared_folder, ship, table
 
 LIMIT, BLOCK = 1024, 1 << 20
 CACHE = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("tokenizer", T.StringType()), T.StructField("n_tokens", T.LongType())])
@@ -71,30 +72,34 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, text: str = "text"
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(doc_id, F.octet_length(body).cast("long").alias("n_bytes"), F.unhex(F.sha2(body, 256)).alias("__digest"))
     scratch = Scratch(spark, "counts")
-    rows = scratch.write(rows, "digests")
+    path = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    stored = spark.read.schema(CACHE).parquet(cache) if there else spark.createDataFrame([], CACHE)
+    stored = stored.filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    rows = scratch.write(rows.join(stored.withColumnRenamed("digest", "__digest"), "__digest", "left"), "looked")
 
-    def cached() -> DataFrame:
-        path = spark._jvm.org.apache.hadoop.fs.Path(cache)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        found = spark.read.schema(CACHE).parquet(cache) if there else spark.createDataFrame([], CACHE)
-        return found.filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-
-    missing = rows.groupBy(F.col("__digest").alias("digest")).agg(F.min(doc_id).alias("id")).join(cached(), "digest", "left_anti").alias("m")
+    missing = rows.filter("n_tokens is null").groupBy(F.col("__digest").alias("digest")).agg(F.min(doc_id).alias("id")).hint("merge").alias("m")
     # The text travels once, dealt by digest and id, so that copies spread; that of one id for each missing digest is encoded.
     texts = docs.select(F.col(doc_id).alias("id"), body.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256))).alias("d")
     texts = texts.join(missing, (F.col("d.digest") == F.col("m.digest")) & F.col("d.id").eqNullSafe(F.col("m.id")), "left_semi").select("digest", "text")
 
     def encode(batches):
-        count = encoder(content.value)
+        count, seen = encoder(content.value), set()  # rows of one id and text are in one task
         for batch in batches:
+            batch = batch[~batch["digest"].isin(seen) & ~batch["digest"].duplicated()]
+            seen.update(batch["digest"])
             n = [c for run in blocks(batch["text"].tolist()) for c in count(run)]
             yield pd.DataFrame({"digest": batch["digest"], "tokenizer": version, "n_tokens": n})
 
-    texts.mapInPandas(encode, CACHE).write.mode("append").parquet(cache)
-    return rows.join(cached().withColumnRenamed("digest", "__digest"), "__digest").select(doc_id, "n_bytes", "n_tokens")
+    fresh = scratch.write(texts.mapInPandas(encode, CACHE), "fresh").dropDuplicates(["digest"])
+    if not fresh.isEmpty():
+        fresh.write.mode("append").partitionBy("tokenizer").parquet(cache)
+    new = fresh.select(F.col("digest").alias("__digest"), F.col("n_tokens").alias("counted"))
+    out = rows.join(new, "__digest", "left").withColumn("n_tokens", F.coalesce("n_tokens", "counted"))
+    return out.select(doc_id, "n_bytes", "n_tokens")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = Scratch(spark, "token-cache").path("counts")
+    cache = f"{shared_folder(spark)}/plumbline-token-cache"
     out = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
