@@ -12,7 +12,8 @@ term in a subset is described by the hash of all its sorted distinct words inste
 
 The edited text takes its tail from the next document in descending order of id. Ids are cut into ``blocks`` runs at approximate
 quantiles; a run is sorted by one task, and the document after its last comes along as a guest, so that texts are shuffled
-once. With n documents a run has about n / blocks of them; raise ``blocks`` with the input.
+once. There are as many runs as the texts have times ``RUN`` bytes, ``BLOCKS`` at least, so a task's run doesn't grow with the input. Their bounds,
+eight bytes for each run, are a literal in which two steps find a row's run.
 
 Defined results: a null text is the empty text; its fingerprint is that of no words. Repeated rows: ``op8_fingerprints`` (``every``) keeps each row; else a ``doc_id`` counts once,
 with its smallest text in the order of (characters, hash). A null ``doc_id`` is the last of all. An empty table gives no rows. One document
@@ -34,8 +35,8 @@ SUBSETS = sum(n for _, _, n in FAMILIES)
 EMPTY = "-" * 8
 #: Buckets of the lexicon's table.
 BUCKETS = 1 << 14
-#: Runs of neighbouring ids that a task takes whole, and how many bounds a coarse step passes.
-BLOCKS, STEP = 256, 32
+#: Runs of neighbouring ids that a task takes whole: how many at least, and about how many bytes of texts in each.
+BLOCKS, RUN = 256, 1 << 26
 
 
 def words(text: Column) -> Column:
@@ -92,25 +93,27 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(used > 0, same / used).otherwise(F.when(a == b, F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
-def _block(bounds: Column, coarse: Column) -> Column:
-    """How many bounds are at most doc_id: a coarse step over every ``STEP``-th bound, a fine one between two of them."""
+def _block(bounds: Column, coarse: Column, stride: int) -> Column:
+    """How many bounds are at most doc_id: a coarse step over every stride-th bound, a fine one between two of them."""
     first = F.size(F.filter(coarse, lambda b: b <= F.col("doc_id")))
-    first = F.when(first > 0, first - 1).otherwise(0) * STEP
-    return F.when(F.col("doc_id").isNull(), 0).otherwise(first + F.size(F.filter(F.slice(bounds, first + 1, F.lit(STEP)), lambda b: b <= F.col("doc_id"))))
+    first = F.when(first > 0, first - 1).otherwise(0) * stride
+    return F.when(F.col("doc_id").isNull(), 0).otherwise(first + F.size(F.filter(F.slice(bounds, first + 1, F.lit(stride)), lambda b: b <= F.col("doc_id"))))
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", blocks: int = BLOCKS, every: bool = False) -> DataFrame:
-    """every: each row counts, also those of a repeated or null doc_id, in the order of (doc_id descending, characters, hash)."""
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", blocks: int = BLOCKS, every: bool = False, run: int = RUN) -> DataFrame:
+    """blocks: runs at least; run: about the bytes of each; every: each row counts, also those of a repeated or null doc_id, in the order of (doc_id descending, characters, hash)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "imatch")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     buckets = lexicon(rows, F.col("text")).select(F.to_json("table")).first()[0]  # no more than m / LOW words
     lex = F.from_json(F.lit(buckets), "array<array<bigint>>")
+    blocks = max(blocks, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // run))
     shares = [i / blocks for i in range(1, blocks)]
-    found = rows.agg(F.percentile_approx("doc_id", shares, 100 * blocks)).first()[0] or []  # no more than the blocks
+    found = (rows.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * blocks))).first()[0] if shares else None) or []  # no more than the blocks
     found = sorted(set(found))
-    bounds, coarse = (F.from_json(F.lit(str(x)), "array<bigint>") for x in (found, found[::STEP]))
-    rows = rows.withColumn("block", _block(bounds, coarse))
+    stride = max(1, int(len(found) ** 0.5))
+    bounds, coarse = (F.from_json(F.lit(str(x)), "array<bigint>") for x in (found, found[::stride]))
+    rows = rows.withColumn("block", _block(bounds, coarse, stride))
     # The document after a block's last is the first of the next lower block, or the first of all: it comes along as a guest.
     tops = rows.groupBy("block").agg(F.max("doc_id").alias("top"))
     down = Window.orderBy(F.desc("block"))  # one row for each block
