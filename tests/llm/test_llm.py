@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import os
 import random
 import re
@@ -78,7 +79,7 @@ def test_token_counts(spark, docs, empty, tmp_path):
         got = token_counts.count_tokens(docs, BYTE, cache).collect()
         assert keyed(got, lambda r: (r.n_bytes, r.n_tokens)) == want(lambda r: count(r["text"]))
     stored = spark.read.parquet(cache)
-    assert stored.select("digest").distinct().count() == len({t or "" for _, t, *_ in ROWS})
+    assert stored.count() == stored.select("digest").distinct().count() == len({t or "" for _, t, *_ in ROWS})
     before = stored.count()
     token_counts.count_tokens(docs, BYTE, cache).collect()
     assert spark.read.parquet(cache).count() == before
@@ -87,6 +88,20 @@ def test_token_counts(spark, docs, empty, tmp_path):
     assert token_counts.count_tokens(empty, BYTE, cache).count() == 0
 
 
+def test_token_counts_come_from_the_cache(spark, docs, tmp_path):
+    cache = f"file://{tmp_path}/cache"
+    digests = docs.select(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"), F.lit(token_counts.tokenizer_digest(BYTE)).alias("tokenizer"), F.lit(77).cast("long").alias("n_tokens"))
+    digests.distinct().write.partitionBy("tokenizer").parquet(cache)
+    assert {r.n_tokens for r in token_counts.count_tokens(docs, BYTE, cache).collect()} == {77}
+    spark.createDataFrame([(i, t) for i, t, *_ in ROWS[:5]], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    from plumbline.plans.scratch import shared_folder
+
+    folder = f"{shared_folder(spark)}/plumbline-token-cache"
+    first = token_counts.op1_token_counts(spark, str(tmp_path)).collect()
+    kept = spark.read.parquet(folder).count()
+    assert sorted(token_counts.op1_token_counts(spark, str(tmp_path)).collect()) == sorted(first) and spark.read.parquet(folder).count() == kept >= 4
+
+
 def brute_components(rows):
     sets = []
     for _, t in rows:
@@ -284,6 +299,8 @@ def test_sharding(spark, docs, empty):
     many = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot " * 20)).otherwise(F.concat(F.lit("t"), (F.col("id") / 2).cast("int").cast("string"))).alias("text"))
     sums = [r.b for r in sharding.byte_shards(many, 24).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
     assert len(sums) == 24 and max(sums) - min(sums) <= 2 * max(88, sum(sums) / 24 / 50) + 2
+    # A group of more than a fiftieth of a shard is cut; smaller ones stay whole.
+    assert sharding.byte_shards(many, 24).filter(F.col("text_crc32") == zlib.crc32(b"hot " * 20)).select("shard").distinct().count() > 10
     split = sharding.byte_shards(many.filter("doc_id % 3 <> 0"), 24).groupBy("text_crc32").agg(F.count_distinct("shard").alias("n"))
     assert split.agg(F.max("n")).first()[0] == 1
 
@@ -393,6 +410,33 @@ def test_pii(spark, docs, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_pii_context_decides(spark):
+    rows = ["my SSN is 123-45-6789", "part 123-45-6789 of it", "social security: 123-45-6789, 123-45-6780", "ssn 000-12-3456 666-12-3456 923-45-6789 123-00-6789", "ssn " + "x" * 41 + " 123-45-6789",
+            "IMEI 490154203237518", "no 490154203237518", "imei 490154203237519", "12 34 56 host 10.0.0.1 78 server", "10.0.0.1 a 10.0.0.2 b"]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).select("doc_id", pii.joined(*[f"__{k}" for k in pii.OWN]).alias("own"), F.transform("__ip", lambda x: F.round(x["score"], 2)).alias("ip")).collect()}
+    assert [got[i].own for i in range(10)] == ["ssn:10:21", "", "ssn:17:28,ssn:30:41", "", "", "imei:5:20", "", "", "", ""]
+    assert got[8].ip == [0.8] and got[9].ip == [0.6, 0.6]
+
+
+def test_pii_score_is_that_of_the_text_around(spark):
+    rng = random.Random(4)
+    parts = ["a@b.c", "10.0.0.1", "12", "mail", "host", " ", ", ", "x" * 15, "1.2.3.4", "é", "ip:", "+1 555 123 4567", "call"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(1, 60))) for _ in range(80)]
+    got = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        t = texts[r.doc_id]
+        for k in pii.BASE:
+            for x in r[f"__{k}"]:
+                around = t[max(0, x.start - pii.NEAR) : x.end + pii.NEAR].lower()
+                assert x.score == pytest.approx(pii.START[k] + pii.BONUS * bool(re.search(rf"\b(?:{pii.CONTEXT[k]})", around))), (k, t[max(0, x.start - 60) : x.end + 60])
+
+
+def test_pii_in_a_text_of_many_matches(spark):
+    text = "m a@b.co " * 20000
+    r = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(pii.joined("__email").alias("e")).first()
+    assert r.e == ",".join(f"email:{9 * i + 2}:{9 * i + 8}" for i in range(20000))
+
+
 def test_redaction_keeps_the_rest(spark):
     df = spark.createDataFrame([(1, "mail a@b.co or 10.0.0.1.", 24, "k"), (2, None, None, "k"), (3, "clean", 5, "k"), (4, "", 0, "k")], "doc_id long, text string, n_chars long, __row string")
     out = {r.doc_id: r for r in pii.redact(df.withColumnRenamed("__row", "row")).collect()}
@@ -419,74 +463,118 @@ def test_lm_base_and_split(docs, empty):
     assert lm_score.lm_scores(empty, BYTE).count() == 0
 
 
-def test_lm_training_windows_tile_every_text(spark, docs, tmp_path):
-    from types import SimpleNamespace
-
+def test_lm_windows_tile_every_training_text_and_pairs_count_it(spark, docs):
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     with open(BYTE, encoding="utf-8") as f:
-        content = SimpleNamespace(value=f.read())
+        content = spark.sparkContext.broadcast(f.read())
     encoder = bpe.Encoder(content.value)
-    model = SimpleNamespace(value=SimpleNamespace(class_of=np.arange(60000) % 100, closing=101))
+    size = 50257
+    types = lm_score.Types(np.bincount(np.arange(size) % 977, minlength=size), size - 1, np.arange(size) % 3 == 0)
+    assert types.closing == 0 and np.allclose(np.bincount(types.type_of, np.exp(types.share), lm_score.TYPES), 1)
     df = docs.select("doc_id", "text", (F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 10 == 0).alias("held_out"))
-    windows = lm_score.training_windows(df, content, model, Scratch(spark, "tile"))
-    expected, pairs = collections.Counter(), collections.Counter()
+    heavy = spark.sparkContext.broadcast({b"one": 3, b"words": 2})
+    scanned = Scratch(spark, "tile").write(lm_score.scan(df, content, spark.sparkContext.broadcast(types), heavy, 7), "scanned")
+    rows = scanned.filter("kind = 0").toPandas()
+    expected, pairs = [], collections.Counter()
     for i, t, *_ in ROWS:
+        words = re.findall(rb"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode())
+        own = types.type_of[lm_score.word_ids(encoder, words)[0]]
+        expected.append((repr(i), own.astype("<u2").tobytes()))
         if not held(i):
-            words = re.findall(rb"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode())
-            seq = [101, 101, *(lm_score.word_ids(encoder, words)[0] % 100).tolist(), 101]
-            for k, lo in enumerate(range(0, len(seq) - 2, attention.WINDOW)):
-                expected[i, k, bytes(seq[lo : lo + attention.WINDOW + 2])] += 1
-            pairs.update(zip(seq[1:], seq[2:]))
-    assert collections.Counter((r.doc_id, r.nth, bytes(r.run)) for r in windows.collect()) == expected
-    joint = lm_score.count_pairs(windows)
+            seq = [0, *own.tolist(), 0]
+            pairs.update(zip(seq, seq[1:]))
+    assert collections.Counter(zip(rows["doc_id"].map(lambda i: repr(None if i != i else int(i))), rows["data"].map(bytes))) == collections.Counter(expected)
+    joint = lm_score.count_pairs(scanned)
     assert {(a, b): int(joint[a, b]) for a, b in zip(*np.nonzero(joint))} == pairs
+    tiled = collections.Counter()
+    for x, y in lm_score.training_windows([rows[~rows["held_out"].astype(bool)]], 0):
+        for before, after in zip(x[:, attention.SPAN :], y):
+            tiled.update((a, b) for a, b in zip(before.tolist(), after.tolist()) if b >= 0)
+    assert tiled == pairs
+
+
+def test_lm_gather_tells_hashes_apart_and_adds_up():
+    e = np.array([(7, 1, 0, 65535), (7, 1, 0, 2), (7, 2, 1, 3), (7, 3, 1, 1), (9, 1, 2, 4)], lm_score.ENTRY)
+    import pandas as pd
+
+    counts = pd.DataFrame({"bucket": 0, "hash": [7, 7, 8], "more": [2, 1, 1], "c": [5, 9, 1]})
+    got = lm_score._gather(pd.DataFrame({"bucket": [0], "block": [4], "data": [e.tobytes()]}), counts).iloc[0]
+    assert np.frombuffer(got["texts"], "<u4").tolist() == [0, 1, 2] and np.frombuffer(got["known"], np.int64).tolist() == [65537, 3, 0]
+    assert np.allclose(np.frombuffer(got["base"]), [65537 * np.log10(9.1), 3 * np.log10(5.1) + np.log10(0.1), 4 * np.log10(0.1)])
+
+
+def small_model(seed=0, types=40, classes=attention.CLASSES):
+    rng = np.random.default_rng(seed)
+    kind, prior = rng.integers(0, classes, types), rng.random((types, classes)).astype(np.float32) + 0.1
+    return attention.init(), kind, prior / prior.sum(1, keepdims=True)
 
 
 def test_attention_is_causal_scores_once_and_sums_to_one():
     rng = np.random.default_rng(0)
-    counts = np.array([0, 1, 30, 31, 32, 100, 57])
-    ids = rng.integers(1, attention.CLASSES, counts.sum())
-    x, before, y, owner = attention.cut(ids, counts, 0)
+    counts = np.array([0, 1, 30, 31, 32, 33, 100, 57])
+    types = rng.integers(1, 40, counts.sum())
+    x, y, owner = attention.windows(types, counts, 0)
     begin = np.cumsum(counts) - counts
     for t, (b, n) in enumerate(zip(begin, counts)):
-        assert y[owner == t][y[owner == t] >= 0].tolist() == [*ids[b : b + n], 0]
-    p, bias = attention.init(), rng.random((attention.CLASSES, attention.CLASSES)).astype(np.float32)
-    z, _ = attention.forward(p, x, before, bias, 0)
-    later = x.copy()
-    later[:, 20:] = 5
-    z2, _ = attention.forward(p, later, np.c_[before[:, :21], later[:, 20:-1]], bias, 0)
-    assert np.allclose(z[:, :20], z2[:, :20], atol=1e-5)
-    total = np.zeros(len(x[:1]))
+        assert y[owner == t][y[owner == t] >= 0].tolist() == [*types[b : b + n], 0]
+    p, kind, prior = small_model()
+    link, _ = attention.forward(p, kind.take(np.maximum(x, 0)), x >= 0)
+    later = np.where((np.arange(x.shape[1]) > attention.SPAN + attention.STEP) & (x >= 0), 5, x)
+    again, _ = attention.forward(p, kind.take(np.maximum(later, 0)), later >= 0)
+    assert np.allclose(link[:, :2], again[:, :2], atol=1e-5) and not np.allclose(link[:, 2:], again[:, 2:], atol=1e-5)
+    total, kinds = 0.0, np.arange(attention.CLASSES)
     for c in range(attention.CLASSES):
-        y1 = np.full_like(y[:1], -1)
+        y1 = np.full_like(y[-1:], -1)
         y1[0, 10] = c
-        total += np.exp(attention.score(p, x[:1], before[:1], y1, bias))
+        total += np.exp(attention.score(p, x[-1:], y1, np.r_[kinds], prior.repeat(4, 0)[: attention.CLASSES]))[0]
     assert total == pytest.approx(1, abs=1e-4)
 
 
 def test_later_windows_score_after_half_a_window():
     counts = np.array([100, 33, 500])
-    _, _, y, owner = attention.cut(np.ones(counts.sum(), np.int64), counts, 0)
+    x, y, owner = attention.windows(np.ones(counts.sum(), np.int64), counts, 0)
     later = np.r_[False, owner[1:] == owner[:-1]]
-    assert later.sum() > 10 and (y[later][:, : attention.WINDOW // 2] == -1).all() and (y[later][:, attention.WINDOW // 2] >= 0).all()
+    assert later.sum() > 10 and (x[later][:, : attention.SPAN] >= 0).all() and (x[~later][:, : attention.SPAN] == -1).all()
+    assert y.shape[1] * 2 == x.shape[1]
+
+
+def test_model_is_a_distribution():
+    rng = np.random.default_rng(3)
+    joint = np.zeros((lm_score.TYPES,) * 2, np.int64)
+    np.add.at(joint, tuple(rng.integers(0, 300, (2, 5000))), 1)
+    for table_ in (joint, np.zeros_like(joint)):
+        m = lm_score.Model(table_, 0)
+        assert m.kind[0] == 0 and (m.kind == 0).sum() == 1 and np.allclose(m.prior.sum(1), 1, atol=1e-4)
+        for before in (0, 5, 299, 2000):
+            have = np.unique(m.kind)
+            assert np.allclose(np.bincount(m.kind, np.exp(m.within[before].astype(float)), attention.CLASSES)[have], 1, atol=1e-3)
 
 
 def test_attention_gradient():
     rng = np.random.default_rng(0)
-    x, before, y = (rng.integers(0, attention.CLASSES, (3, attention.WINDOW)) for _ in range(3))
-    p = {k: v.astype(float) for k, v in attention.init().items()}
-    bias = rng.random((attention.CLASSES,) * 2)
-    g = attention.gradient(p, x, before, y, bias)[1]
+    p, kind, prior = small_model()
+    counts = np.array([70, 20, 40])
+    x, y, _ = attention.windows(rng.integers(0, 40, counts.sum()), counts, 0)
+    p = {k: v.astype(float) for k, v in p.items()}
+    prior = prior.astype(float)
+    g = attention.gradient(p, x, y, kind, prior)[1]
     for name in p:
         i = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
         p[name][i] += 1e-5
-        a = attention.gradient(p, x, before, y, bias)[0]
+        a = attention.gradient(p, x, y, kind, prior)[0]
         p[name][i] -= 2e-5
-        b = attention.gradient(p, x, before, y, bias)[0]
+        b = attention.gradient(p, x, y, kind, prior)[0]
         p[name][i] += 1e-5
         assert (a - b) / 2e-5 == pytest.approx(g[name][i], rel=1e-3)
 
 
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    got = lm_score.op7_lm_score(spark, "/root/testdata/sf0.01").toPandas()
+    held = got[got["held_out"]]
+    assert len(got) == 1000 and len(held) > 50
+    assert held["score"].sum() > held["base_score"].sum() and (held["score"] > held["base_score"]).mean() > 0.5
+
+
 def test_fingerprints(spark, docs, empty):
     got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
     once = {}
@@ -515,6 +603,59 @@ def test_op8_keeps_every_row(spark, tmp_path):
         assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.fingerprints(df, blocks=blocks, every=True).collect()) == expected
 
 
+def brute_imatch(texts):
+    """The fingerprint function of plain Python: lexicon by document frequency, subsets by parts of the hash space, chained hashes."""
+    import xxhash
+
+    def signed(h):
+        return h - (1 << 64) if h >> 63 else h
+
+    def terms(t):
+        return {signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.split(r"[\x20\x09-\x0D]+", t.lower()) if w}
+
+    def chained(hs):
+        h = 42
+        for x in sorted(hs):
+            h = xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), h)
+        return h
+
+    df = collections.Counter(h for t in texts for h in terms(t))
+    low, high = max(2, math.ceil(0.002 * len(texts))), max(2, math.floor(0.25 * len(texts)))
+    lexicon = {h for h, n in df.items() if low <= n <= high}
+    ranges_ = [(a + k * w, a + (k + 1) * w) for a, w, n in ((0, 32, 16), (512, 4, 16), (1024, 256, 4)) for k in range(n)]
+
+    def code(t):
+        known = terms(t) & lexicon
+        own = [[h for h in known if a <= (h >> 40) % 2048 < b] for a, b in ranges_]
+        out = "".join(f"{chained(p) & 0xFFFFFFFF:08x}" if p else "--------" for p in own)
+        return out if known and any(own) else out + f"{chained(terms(t)):016x}"
+
+    return code
+
+
+def test_fingerprints_against_plain_imatch(spark, tmp_path):
+    rng = random.Random(8)
+    many = [a + b for a in VOCABULARY[:60] for b in VOCABULARY[:6]]
+    texts = [" ".join(rng.choice(many) for _ in range(rng.randint(0, 90))) for _ in range(150)] + [None, "", "one", "Ünïcode TEXT", " ".join(many[:300])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = [t or "" for t in texts]
+    code = brute_imatch(texts)
+
+    def like(a, b):
+        pairs = [(a[i : i + 8], b[i : i + 8]) for i in range(0, 36 * 8, 8)]
+        used = sum(x != "-" * 8 or y != "-" * 8 for x, y in pairs)
+        return sum(x == y != "-" * 8 for x, y in pairs) / used if used else float(a == b)
+
+    for df in (fingerprints.op8_fingerprints(spark, str(tmp_path)), fingerprints.fingerprints(spark.read.parquet(f"{tmp_path}/documents.parquet"), blocks=1, run=2000)):
+        got = {r.doc_id: r for r in df.collect()}
+        assert len(got) == len(texts)
+        for i, t in enumerate(texts):
+            after, n = texts[i - 1], len(t) // 3
+            edited = t[: len(t) - n] + after[:n]
+            assert (got[i].fingerprint, got[i].edited_fingerprint, got[i].edited_sha256) == (code(t), code(edited), sha(edited))
+            assert (got[i].near_edited, got[i].near_next) == (pytest.approx(like(code(t), code(edited))), pytest.approx(like(code(t), code(after))))
+
+
 def test_fingerprints_recognise_edited_documents(spark):
     rng = random.Random(2)
     many = [a + b for a in VOCABULARY for b in VOCABULARY[:10]]
