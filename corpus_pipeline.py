@@ -6,6 +6,8 @@ of documents; the last returns pieces with their places in sequences. Extra colu
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,47 +18,88 @@ from plumbline.plans.scratch import Scratch, table
 TOKENIZER = "word_bpe_49k.json"
 
 
+#: Columns that stages read by name; all others travel under names that no operator uses.
+OWN = ("doc_id", "text", "lang", "n_chars")
+
+
+def _aside(stage):
+    """The stage over docs whose other columns are renamed by their place, and named back in its result (where they still are)."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: c if c in OWN else f"travels{i}" for i, c in enumerate(docs.columns)}
+        out = stage(spark, docs.toDF(*names.values()), sf_dir)
+        back = {v: k for k, v in names.items()}
+        return out.toDF(*[back.get(c, c) for c in out.columns])
+
+    return run
+
+
 def _marked(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
-    """docs with a row number in ``__uid``, written so that it stays: ids may be null or repeated."""
-    return Scratch(spark, name).write(docs.withColumn("__uid", F.monotonically_increasing_id()), "rows")
+    """docs with a row number in ``row``, written so that it stays: ids may be null or repeated."""
+    return Scratch(spark, name).write(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
 
 
 def _smallest(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Of each group the row with the smallest id, of equal ids the first."""
-    named = rows.select("__uid", "doc_id").join(groups, "__uid")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__uid"))
-    keep = named.groupBy("__group").agg(first.alias("s")).select(F.col("s.__uid").alias("__uid"))
-    return rows.join(keep, "__uid", "left_semi")
+    """Of each group the row with the smallest id, of equal ids the first; null ids come last."""
+    named = rows.select("row", "doc_id").join(groups, "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    keep = named.groupBy("group").agg(first.alias("s")).select(F.col("s.row").alias("row"))
+    return rows.join(keep, "row", "left_semi")
 
 
+@_aside
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Trains on the labelled rows outside the held-out part; rows whose language can't be told go."""
+    """Trains on the labelled rows outside the held-out part; rows whose language can't be told go.
+
+    Those are null and empty texts, texts without a letter, and every text where no row has both a text and a label. A null ``lang`` or
+    ``doc_id`` is no reason to go; repeated rows are judged alike and all stay; an empty table stays empty.
+    """
     rows = langid.held_out_split(docs)
     model = langid.train(rows.filter(~F.col("held_out")))
     return langid.predict(docs, model, keep=tuple(docs.columns)).filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
+@_aside
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays, that with the smallest id."""
+    """One row of each group of equal texts stays, that with the smallest id.
+
+    Texts are equal when they are identical but for runs of white space; a null text equals the empty one. Of rows with one id and equal
+    texts one stays; a row with a null id stays only where its group has no other. An empty table stays empty.
+    """
     rows = _marked(spark, docs, "copies")
-    groups = exact_dedup.exact_groups(rows, doc_id="__uid").select(F.col("doc_id").alias("__uid"), F.col("keep_id").alias("__group"))
+    groups = exact_dedup.exact_groups(rows, doc_id="row").select(F.col("doc_id").alias("row"), F.col("keep_id").alias("group"))
     return _smallest(rows, groups).select(*docs.columns)
 
 
+@_aside
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar documents stays, that with the smallest id."""
+    """One document of each component of similar documents stays, that with the smallest id.
+
+    Texts without words (null, empty, white space) are similar to none and all stay. Equal texts are one component, so of repeated rows one
+    stays; a row with a null id stays only where its component has no other. An empty table stays empty.
+    """
     rows = _marked(spark, docs, "near")
-    groups = ngram_join.near_components(rows, doc_id="__uid").select(F.col("doc_id").alias("__uid"), F.col("component_id").alias("__group"))
+    groups = ngram_join.near_components(rows, doc_id="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
     return _smallest(rows, groups).select(*docs.columns)
 
 
+@_aside
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Confirmed personal data gives way to its kind in brackets; every document stays."""
+    """Confirmed personal data gives way to its kind in brackets; every row stays.
+
+    Of overlapping spans the first holds. Null texts stay null, texts without spans stay as they are; ``n_chars``, where there is one, counts the new
+    text. Repeated rows and null ids pass through; an empty table stays empty.
+    """
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces in sequences."""
+    """Pieces in sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null or empty text is the closing id alone; repeated rows are documents of their own; a null id stays null; other columns end
+    here. Ties between pieces or sequences go to the first. An empty table gives no rows.
+    """
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
