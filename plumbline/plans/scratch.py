@@ -21,10 +21,12 @@ _SHIPPED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, a laptop)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset and the master is local (tests, a laptop)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="plumbline-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
