@@ -197,27 +197,13 @@ def query_audit(spark, d):
     return scored(spark, d).groupingSets([[F.col("family")], [F.col("family"), F.col("y")]], "family", "y").agg(F.grouping_id("family", "y").cast("long").alias("level"), F.count(F.lit(1)).alias("assigned"), n(F.col("ok")).alias("valid"), n(~F.col("ok")).alias("invalid"))
 
 
-BOOT = "u AS (SELECT family, g, row_number() OVER (PARTITION BY family ORDER BY g) - 1 AS pos, avg(s) AS a, avg(s) FILTER (ok) AS b FROM v GROUP BY family, g), dr AS (SELECT replicate, family, (replicate * 7 + slot * 11 + family * 3) % 15 AS pos FROM range(200) r(replicate), range(10) f(family), range(15) s(slot))"
-
-
-@query("paired_bootstrap", f"WITH {V}, {BOOT}, x AS (SELECT family, pos, a - b AS d FROM u), bf AS (SELECT replicate, family, avg(d) AS d FROM dr JOIN x USING (family, pos) GROUP BY ALL), rp AS (SELECT replicate, avg(d) AS d FROM bf GROUP BY replicate), pt AS (SELECT avg(d) AS point FROM (SELECT family, avg(d) AS d FROM x GROUP BY family)) SELECT round(any_value(point), 6) AS point, round(quantile_cont(d, 0.025), 6) AS ci_lower, round(quantile_cont(d, 0.975), 6) AS ci_upper, count(d) AS replicates FROM rp, pt")
-def paired_bootstrap(spark, d):
-    from pyspark.sql.window import Window
-
-    units = scored(spark, d).groupBy("family", "g").agg(F.avg("s").alias("a"), F.avg(F.when(F.col("ok"), F.col("s"))).alias("b"))
-    units = units.withColumn("pos", F.row_number().over(Window.partitionBy("family").orderBy("g")) - 1)
-    draws = spark.range(200).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("family")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(14))))
-    draws = draws.select("replicate", "family", ((F.col("replicate") * 7 + F.col("slot") * 11 + F.col("family") * 3) % 15).alias("pos"))
-    return metrics.paired_bootstrap(units, draws, "a", "b").select(r("point"), r("ci_lower"), r("ci_upper"), "replicates")
-
-
 #: As many draws with replacement as the family has units, from a mixing of (replicate, family, slot).
 MIX = "(((replicate * 1000003 + family * 7919 + slot * 104729 + 12345) * 48271 % 2147483647) * 69621 % 2147483647) * 16807 % 2147483647"
-BOOT_ALL = BOOT[: BOOT.index(", dr AS")] + f", n AS (SELECT family, count(*) AS n FROM u GROUP BY family), dr AS (SELECT replicate, family, {MIX} % n AS pos FROM n, range(200) r(replicate), LATERAL (SELECT unnest(range(n)) AS slot))"
+BOOT = f"u AS (SELECT family, g, row_number() OVER (PARTITION BY family ORDER BY g) - 1 AS pos, avg(s) AS a, avg(s) FILTER (ok) AS b FROM v GROUP BY family, g), n AS (SELECT family, count(*) AS n FROM u GROUP BY family), dr AS (SELECT replicate, family, {MIX} % n AS pos FROM n, range(200) r(replicate), LATERAL (SELECT unnest(range(n)) AS slot))"
 
 
-@query("paired_bootstrap_all_units", f"WITH {V}, {BOOT_ALL}, x AS (SELECT family, pos, a - b AS d FROM u), bf AS (SELECT replicate, family, avg(d) AS d FROM dr JOIN x USING (family, pos) GROUP BY ALL), rp AS (SELECT replicate, avg(d) AS d FROM bf GROUP BY replicate), pt AS (SELECT avg(d) AS point FROM (SELECT family, avg(d) AS d FROM x GROUP BY family)) SELECT round(any_value(point), 6) AS point, round(quantile_cont(d, 0.025), 6) AS ci_lower, round(quantile_cont(d, 0.975), 6) AS ci_upper, count(d) AS replicates FROM rp, pt")
-def paired_bootstrap_all_units(spark, d):
+@query("paired_bootstrap", f"WITH {V}, {BOOT}, x AS (SELECT family, pos, a - b AS d FROM u), bf AS (SELECT replicate, family, avg(d) AS d FROM dr JOIN x USING (family, pos) GROUP BY ALL), rp AS (SELECT replicate, avg(d) AS d FROM bf GROUP BY replicate), pt AS (SELECT avg(d) AS point FROM (SELECT family, avg(d) AS d FROM x GROUP BY family)) SELECT round(any_value(point), 6) AS point, round(quantile_cont(d, 0.025), 6) AS ci_lower, round(quantile_cont(d, 0.975), 6) AS ci_upper, count(d) AS replicates FROM rp, pt")
+def paired_bootstrap(spark, d):
     units, draws = bootstrap_draws(spark, d)
     return metrics.paired_bootstrap(units, draws, "a", "b").select(r("point"), r("ci_lower"), r("ci_upper"), "replicates")
 
@@ -535,15 +521,9 @@ def rank_likelihood_fit(spark, d):
     return calibration.likelihood_ratio(_ranked(spark, d), "family", "y", "rk", 8, 0.5).select("bin", r("llr", 9))
 
 
-@query("rank_likelihood_query", f"WITH {V}, {RANKED}, {HIST}, {LLR}, sx AS (SELECT id, family, round(llr, 12) AS llr FROM bb JOIN ll USING (bin)), ec AS (SELECT q.id, q.llr, x.family, count(*) FILTER (x.llr < q.llr)::DOUBLE / (count(*) + 1) AS e FROM (SELECT * FROM sx WHERE id % 20 = 0) q, sx x GROUP BY ALL) SELECT id, round(any_value(llr), 6) AS llr, round(avg(e), 6) AS score FROM ec GROUP BY id")
-def rank_likelihood_query(spark, d):
-    df = _ranked(spark, d)
-    return experiments.rank_likelihood(df, df.filter("id % 20 = 0"), "family", "y", "rk", 8, 0.5, "id").select("id", r("llr"), r("score"))
-
-
 # Rows of equal llr have equal scores, so the ECDF runs over distinct values.
-@query("rank_likelihood_query_all", f"WITH {V}, {RANKED}, {HIST}, {LLR}, sx AS (SELECT id, family, round(llr, 12) AS llr FROM bb JOIN ll USING (bin)), fv AS (SELECT f.family, l.llr, count(sx.id) AS c FROM (SELECT DISTINCT family FROM sx) f CROSS JOIN (SELECT DISTINCT llr FROM sx) l LEFT JOIN sx ON sx.family = f.family AND sx.llr = l.llr GROUP BY ALL), ec AS (SELECT llr, (sum(c) OVER (PARTITION BY family ORDER BY llr) - c)::DOUBLE / (sum(c) OVER (PARTITION BY family) + 1) AS e FROM fv), sc AS (SELECT llr, avg(e) AS score FROM ec GROUP BY llr) SELECT id, round(sx.llr, 6) AS llr, round(score, 6) AS score FROM sx JOIN sc USING (llr)")
-def rank_likelihood_query_all(spark, d):
+@query("rank_likelihood_query", f"WITH {V}, {RANKED}, {HIST}, {LLR}, sx AS (SELECT id, family, round(llr, 12) AS llr FROM bb JOIN ll USING (bin)), fv AS (SELECT f.family, l.llr, count(sx.id) AS c FROM (SELECT DISTINCT family FROM sx) f CROSS JOIN (SELECT DISTINCT llr FROM sx) l LEFT JOIN sx ON sx.family = f.family AND sx.llr = l.llr GROUP BY ALL), ec AS (SELECT llr, (sum(c) OVER (PARTITION BY family ORDER BY llr) - c)::DOUBLE / (sum(c) OVER (PARTITION BY family) + 1) AS e FROM fv), sc AS (SELECT llr, avg(e) AS score FROM ec GROUP BY llr) SELECT id, round(sx.llr, 6) AS llr, round(score, 6) AS score FROM sx JOIN sc USING (llr)")
+def rank_likelihood_query(spark, d):
     df = _ranked(spark, d)
     return experiments.rank_likelihood(df, df, "family", "y", "rk", 8, 0.5, "id").select("id", r("llr"), r("score"))
 
@@ -574,17 +554,12 @@ def class_conditional_score(spark, d):
 FOLD = MARGIN.replace("WHERE lib) GROUP BY i)", "WHERE family <> 2) GROUP BY i)").replace("WHERE NOT q.lib AND b.lib)", "WHERE q.family = 2 AND b.family <> 2)").replace("SELECT id, y, lib, list_transform", "SELECT id, y, family, list_transform")
 
 
-@query("leave_one_family_out", f"WITH {FOLD} SELECT query_id, 2 AS fold, y, p, matched_id, round(s, 4) AS s FROM m")
-def leave_one_family_out(spark, d):
-    return experiments.family_folds(vectors(spark, d), [2]).select("query_id", "fold", "y", "p", "matched_id", r("s", 4))
-
-
 def _fold(k):
     return FOLD.replace("family <> 2", f"family <> {k}").replace("family = 2", f"family = {k}")
 
 
-@query("leave_one_family_out_all", " UNION ALL ".join(f"SELECT * FROM (WITH {_fold(k)} SELECT query_id, {k} AS fold, y, p, matched_id, round(s, 4) AS s FROM m)" for k in range(7)))
-def leave_one_family_out_all(spark, d):
+@query("leave_one_family_out", " UNION ALL ".join(f"SELECT * FROM (WITH {_fold(k)} SELECT query_id, {k} AS fold, y, p, matched_id, round(s, 4) AS s FROM m)" for k in range(7)))
+def leave_one_family_out(spark, d):
     return experiments.family_folds(vectors(spark, d), list(range(7))).select("query_id", "fold", "y", "p", "matched_id", r("s", 4))
 
 
@@ -602,16 +577,12 @@ def seed_grid(spark, d):
     return fields.seed_grid(spark, [0, 0, 0], [1, 2, 3], [5, 4, 3], 0.1, 0.0).select("seed_id", r("x", 9), r("y", 9), r("z", 9))
 
 
-VOL = "vol AS (SELECT (l_quantity - 1)::INT AS ix, (l_linenumber - 1)::INT AS iy, (year(l_shipdate) - 1995)::INT AS iz, avg(l_extendedprice) AS u, avg(l_discount) AS v, avg(l_tax) AS w FROM lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 2000 GROUP BY ALL)"
-
+VOL = "vol AS (SELECT (l_quantity - 1)::INT AS ix, (l_linenumber - 1)::INT AS iy, (year(l_shipdate) - 1995)::INT AS iz, avg(l_extendedprice) AS u, avg(l_discount) AS v, avg(l_tax) AS w FROM lineitem GROUP BY ALL)"
 
-def _volume(spark, d, last=2000):
-    df = table(spark, d, "lineitem").filter(F.year("l_shipdate").between(1995, last))
-    return df.groupBy((F.col("l_quantity") - 1).cast("int").alias("ix"), (F.col("l_linenumber") - 1).cast("int").alias("iy"), (F.year("l_shipdate") - 1995).cast("int").alias("iz")).agg(F.avg("l_extendedprice").alias("u"), F.avg("l_discount").alias("v"), F.avg("l_tax").alias("w"))
 
-
-#: All years of the table, 1995 to 2001.
-VOL_ALL = VOL.replace("BETWEEN 1995 AND 2000", "BETWEEN 1995 AND 2001")
+def _volume(spark, d):
+    """The whole table as a grid of 50, 7 and 7 places: quantity, line, and year from 1995 to 2001."""
+    return table(spark, d, "lineitem").groupBy((F.col("l_quantity") - 1).cast("int").alias("ix"), (F.col("l_linenumber") - 1).cast("int").alias("iy"), (F.year("l_shipdate") - 1995).cast("int").alias("iz")).agg(F.avg("l_extendedprice").alias("u"), F.avg("l_discount").alias("v"), F.avg("l_tax").alias("w"))
 
 
 def _grad(c, axis, h, rest):
@@ -628,11 +599,6 @@ def grid_curl(spark, d):
     return fields.curl(_volume(spark, d), [], [0.5, 0.25, 2.0]).select("ix", "iy", "iz", r("cx", 8), r("cy", 7), r("cz", 7))
 
 
-@query("grid_curl_all_years", f"WITH {VOL_ALL}, {CURL} SELECT ix, iy, iz, round(cx, 8) AS cx, round(cy, 7) AS cy, round(cz, 7) AS cz FROM cu")
-def grid_curl_all_years(spark, d):
-    return fields.curl(_volume(spark, d, 2001), [], [0.5, 0.25, 2.0]).select("ix", "iy", "iz", r("cx", 8), r("cy", 7), r("cz", 7))
-
-
 DEV = "dv AS (SELECT ix, iy, iz, sqrt((cx - avg(cx) OVER ()) * (cx - avg(cx) OVER ()) + (cy - avg(cy) OVER ()) * (cy - avg(cy) OVER ()) + (cz - avg(cz) OVER ()) * (cz - avg(cz) OVER ())) AS deviation FROM cu)"
 
 
@@ -642,35 +608,19 @@ def vorticity_deviation_mask(spark, d):
     return predicates.percentile_mask(dv, [], "deviation").select("ix", "iy", "iz", r("deviation", 3), "mask")
 
 
-@query("vorticity_deviation_mask_all_years", f"WITH {VOL_ALL}, {CURL}, {DEV}, q AS (SELECT quantile_cont(deviation, 0.95) AS c FROM dv) SELECT ix, iy, iz, round(deviation, 3) AS deviation, deviation >= c AS mask FROM dv, q")
-def vorticity_deviation_mask_all_years(spark, d):
-    dv = fields.group_centred_norm(fields.curl(_volume(spark, d, 2001), [], [0.5, 0.25, 2.0]), [], ["cx", "cy", "cz"])
-    return predicates.percentile_mask(dv, [], "deviation").select("ix", "iy", "iz", r("deviation", 3), "mask")
-
-
 @query("group_centred", "WITH v AS (SELECT l_orderkey, l_linenumber, l_discount - avg(l_discount) OVER (PARTITION BY l_returnflag) AS a, l_tax - avg(l_tax) OVER (PARTITION BY l_returnflag) AS b FROM lineitem) SELECT l_orderkey, l_linenumber, round(sqrt(a * a + b * b), 9) AS deviation FROM v")
 def group_centred(spark, d):
     return fields.group_centred_norm(table(spark, d, "lineitem"), ["l_returnflag"], ["l_discount", "l_tax"]).select("l_orderkey", "l_linenumber", r("deviation", 9))
 
 
-@query("trilinear_sample", f"""WITH {VOL}, p AS (SELECT c_custkey AS id, (c_custkey * 37 % 4900) / 100.0::DOUBLE AS x, (c_custkey * 53 % 600) / 100.0::DOUBLE AS y, (c_custkey * 71 % 500) / 100.0::DOUBLE AS z FROM customer),
-c AS (SELECT *, least(floor(x), 48)::INT AS cx, least(floor(y), 5)::INT AS cy, least(floor(z), 4)::INT AS cz FROM p),
-k AS (SELECT id, cx + i AS ix, cy + j AS iy, cz + k AS iz, CASE i WHEN 1 THEN x - cx ELSE 1 - (x - cx) END * CASE j WHEN 1 THEN y - cy ELSE 1 - (y - cy) END * CASE k WHEN 1 THEN z - cz ELSE 1 - (z - cz) END AS w FROM c, range(2) a(i), range(2) b(j), range(2) e(k))
-SELECT id, round(sum(k.w * vol.u), 4) AS u FROM k JOIN vol USING (ix, iy, iz) GROUP BY id""")
-def trilinear_sample(spark, d):
-    c = F.col("c_custkey")
-    points = table(spark, d, "customer").select(c.alias("id"), (c * 37 % 4900 / 100.0).alias("x"), (c * 53 % 600 / 100.0).alias("y"), (c * 71 % 500 / 100.0).alias("z"))
-    return fields.trilinear(points, _volume(spark, d), "id", [0, 0, 0], [1, 1, 1], [50, 7, 6], "u").select("id", r("u", 4))
-
-
-@query("trilinear_sample_all_years", f"""WITH {VOL_ALL}, p AS (SELECT c_custkey AS id, (c_custkey * 37 % 4900) / 100.0::DOUBLE AS x, (c_custkey * 53 % 600) / 100.0::DOUBLE AS y, (c_custkey * 71 % 600) / 100.0::DOUBLE AS z FROM customer),
+@query("trilinear_sample", f"""WITH {VOL}, p AS (SELECT c_custkey AS id, (c_custkey * 37 % 4900) / 100.0::DOUBLE AS x, (c_custkey * 53 % 600) / 100.0::DOUBLE AS y, (c_custkey * 71 % 600) / 100.0::DOUBLE AS z FROM customer),
 c AS (SELECT *, least(floor(x), 48)::INT AS cx, least(floor(y), 5)::INT AS cy, least(floor(z), 5)::INT AS cz FROM p),
 k AS (SELECT id, cx + i AS ix, cy + j AS iy, cz + k AS iz, CASE i WHEN 1 THEN x - cx ELSE 1 - (x - cx) END * CASE j WHEN 1 THEN y - cy ELSE 1 - (y - cy) END * CASE k WHEN 1 THEN z - cz ELSE 1 - (z - cz) END AS w FROM c, range(2) a(i), range(2) b(j), range(2) e(k))
 SELECT id, round(sum(k.w * vol.u), 4) AS u FROM k JOIN vol USING (ix, iy, iz) GROUP BY id""")
-def trilinear_sample_all_years(spark, d):
+def trilinear_sample(spark, d):
     c = F.col("c_custkey")
     points = table(spark, d, "customer").select(c.alias("id"), (c * 37 % 4900 / 100.0).alias("x"), (c * 53 % 600 / 100.0).alias("y"), (c * 71 % 600 / 100.0).alias("z"))
-    return fields.trilinear(points, _volume(spark, d, 2001), "id", [0, 0, 0], [1, 1, 1], [50, 7, 7], "u").select("id", r("u", 4))
+    return fields.trilinear(points, _volume(spark, d), "id", [0, 0, 0], [1, 1, 1], [50, 7, 7], "u").select("id", r("u", 4))
 
 
 @query("uniform_axis", "WITH d AS (SELECT o_custkey % 5 AS k, o_orderkey AS x, o_orderkey - lag(o_orderkey) OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) AS s FROM orders), f AS (SELECT k, arg_min(s, x) AS f, min(s) AS lo, max(s) AS hi, count(s) AS n FROM d WHERE s IS NOT NULL GROUP BY k) SELECT k, lo > 0 AS increasing, lo > 0 AND greatest(hi - f, f - lo) <= 1e-8::DOUBLE + 1e-4::DOUBLE * abs(f) AS uniform, n AS steps FROM f")

@@ -53,23 +53,23 @@ def test_bootstrap_draws_reach_every_unit(spark):
     have = {r.family: r["count"] for r in units.groupBy("family").count().collect()}
     assert {(r.replicate, r.family): r["count"] for r in draws.groupBy("replicate", "family").count().collect()} == {(k, f): n for k in range(200) for f, n in have.items()}
     assert {(r.family, r.pos) for r in draws.select("family", "pos").distinct().collect()} == {(f, p) for f, n in have.items() for p in range(n)}
-    row = catalog.QUERIES["paired_bootstrap_all_units"](spark, DATA).first()
+    row = catalog.QUERIES["paired_bootstrap"](spark, DATA).first()
     assert row.ci_lower < row.ci_upper
 
 
 def test_every_family_is_left_out(spark):
-    rows = catalog.QUERIES["leave_one_family_out_all"](spark, DATA).select("query_id", "fold").distinct().collect()
+    rows = catalog.QUERIES["leave_one_family_out"](spark, DATA).select("query_id", "fold").distinct().collect()
     ids = [r.vec_id for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").collect()]
     assert {(r.query_id, r.fold) for r in rows} == {(i, i % 7) for i in ids}
 
 
 def test_every_row_gets_a_rank_likelihood(spark):
     ids = [r.event_id for r in spark.read.parquet(f"{DATA}/events.parquet").select("event_id").collect()]
-    assert sorted(r.id for r in catalog.QUERIES["rank_likelihood_query_all"](spark, DATA).collect()) == sorted(ids)
+    assert sorted(r.id for r in catalog.QUERIES["rank_likelihood_query"](spark, DATA).collect()) == sorted(ids)
 
 
 def test_fields_hold_every_year(spark):
     years = [r.y - 1995 for r in spark.read.parquet(f"{DATA}/lineitem.parquet").selectExpr("year(l_shipdate) AS y").distinct().collect()]
-    for name in ("grid_curl_all_years", "vorticity_deviation_mask_all_years"):
+    for name in ("grid_curl", "vorticity_deviation_mask"):
         assert {r.iz for r in catalog.QUERIES[name](spark, DATA).select("iz").distinct().collect()} == set(years) == set(range(7))
-    assert catalog.QUERIES["trilinear_sample_all_years"](spark, DATA).count() == spark.read.parquet(f"{DATA}/customer.parquet").count()
+    assert catalog.QUERIES["trilinear_sample"](spark, DATA).count() == spark.read.parquet(f"{DATA}/customer.parquet").count()
