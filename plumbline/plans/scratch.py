@@ -7,6 +7,7 @@ every later stage can still read what was written.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -17,6 +18,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_ROOTS: list[tuple[SparkSession, str]] = []
 _SHIPPED: set[str] = set()
 
 
@@ -33,18 +35,29 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _OWN[0]
 
 
+@atexit.register
+def _sweep() -> None:
+    """Deletes the application's tables when its driver ends; results that read them end with it."""
+    for spark, root in _ROOTS:
+        if spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Exception):  # the JVM may be gone
+                path = spark._jvm.org.apache.hadoop.fs.Path(root)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables of one query below the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+        _ROOTS.append((spark, self.root))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """Writes df and reads it back; the result has no lineage beyond the files."""
-        df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
+    def write(self, df: DataFrame, name: str, codec: str = "zstd", by: tuple[str, ...] = ()) -> DataFrame:
+        """Writes df, in folders by the columns ``by``, and reads it back; the result has no lineage beyond the files."""
+        df.write.mode("overwrite").option("compression", codec).partitionBy(*by).parquet(self.path(name))
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:
