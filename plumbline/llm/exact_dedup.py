@@ -37,6 +37,7 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     scratch = Scratch(spark, "radix")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.encode(normalised(F.col(text)), "UTF-8").alias("body"))
     base = scratch.write(rows.withColumn("uid", F.monotonically_increasing_id()), "base")
+    own = scratch.write(base.select("uid", "doc_id", F.unhex(F.sha2("body", 256)).alias("sha")), "rows")
     active, done, width, level = base.withColumn("gid", F.lit(-1).cast("long")), [], FIRST_WIDTH, 0
     while True:
         split = active.select("uid", "doc_id", "gid", F.substring("body", 1, width).alias("digit"), (F.length("body") > width).alias("more"))
@@ -46,7 +47,9 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         out = carried.join(groups, ["gid", "digit", "more"]).select(
             "uid", "doc_id", F.col("head.uid").alias("gid"), F.when(F.col("more"), F.col("rest")).alias("body"), "more", F.col("head.doc_id").alias("keep_id"), "size"
         )
-        out = scratch.write(out, f"level{level}")
+        # Ended rows stay; the text of the others is needed by the next level alone.
+        out = scratch.write(out, f"level{level}", by=("more",))
+        scratch.drop(f"level{level - 1}/more=true" if level else "base")
         done.append(out.filter(~F.col("more")).select("uid", F.col("gid").alias("keep_uid"), "keep_id", "size"))
         active = out.filter("more").select("uid", "doc_id", "gid", "body")
         if active.isEmpty():
@@ -55,11 +58,10 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     copies = done[0]
     for more in done[1:]:
         copies = copies.unionByName(more)
-    own = base.select("uid", "doc_id", F.sha2("body", 256).alias("text_sha256"))
     single = F.col("keep_uid").isNull()
     return own.join(copies, "uid", "left").select(
         "uid", "doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-        (single | (F.col("keep_uid") == F.col("uid"))).alias("kept"), "text_sha256",
+        (single | (F.col("keep_uid") == F.col("uid"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
