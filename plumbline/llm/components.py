@@ -3,6 +3,9 @@
 Each half step sends every neighbour of a node to the least of them; the links end as stars around the least node of each component.
 Nodes with very many links are aggregated before the shuffle, and joins against them are split by adaptive execution. Every
 step is written to the shared folder, so that lineage stays short; nothing but two numbers of a step reaches the driver.
+
+Defined results: no links give no rows. A link with a null end, or of a node with itself, links nothing and is left out. Repeated links, in either
+direction, count once.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """links: a, b. Returns node, root (the least node of its component) for all nodes but the roots."""
-    now, last, step = links.filter("a <> b"), None, 0
+    now, last, step = links.filter("a <> b"), None, 0  # drops null ends too
     while True:
         now = scratch.write(_star(_star(now, True), False), f"{name}{step}")
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()

@@ -385,3 +385,20 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
+
+
+#: The same rows by all pairs of texts that share a shingle, and closure over links.
+ORACLE = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM t),
+k AS (SELECT doc_id, len(g) AS n, md5(array_to_string(g, chr(10))) AS k, g FROM s),
+c AS (SELECT k, any_value(n) AS n, any_value(g) AS g, min(doc_id) AS least FROM k WHERE n > 0 GROUP BY k),
+i AS (SELECT k, n, unnest(g) AS x FROM c),
+p AS (SELECT a.k AS a, b.k AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared FROM i a JOIN i b ON a.x = b.x AND a.k < b.k GROUP BY a.k, b.k),
+l AS (SELECT a, b FROM p WHERE 100 * shared >= 75 * (na + nb - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(k, o) AS (SELECT k, k FROM c UNION SELECT e.b, r.o FROM r JOIN e ON e.a = r.k),
+m AS (SELECT r.k, min(c.least) AS component_id FROM r JOIN c ON c.k = r.o GROUP BY r.k),
+d AS (SELECT a AS k, count(*) AS n_links FROM e GROUP BY a)
+SELECT doc_id, k.n::BIGINT AS n_shingles, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, doc_id) AS component_id FROM k LEFT JOIN m USING (k) LEFT JOIN d USING (k)
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_langid": langid.op9_langid,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-ORACLES = {"op10_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op2_ngram_join": ngram_join.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
