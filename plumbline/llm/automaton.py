@@ -1,8 +1,8 @@
 """Minimal acyclic transducer over bytes: words in sorted order become a shared-suffix automaton whose outputs number them.
 
 Words that end alike share states; every edge carries how many words sort before those that pass it, and the sum along
-a word's path is the word's number, under which its ids lie in one array. All parts are flat arrays in one buffer, so
-that processes of a host map one file. Lookup walks all asked words together, one byte a step.
+a word's path is the word's number, under which its ids lie in one array. All parts are flat arrays in one buffer, which a
+process maps into memory. Lookup walks all asked words together, one byte a step.
 """
 
 from __future__ import annotations

@@ -131,39 +131,58 @@ class Encoder:
         return out
 
     def merge(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of runs of symbols, merged lowest rank first; and the number of ids of each."""
-        out_len = lengths.copy()
-        done_ids, done_run = [], []
-        run = np.repeat(np.arange(len(lengths)), lengths)
+        """Ids of runs of symbols, merged lowest rank first; and the number of ids of each.
+
+        Each round merges every run's best pair wherever it stands; only the ranks of pairs beside a merge are looked up again.
+        """
+        symbols, size, name = symbols.copy(), lengths.astype(np.int64), np.arange(len(lengths))
+        done_ids, done_run, done_size = [], [], []
+        last = np.zeros(len(symbols), bool)
+        last[np.cumsum(size[size > 0]) - 1] = True
+        name, size = name[size > 0], size[size > 0]
+        rank = np.full(len(symbols), NONE, np.int64)
+        inner = np.flatnonzero(~last)
+        rank[inner] = self.rank(symbols[inner] << 20 | symbols[inner + 1])
         while len(symbols):
-            rank = np.full(len(symbols), NONE, np.int64)
-            inner = np.flatnonzero(run[:-1] == run[1:])
-            rank[inner] = self.rank(symbols[inner] << 20 | symbols[inner + 1])
-            starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+            starts = np.cumsum(size) - size
             best = np.minimum.reduceat(rank, starts)
-            size = np.diff(np.r_[starts, len(run)])
-            each = np.repeat(best, size)
-            ended = each == NONE
+            ended = best == NONE
             if ended.any():
-                done_ids.append(symbols[ended])
-                done_run.append(run[ended])
-                symbols, run, rank, each = symbols[~ended], run[~ended], rank[~ended], each[~ended]
+                out = np.repeat(ended, size)
+                done_ids.append(symbols[out])
+                done_run.append(name[ended])
+                done_size.append(size[ended])
+                go = ~out
+                symbols, rank, last = symbols[go], rank[go], last[go]
+                name, size, best = name[~ended], size[~ended], best[~ended]
                 if not len(symbols):
                     break
-            take = rank == each
-            both = np.flatnonzero(take[1:] & take[:-1]) + 1
-            if len(both):  # of overlapping pairs of one run every second, from the left
-                for i in both:
-                    if take[i - 1]:
-                        take[i] = False
-            symbols[take] = self.merged[rank[take]]
-            keep = np.r_[True, ~take[:-1]]
-            symbols, run = symbols[keep], run[keep]
-        run = np.concatenate(done_run) if done_run else np.zeros(0, np.int64)
-        ids = np.concatenate(done_ids) if done_ids else np.zeros(0, np.int64)
-        order = np.argsort(run, kind="stable")
-        out_len = np.bincount(run, minlength=len(lengths))
-        return ids[order], out_len
+            at = np.flatnonzero(rank == np.repeat(best, size))
+            beside = np.flatnonzero(at[1:] == at[:-1] + 1)
+            if len(beside):  # of overlapping pairs of one run every second, from the left
+                chosen = np.ones(len(at), bool)
+                for i in beside.tolist():
+                    if chosen[i]:
+                        chosen[i + 1] = False
+                at = at[chosen]
+            symbols[at] = self.merged[rank[at]]
+            last[at] = last[at + 1]
+            keep = np.ones(len(symbols), bool)
+            keep[at + 1] = False
+            size -= np.bincount(np.searchsorted(np.cumsum(size), at, "right"), minlength=len(size))
+            symbols, rank, last = symbols[keep], rank[keep], last[keep]
+            at -= np.arange(len(at))
+            near = np.concatenate([at, at[at > 0] - 1])
+            rank[near] = NONE
+            near = near[~last[near]]
+            rank[near] = self.rank(symbols[near] << 20 | symbols[near + 1])
+        if not done_run:
+            return np.zeros(0, np.int64), np.zeros(len(lengths), np.int64)
+        run, size, ids = np.concatenate(done_run), np.concatenate(done_size), np.concatenate(done_ids)
+        counts = np.zeros(len(lengths), np.int64)
+        counts[run] = size
+        order = np.argsort(run)
+        return ids[ranges((np.cumsum(size) - size)[order], size[order])], counts
 
     def chunks(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The bytes, then start, length and text number of each chunk."""

@@ -1,7 +1,7 @@
 """BPE encoding and decoding through a minimal acyclic transducer lexicon.
 
 Frequent chunks of the corpus (a word with the white space before it) are compiled, with their ids as output, into a shared-suffix
-automaton (``automaton``); tasks of a host map one file of it. Chunks the automaton lacks are merged exactly (``bpe``). The ids
+automaton (``automaton``), which each worker process maps into memory once. Chunks the automaton lacks are merged exactly (``bpe``). The ids
 are those of the tokenizers library either way: the lexicon only saves merging.
 
 Which chunks are frequent: each task counts all chunks of all its texts and reports those with at least a ``SHARE`` of them, so any chunk with
@@ -17,8 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import mmap
-import os
-import tempfile
 
 import numpy as np
 import pandas as pd
@@ -48,15 +46,18 @@ def byte_blocks(texts, size: int = BLOCK, rows: int = 1 << 15):
         yield first, out
 
 
+_MAPPED: dict[bytes, Automaton] = {}
+
+
 def mapped(buffer: bytes) -> Automaton:
-    """The compiled lexicon from a file that all tasks of a host share; written once, under its own digest."""
-    path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(buffer).hexdigest()[:24]}")
-    if not os.path.exists(path):
-        with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
-            f.write(buffer)
-        os.replace(f.name, path)
-    with open(path, "rb") as f:
-        return Automaton(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+    """The compiled lexicon in a memory map of the process, made once for all its tasks; no folder of the machine is used."""
+    digest = hashlib.sha256(buffer).digest()
+    if digest not in _MAPPED:
+        _MAPPED.clear()
+        area = mmap.mmap(-1, len(buffer))
+        area.write(buffer)
+        _MAPPED[digest] = Automaton(area)
+    return _MAPPED[digest]
 
 
 def frequent_chunks(docs: DataFrame, content, text: str = "text", share: float = SHARE, words: int = WORDS) -> list[bytes]:
