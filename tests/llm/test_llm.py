@@ -285,6 +285,9 @@ def test_components(spark):
         root[max(a, b)] = min(a, b)
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t"), "c").collect()}
     assert got == {n: find(n) for n in root if find(n) != n}
+    loose = spark.createDataFrame([(3, 3), (None, 4), (5, None), (8, 6), (6, 8)], "a long, b long")
+    assert [tuple(r) for r in components(loose, Scratch(spark, "t"), "d").collect()] == [(8, 6)]
+    assert components(loose.limit(0), Scratch(spark, "t"), "e").count() == 0
 
 
 def test_sharding(spark, docs, empty):
@@ -744,3 +747,17 @@ def test_pipeline(spark):
     for _, stage in pipeline.STAGES:
         none = stage(spark, none, "")
     assert none.count() == 0
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline as pipeline
+
+    names = ["score", "lang_pred", "held_out", "__uid", "__text", "__row", "row", "group", "sid", "n_chars", "travels1", "a.b"]
+    rows = [(*r, *[f"{k}:{r[0]}" for k in names if k != "n_chars"]) for r in ROWS[:25]]
+    docs = spark.createDataFrame(rows, SCHEMA + ", " + ", ".join(f"`{k}` string" for k in names if k != "n_chars")).withColumn("n_chars", F.length("text"))
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[k] == f"{k}:{r.doc_id}" for r in got for k in names if k != "n_chars")
+    assert pipeline.STAGES[-1][1](spark, docs, "").columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
