@@ -123,6 +123,11 @@ def dimensionless(paths: np.ndarray) -> np.ndarray:
     return out.astype(np.float32)
 
 
+def dimensionless_descriptor(paths: np.ndarray, **recipe) -> np.ndarray:
+    """The path descriptor of dimensionless paths."""
+    return path_descriptor(dimensionless(paths), **recipe)
+
+
 def column(function, width: int = LINES * SAMPLES * 3, shape=(LINES, SAMPLES, 3)):
     """A row-local function of paths as a column function of flat float arrays."""
 

@@ -6,20 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from plumbline.operators.prefix import running
 
 
 def counts_below(reference: DataFrame, queries: DataFrame, keys: Sequence[str], value: str, identity: str) -> DataFrame:
     """Each query with n (reference rows of its key), lt (less than it) and ge (at least it).
 
-    One union and one running count over (key, value) instead of a range join; reference rows are first counted by value.
+    One union and one running count over (key, value) instead of a range join, in two levels, so a key may have any number of rows;
+    reference rows are first counted by value.
     """
     ref = reference.groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
     ref = ref.select(*keys, "__v", "__c", F.lit(1).alias("__tag"), F.lit(None).cast(dict(queries.dtypes)[identity]).alias(identity))
     qry = queries.select(*keys, F.col(value).cast("double").alias("__v"), F.lit(0).cast("long").alias("__c"), F.lit(0).alias("__tag"), identity)
-    w = Window.partitionBy(*keys)
-    up = w.orderBy("__v", "__tag").rowsBetween(Window.unboundedPreceding, 0)  # queries stand before equal references
-    both = ref.unionByName(qry).withColumn("lt", F.sum("__c").over(up)).withColumn("n", F.sum("__c").over(w))
+    # Queries stand before equal references.
+    both = running(ref.unionByName(qry), keys, [F.col("__v"), F.col("__tag")], {"lt": "__c"}).withColumnRenamed("lt_all", "n")
     return both.filter("__tag = 0").select(*keys, identity, F.col("__v").alias(value), "n", "lt", (F.col("n") - F.col("lt")).alias("ge"))
 
 

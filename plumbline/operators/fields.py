@@ -96,6 +96,42 @@ def group_centred_norm(df: DataFrame, keys: Sequence[str], columns: Sequence[str
     return j.withColumn(name, F.sqrt(square)).drop(*[f"__{c}" for c in columns])
 
 
+def label_at_points(volume: DataFrame, points: DataFrame, identity: str, low: Sequence[float], step: Sequence[float], shape: Sequence[int], spacing: Sequence[float], share: float = 0.95) -> DataFrame:
+    """deviation and label of points: the curl's deviation from its mean, sampled at each, against the grid's own percentile.
+
+    low, step and shape place the grid for the points; spacing is that of its derivatives.
+    """
+    from plumbline.operators.prefix import quantiles
+
+    grid = group_centred_norm(curl(volume, [], spacing), [], ["cx", "cy", "cz"])
+    cut = quantiles(grid, [], "deviation", {"__cut": share})  # one row
+    found = trilinear(points, grid, identity, low, step, shape, "deviation").join(F.broadcast(cut), F.lit(True))
+    return found.select(identity, "deviation", (F.col("deviation") >= F.col("__cut")).alias("label"))
+
+
+def parse_scales(rows: Sequence[dict], samples: int) -> list[tuple[str, float, float, int]]:
+    """(name, offset, time step, steps) of a scale table: names and tuples unique, sizes positive and finite, steps enough for the samples."""
+    out = [(str(r["name"]), float(r["offset_grid_scale"]), float(r["dt_scale"]), int(r["integration_steps"])) for r in rows]
+    if not out or samples < 2:
+        raise ValueError("a table needs a scale, and paths two samples")
+    for name, *sizes, steps in out:
+        if not all(np.isfinite(x) and x > 0 for x in sizes):
+            raise ValueError(f"{name}: sizes must be positive and finite")
+        if steps < samples - 1:
+            raise ValueError(f"{name}: {steps} steps can't give {samples} samples")
+    if len({r[0] for r in out}) < len(out) or len({r[1:] for r in out}) < len(out):
+        raise ValueError("names or scale tuples repeat")
+    return out
+
+
+def physical_scales(scales: DataFrame, spacing: Sequence[float], interval: float) -> DataFrame:
+    """dx, dt and arc of scales in grid units: lengths times the grid's least spacing, times by the interval between frames."""
+    h = float(min(np.asarray(spacing, np.float32).astype(float)))
+    if not (h > 0 and interval > 0):
+        raise ValueError("spacing and interval must be positive")
+    return scales.withColumns({"dx": F.col("dx") * h, "dt": F.col("ds") * float(interval), "arc": F.col("arc") * h})
+
+
 def kinematics(velocity: np.ndarray, dx: np.ndarray) -> np.ndarray:
     """|curl|, |strain|, divergence and Q of (rows, 7, 3) velocities at a cross of half-width dx, as float32."""
     v = np.asarray(velocity, float)
@@ -164,14 +200,46 @@ class Field:
             n += alive
         return out, n
 
-    def arc_paths(self, seeds: np.ndarray, t0: float, horizon: float, h: np.ndarray, target: np.ndarray, samples: int = 32, limit: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, samples, 4) points at equal arc lengths up to each target; and which paths reached it before they left or time ran out."""
+    def both_paths(self, seeds: np.ndarray, first: float, last: float, h: float, steps: int, method: str = "rk4") -> tuple[np.ndarray, np.ndarray]:
+        """Paths through (rows, 4) seeds back to the time first and on to last, in order of time: (rows, 2 * steps + 1, 4) points, and how many
+        hold. Each direction has up to steps steps, the last one cut to the end of time; a path ends before it leaves the domain."""
+        seeds = np.asarray(seeds, float)
+        out, count = np.zeros((len(seeds), 2 * steps + 1, 4)), np.zeros(len(seeds), np.int64)
+        sides = []
+        for sign, end in ((-1.0, first), (1.0, last)):
+            p, t = seeds[:, :3].copy(), seeds[:, 3].copy()
+            alive, side = self.inside(p) & (t >= first) & (t <= last), [[] for _ in seeds]
+            for _ in range(steps):
+                alive = alive & (sign * (end - t) > 1e-12)
+                if not alive.any():
+                    break
+                dt = sign * np.minimum(h, sign * (end - t))
+                q, ok = self.step(p, t, dt, method)
+                alive = alive & ok & self.inside(q)
+                p, t = np.where(alive[:, None], q, p), np.where(alive, t + dt, t)
+                for i in np.flatnonzero(alive):
+                    side[i].append((*p[i], t[i]))
+            sides.append(side)
+        inside = self.inside(seeds[:, :3]) & (seeds[:, 3] >= first) & (seeds[:, 3] <= last)
+        for i, (back, on) in enumerate(zip(*sides)):
+            path = [*back[::-1], *([tuple(seeds[i])] if inside[i] else []), *on]
+            out[i, : len(path)], count[i] = np.array(path).reshape(-1, 4), len(path)
+        return out, count
+
+    def arc_paths(self, seeds: np.ndarray, t0: float, horizon: float, h: np.ndarray, target: np.ndarray, samples: int = 32) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, samples, 4) points at equal arc lengths up to each target; and which paths reached it before they left or time ran out.
+
+        The last step of a path is cut to the horizon; no path can need more steps than the time takes at the smallest step.
+        """
         p, t = np.array(seeds, float), np.full(len(seeds), float(t0))
         out = np.full((len(p), samples, 4), np.nan)
         out[:, 0, :3], out[:, 0, 3] = p, t
         marks = np.asarray(target, float)[:, None] * np.arange(samples) / (samples - 1)
         gone, alive, reached = np.zeros(len(p)), self.inside(p), np.zeros(len(p), bool)
-        for _ in range(limit):
+        steps = np.broadcast_to(np.asarray(h, float), len(p))
+        if len(p) and not steps.min() > 0:
+            raise ValueError("steps must be positive")
+        for _ in range(int(np.ceil((horizon - t0) / steps.min())) + 1 if len(p) else 0):
             alive &= t < horizon - 1e-12
             if not alive.any():
                 break
@@ -240,7 +308,7 @@ def observer_schedule(times: np.ndarray, low: Sequence[float], high: Sequence[fl
     axis, swing, travel, shift = np.array([0.35, 0.55, 0.76]), 0.035, np.array([0.012, 0.018, 0.012]), np.array([0, 1.1, 2.0])
     low, high = np.asarray(low, float), np.asarray(high, float)
     turn = 2 * np.pi * np.asarray(times, float)
-    rate = swing * 2 * np.pi * (np.cos(turn) + 0.7 * np.cos(2 * turn))
+    rate = swing * 2 * np.pi * (np.cos(turn) + 0.35 * 2 * np.cos(2 * turn))
     angular = rate[:, None] * axis / np.sqrt((axis * axis).sum())
     reach = travel * (high - low)
     middle = (low + high) / 2 + reach * np.sin(turn[:, None] + shift)

@@ -10,8 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from plumbline.operators.prefix import quantiles, running
 
 
 def _n(condition: Column, weight: str | None = None) -> Column:
@@ -42,13 +42,11 @@ def decision_metrics(counts: DataFrame) -> DataFrame:
 def ranking(df: DataFrame, keys: Sequence[str], label: str = "y", score: str = "s", weight: str | None = None) -> DataFrame:
     """average_precision and auroc per group, from one table of distinct scores.
 
-    The first aggregation is by score, so the windows see as many rows as there are distinct scores in a group, and never raw rows.
+    The first aggregation is by score; the distinct scores are then added up in two levels, so a group may have any number of them.
     """
     y = F.col(label)
     steps = df.groupBy(*keys, score).agg(_n(y, weight).alias("pos"), _n(~y, weight).alias("neg"))
-    down = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    seen = steps.select(*keys, "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("p"), F.sum("neg").over(whole).alias("q"))
+    seen = running(steps, keys, [F.desc(score)], {"tp": "pos", "fp": "neg"}).withColumnsRenamed({"tp_all": "p", "fp_all": "q"})
     ap = F.sum(F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp"))))
     area = F.sum(F.col("pos") * (F.col("q") - F.col("fp") + F.col("neg") * F.lit(0.5)))
     p, q = F.first("p"), F.first("q")
@@ -162,4 +160,4 @@ def stop_certificate(df: DataFrame, value: str, total: int, target: float) -> Da
 def quantile(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
     """Linear quantiles of the finite values; null for a group without any."""
     v = F.when(F.abs(F.nanvl(F.col(value).cast("double"), F.lit(None))) < F.lit(float("inf")), F.col(value).cast("double"))
-    return df.groupBy(*keys).agg(*[F.percentile(v, F.lit(float(p))).alias(f"q{round(p * 1000)}") for p in probabilities])
+    return quantiles(df.select(*keys, v.alias("__value")), keys, "__value", {f"q{round(p * 1000)}": p for p in probabilities})

@@ -1,4 +1,4 @@
-"""Exact nearest neighbours: direct differences in double precision, all pairs in blocks.
+"""Exact nearest neighbours: a matrix product finds what may be near, direct differences in double precision decide; all pairs in blocks.
 
 Queries and library rows are dealt to a grid of (query block, library block) cells of bounded size; a cell computes its distances
 and keeps the least k of each query and class, and cells meet per query. Nothing is broadcast, no cell grows with the input, and a
@@ -19,12 +19,34 @@ QUERIES, ROWS = 2048, 16384
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances by direct differences: equal rows are at exactly 0."""
-    out = np.empty((len(a), len(b)))
-    step = max(1, (1 << 22) // max(1, b.size))
-    for lo in range(0, len(a), step):
-        out[lo : lo + step] = np.sqrt(((a[lo : lo + step, None, :] - b[None]) ** 2).sum(2))
-    return out
+    """Euclidean distances of rows of a and b, one by one, by direct differences: equal rows are at exactly 0."""
+    return np.sqrt(((a - b) ** 2).sum(1))
+
+
+def least(a: np.ndarray, b: np.ndarray, k: int, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance) of the k nearest rows of b, of ties the first; apart: pairs that don't count.
+
+    A matrix product gives all squared distances up to rounding. What may be among the k least within that rounding is measured by
+    direct differences, which alone decide.
+    """
+    out = []
+    square = (b**2).sum(1)
+    for lo in range(0, len(a), step := max(1, (1 << 22) // max(1, len(b)))):
+        some = a[lo : lo + step]
+        own = (some**2).sum(1)
+        near = own[:, None] + square - 2 * (some @ b.T)
+        if apart is not None:
+            near[apart[lo : lo + step]] = np.inf
+        n = min(k, len(b))
+        slack = 1e-12 * (a.shape[1] + 8) * (own + np.nan_to_num(square).max(initial=0.0)) + 1e-300
+        x, y = np.nonzero((near <= np.partition(near, n - 1, axis=1)[:, n - 1 : n] + slack[:, None]) & np.isfinite(near))
+        d = distances(some[x], b[y])
+        order = np.lexsort((y, d, x))
+        x, y, d = x[order], y[order], d[order]
+        first = np.searchsorted(x, x)
+        chosen = np.arange(len(x)) - first < n
+        out.append((x[chosen] + lo, y[chosen], d[chosen]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
 def _blocks(df: DataFrame, keys: Sequence[str], size: int, identity: str, name: str) -> tuple[DataFrame, DataFrame | int]:
@@ -42,7 +64,7 @@ def _blocks(df: DataFrame, keys: Sequence[str], size: int, identity: str, name:
 def _spread(df: DataFrame, keys: Sequence[str], blocks, name: str) -> DataFrame:
     """df once for every block of the other side's key."""
     if not keys:
-        return df.withColumn(name, F.explode(F.array(*[F.lit(i) for i in range(blocks)])) if blocks > 1 else F.lit(0))
+        return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return df.join(blocks, list(keys)).withColumn(name, F.explode(F.sequence(F.lit(0), F.col(f"{name}s") - 1))).drop(f"{name}s")
 
 
@@ -63,16 +85,11 @@ def nearest(queries: DataFrame, library: DataFrame, k: int = 1, keys: Sequence[s
         right = right.sort_values("library_id", kind="stable")
         a, out = np.stack(left["qf"]).astype(float), []
         for y, some in right.groupby("y"):
-            d = distances(a, np.stack(some["bf"]).astype(float))
             ids = some["library_id"].to_numpy()
-            if exclude_self:
-                d[left["query_id"].to_numpy()[:, None] == ids[None]] = np.inf
-            n = min(k, d.shape[1])
-            at = np.argsort(d, axis=1, kind="stable")[:, :n]
-            best = np.take_along_axis(d, at, 1)
-            out.append(pd.DataFrame({"query_id": np.repeat(left["query_id"].to_numpy(), n), "y": y, "library_id": ids[at].ravel(), "d": best.ravel()}))
+            apart = left["query_id"].to_numpy()[:, None] == ids[None] if exclude_self else None
+            x, at, d = least(a, np.stack(some["bf"]).astype(float), k, apart)
+            out.append(pd.DataFrame({"query_id": left["query_id"].to_numpy()[x], "y": y, "library_id": ids[at], "d": d}))
         out = pd.concat(out)
-        out = out[np.isfinite(out["d"])]
         for name, value in zip(keys, key):
             out[name] = value
         return out[columns]
@@ -104,6 +121,6 @@ def kth_distances(queries: DataFrame, library: DataFrame, ks: Sequence[int], key
         short = queries.select(*keys).distinct().join(have, keys, "left").na.fill(0, ["available"]).filter(F.col("available") < max(ks) + int(exclude_self)).limit(1).collect()  # one row for the message
         if short:
             raise ValueError(f"{short[0].asDict()} has too few rows; {max(ks) + int(exclude_self)} are needed")
-    found = nearest(queries, library, max(ks), keys, identity, features, None, exclude_self).select("query_id", F.col("nth").alias("k"), F.col("d").alias("distance"))
+    found = nearest(queries, library, max(ks), keys, identity, features, None, exclude_self).select("query_id", *keys, F.col("nth").alias("k"), F.col("d").alias("distance"))
     grid = queries.select(F.col(identity).alias("query_id"), *keys).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-    return grid.join(found, ["query_id", "k"], "left").withColumn("supported", F.col("distance").isNotNull())
+    return grid.join(found, ["query_id", *keys, "k"], "left").withColumn("supported", F.col("distance").isNotNull())

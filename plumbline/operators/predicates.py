@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.operators.prefix import quantiles
+
 
 def centred(keys: Sequence[str], columns: Sequence[str], *order) -> list[Column]:
     """Columns less their first value in the group."""
@@ -44,8 +46,8 @@ def complete_only(df: DataFrame, keys: Sequence[str], ok: Column, members: int)
 
 
 def percentile_mask(df: DataFrame, keys: Sequence[str], value: str, share: float = 0.95, name: str = "mask") -> DataFrame:
-    """value >= the group's linear percentile. The exact percentile aggregates counts of values, a row a group comes back."""
-    cut = df.groupBy(*keys).agg(F.percentile(value, F.lit(share)).alias("__cut"))
+    """value >= the group's linear percentile, which comes from two-level running counts, a row a group."""
+    cut = quantiles(df, keys, value, {"__cut": share})
     j = df.join(cut, list(keys)) if keys else df.join(F.broadcast(cut), F.lit(True))
     return j.withColumn(name, F.col(value) >= F.col("__cut")).drop("__cut")
 

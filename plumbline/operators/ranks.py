@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.operators.prefix import running
+
 
 def percentile_rank(keys: Sequence[str], score: str, tie: str) -> Column:
     """Row number by (score, tie) over group size: in (0, 1]."""
@@ -29,6 +31,30 @@ def midrank(keys: Sequence[str], value: str) -> Column:
     return (F.rank().over(w.orderBy(value)) + (ties - 1) * F.lit(0.5) - F.lit(0.5)) / F.count(F.lit(1)).over(w)
 
 
+def with_percentile_rank(df: DataFrame, keys: Sequence[str], score: str, tie: str, name: str = "rank", supported: Column | None = None) -> DataFrame:
+    """df with ``percentile_rank`` (or, with supported, ``supported_rank``) of groups of any size."""
+    ok = supported if supported is not None else F.lit(True)
+    out = running(df.withColumn("__ok", ok), [*keys, "__ok"], [F.col(score), F.col(tie)], {"__nth": F.lit(1).cast("long")})
+    return out.withColumn(name, F.when(F.col("__ok"), F.col("__nth") / F.col("__nth_all")).otherwise(F.lit(0.0))).drop("__ok", "__nth", "__nth_all")
+
+
+def with_midrank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
+    """df with ``midrank`` of groups of any size: ranks of distinct values, joined back."""
+    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    seen = running(counted, keys, [F.col(value)], {"__n": "__c"})
+    rank = ((F.col("__n") - (F.col("__c") - 1) * F.lit(0.5) - F.lit(0.5)) / F.col("__n_all")).alias(name)
+    seen = seen.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(value).alias("__v"), rank)
+    on = F.col(value).eqNullSafe(F.col("__v"))
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return df.join(seen, on).drop("__v", *[f"__k{i}" for i in range(len(keys))])
+
+
+def with_running_sum(df: DataFrame, keys: Sequence[str], value: str, order: Sequence, name: str = "total") -> DataFrame:
+    """df with ``running_sum`` of groups of any size. The order must tell rows apart."""
+    return running(df, keys, order, {name: value}).drop(f"{name}_all")
+
+
 def gaussian_kernel(sigma: float, truncate: float = 3.0) -> list[tuple[int, float]]:
     """(offset, weight), weights adding to 1."""
     if sigma <= 0:

@@ -34,6 +34,14 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, features: str = "f", as_float
     return df.join(F.broadcast(scaler.select("mean", "scale")), F.lit(True)).select(*names, standardise(F.col(features), F.col("mean"), F.col("scale"), as_float).alias(features))
 
 
+def transform_queries(df: DataFrame, scaler: DataFrame, descriptor: str, features: str = "f") -> DataFrame:
+    """``apply_scaler`` by a frozen scaler (one row with its descriptor_id); reading a row under another descriptor is an error."""
+    names = [c for c in df.columns if c != features]
+    joined = df.join(F.broadcast(scaler.select("mean", "scale", "descriptor_id")), F.lit(True))
+    same = F.assert_true(F.col("descriptor_id").eqNullSafe(F.lit(descriptor)), F.lit("the scaler is of another descriptor")).isNull()
+    return joined.filter(same).select(*names, standardise(F.col(features), F.col("mean"), F.col("scale")).alias(features))
+
+
 def fit_shrunk_scaler(df: DataFrame, key: str, block: Column, value: str, shrink: int = SHRINK) -> DataFrame:
     """Per key: mean, variance shrunk by n / (n + shrink) towards its prior, and mode.
 
@@ -91,6 +99,18 @@ def fit_pca(df: DataFrame, components: int, features: str = "f") -> tuple[np.nda
     return mean, rows * np.where(sign == 0, 1, sign)[:, None], np.maximum(values[order], 0)
 
 
+def svd_pca(x: np.ndarray, components: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``fit_pca`` of one matrix by its singular values, for samples that fit in a process."""
+    x = np.asarray(x, float)
+    if x.ndim != 2 or not np.isfinite(x).all() or not 1 <= components <= min(x.shape):
+        raise ValueError("a finite matrix with as many rows and columns as components is needed")
+    mean = x.mean(0)
+    _, size, rows = np.linalg.svd(x - mean, full_matrices=False)
+    rows = rows[:components]
+    sign = np.sign(rows[np.arange(len(rows)), np.abs(rows).argmax(1)])
+    return mean, rows * np.where(sign == 0, 1, sign)[:, None], size[:components] ** 2 / len(x)
+
+
 def apply_pca(df: DataFrame, mean: np.ndarray, rows: np.ndarray, features: str = "f", name: str = "projected") -> DataFrame:
     """(x - mean) times the components; the model has width * components numbers."""
 

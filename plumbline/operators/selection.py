@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.operators.prefix import running
+
 
 def top_fraction(df: DataFrame, keys: Sequence[str], score: str, tie: str, fraction: float | Column, eligible: Column | None = None, positive: bool = True, at_least_one: bool = False, name: str = "selected") -> DataFrame:
     """Marks the first ceil(fraction * all rows of the group) by (score descending, tie) among eligible rows.
@@ -22,11 +24,11 @@ def top_fraction(df: DataFrame, keys: Sequence[str], score: str, tie: str, fract
     if positive:
         ok = ok & (F.col(score) > 0)
     share = F.lit(fraction).cast("double") if not isinstance(fraction, Column) else fraction
-    n = F.ceil(share * F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    n = F.greatest(n, F.lit(1)) if at_least_one else n
     marked = df.withColumn("__ok", F.coalesce(ok, F.lit(False)))
-    nth = F.row_number().over(Window.partitionBy(*keys, "__ok").orderBy(F.desc(score), tie))
-    return marked.withColumn(name, F.col("__ok") & (nth <= n)).drop("__ok")
+    numbered = running(marked, keys, [F.desc("__ok"), F.desc(score), F.col(tie)], {"__nth": F.lit(1).cast("long")})
+    n = F.ceil(share * F.col("__nth_all"))
+    n = F.greatest(n, F.lit(1)) if at_least_one else n
+    return numbered.withColumn(name, F.col("__ok") & (F.col("__nth") <= n)).drop("__ok", "__nth", "__nth_all")
 
 
 def threshold(score: str, t: float | Column, eligible: Column | None = None, strict: bool = False) -> Column:
@@ -37,19 +39,15 @@ def threshold(score: str, t: float | Column, eligible: Column | None = None, str
 def two_means(df: DataFrame, keys: Sequence[str], score: str, eligible: Column | None = None, name: str = "high") -> DataFrame:
     """Marks the upper cluster of the best split of sorted values; of equally good splits the lowest. A constant group has none.
 
-    Values are shifted and scaled to [0, 1] first. Windows run over distinct values with their counts, not over rows.
+    Values are shifted and scaled to [0, 1] first. Distinct values with their counts are added up in two levels.
     """
     ok = eligible if eligible is not None else F.lit(True)
     rows = df.filter(ok)
-    whole = Window.partitionBy(*keys)
     values = rows.groupBy(*keys, F.col(score).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    low, high = F.min("v").over(whole), F.max("v").over(whole)
-    scaled = values.withColumn("x", F.when(high > low, (F.col("v") - low) / (high - low)))
-    up = whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    s = scaled.select(
-        *keys, "v", F.sum("c").over(up).alias("n1"), F.sum(F.col("c") * F.col("x")).over(up).alias("s1"), F.sum(F.col("c") * F.col("x") * F.col("x")).over(up).alias("q1"),
-        F.sum("c").over(whole).alias("n"), F.sum(F.col("c") * F.col("x")).over(whole).alias("s"), F.sum(F.col("c") * F.col("x") * F.col("x")).over(whole).alias("q"),
-    )
+    ends = values.groupBy(*keys).agg(F.min("v").alias("__low"), F.max("v").alias("__high"))
+    scaled = values.join(ends, list(keys)) if keys else values.join(F.broadcast(ends), F.lit(True))
+    scaled = scaled.select(*keys, "v", "c", F.when(F.col("__high") > F.col("__low"), (F.col("v") - F.col("__low")) / (F.col("__high") - F.col("__low"))).alias("x"))
+    s = running(scaled, keys, [F.col("v")], {"n1": "c", "s1": F.col("c") * F.col("x"), "q1": F.col("c") * F.col("x") * F.col("x")}).withColumnsRenamed({"n1_all": "n", "s1_all": "s", "q1_all": "q"})
     n2, s2 = F.col("n") - F.col("n1"), F.col("s") - F.col("s1")
     error = F.col("q1") - F.col("s1") * F.col("s1") / F.col("n1") + (F.col("q") - F.col("q1")) - s2 * s2 / n2
     best = s.filter((n2 > 0) & F.col("s").isNotNull()).withColumn("e", F.round(error, 12)).groupBy(*keys).agg(F.min_by("v", F.struct("e", "v")).alias("__cut"))
@@ -61,8 +59,7 @@ def best_f1_threshold(df: DataFrame, keys: Sequence[str], label: str, score: str
     """The score whose inclusive threshold has the largest F1; of equal ones the highest threshold (or first the better precision)."""
     y = F.col(label)
     steps = df.groupBy(*keys, F.col(score).alias("cut")).agg(F.sum(F.when(y, 1).otherwise(0)).alias("pos"), F.count(F.lit(1)).alias("c"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("cut")).rowsBetween(Window.unboundedPreceding, 0)
-    seen = steps.select(*keys, "cut", F.sum("pos").over(down).alias("tp"), F.sum("c").over(down).alias("k"), F.sum("pos").over(Window.partitionBy(*keys)).alias("p"))
+    seen = running(steps, keys, [F.desc("cut")], {"tp": "pos", "k": "c"}).withColumnRenamed("tp_all", "p")
     f1 = F.round(F.when(F.col("k") + F.col("p") > 0, 2 * F.col("tp") / (F.col("k") + F.col("p"))).otherwise(0.0), 12)
     order = F.struct("f1", "precision", "cut") if by_precision else F.struct("f1", "cut")
     seen = seen.withColumn("f1", f1).withColumn("precision", F.round(F.col("tp") / F.col("k"), 12))
@@ -112,20 +109,21 @@ def sequential_draws(counts: DataFrame, strata: Sequence[str], most: int, seed:
     return counts.sparkSession.createDataFrame(out, f"{schema}, class int, ordinal long")
 
 
-def farthest_points(points: np.ndarray, count: int, start: int) -> list[int]:
-    """Greedy maximin order: each next point is the farthest from all chosen ones, the first of ties."""
+def farthest_points(points: np.ndarray, count: int, start: int, ties: np.random.Generator | None = None) -> list[int]:
+    """Greedy maximin order: each next point is the farthest from all chosen ones, of equally far ones the first, or one that ties draws."""
     if not len(points):
         return []
     chosen = [start]
     distance = ((points - points[start]) ** 2).sum(1)
     while len(chosen) < min(count, len(points)):
-        chosen.append(int(distance.argmax()))
+        far = np.flatnonzero(distance == distance.max())
+        chosen.append(int(far[0] if ties is None or len(far) == 1 else ties.choice(far)))
         distance = np.minimum(distance, ((points - points[chosen[-1]]) ** 2).sum(1))
         distance[chosen] = -1
     return chosen
 
 
-def farthest_sample(df: DataFrame, strata: Sequence[str], identity: str, features: Sequence[str], count: int, seed: int = 0, group_limit: int = 50_000) -> DataFrame:
+def farthest_sample(df: DataFrame, strata: Sequence[str], identity: str, features: Sequence[str], count: int, seed: int = 0, group_limit: int = 50_000, random_ties: bool = False) -> DataFrame:
     """Up to count spread-out rows a stratum, with their order of choice. A stratum beyond group_limit rows is an error, never a cut."""
     sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > group_limit)
     if not sizes.isEmpty():
@@ -134,7 +132,8 @@ def farthest_sample(df: DataFrame, strata: Sequence[str], identity: str, feature
     def pick(key, pdf):
         pdf = pdf.sort_values(identity, kind="stable").reset_index(drop=True)
         start = stable_seed(seed, *key) % len(pdf)
-        at = farthest_points(pdf[list(features)].to_numpy(float), count, start)
+        ties = np.random.default_rng(stable_seed(seed, "ties", *key)) if random_ties else None
+        at = farthest_points(pdf[list(features)].to_numpy(float), count, start, ties)
         return pd.DataFrame({**{k: v for k, v in zip(strata, key)}, identity: pdf[identity].iloc[at].to_numpy(), "nth": range(len(at))})
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}

@@ -97,11 +97,18 @@ def sealed(predictions: DataFrame, labels: DataFrame, path: str, keys: Sequence[
 
 
 def resume(spark, path: str, build) -> DataFrame:
-    """The table at path if an earlier run completed it, else built, written and read."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """The table at ``<path>/table`` if an earlier run completed it and its files are those of its manifest, else built, written and read."""
+    from plumbline.sources.tables import file_manifest, verify_manifest
+
+    jvm = spark._jvm.org.apache.hadoop.fs
+    marker = jvm.Path(f"{path}/manifest/_SUCCESS")
+    files = marker.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = files.exists(marker) and verify_manifest(file_manifest(spark, f"{path}/table", "*.parquet"), spark.read.parquet(f"{path}/manifest")).isEmpty()
+    if not whole:
+        files.delete(jvm.Path(f"{path}/manifest"), True)  # it must not vouch for what follows
+        build().write.mode("overwrite").parquet(f"{path}/table")
+        file_manifest(spark, f"{path}/table", "*.parquet").write.mode("overwrite").parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/table")
 
 
 def fuse_centres(rows: DataFrame, keys: Sequence[str], weight: float, fraction: float, centre: str = "centre", block: str = "block", value: str = "s", valid: str = "valid") -> DataFrame:

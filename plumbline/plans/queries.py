@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import calibration, fields, joins, metrics, neighbours, predicates, ranks, scaling, selection
+from plumbline.operators.prefix import ranked
 from plumbline.plans import experiments
 from plumbline.plans.catalog import query
 from plumbline.plans.scratch import table
@@ -210,10 +211,8 @@ def paired_bootstrap(spark, d):
 
 def bootstrap_draws(spark, d):
     """Every unit with its place in its family, and for each replicate as many places as the family has."""
-    from pyspark.sql.window import Window
-
     units = scored(spark, d).groupBy("family", "g").agg(F.avg("s").alias("a"), F.avg(F.when(F.col("ok"), F.col("s"))).alias("b"))
-    units = units.withColumn("pos", F.row_number().over(Window.partitionBy("family").orderBy("g")) - 1)
+    units = ranked(units, ["family"], [F.col("g")], "pos").drop("pos_all").withColumn("pos", F.col("pos") - 1)
     draws = units.groupBy("family").agg(F.count(F.lit(1)).alias("n")).crossJoin(spark.range(200).select(F.col("id").alias("replicate")))
     draws = draws.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     return units, draws.select("replicate", "family", F.expr(f"cast({MIX} % n AS int)").alias("pos"))
@@ -247,22 +246,22 @@ def quantile_summary(spark, d):
 
 @query("percentile_rank", f"WITH {V} SELECT id, round(row_number() OVER (PARTITION BY g ORDER BY s, id)::DOUBLE / count(*) OVER (PARTITION BY g), 9) AS rank FROM v")
 def percentile_rank(spark, d):
-    return scored(spark, d).select("id", F.round(ranks.percentile_rank(["g"], "s", "id"), 9).alias("rank"))
+    return ranks.with_percentile_rank(scored(spark, d), ["g"], "s", "id").select("id", r("rank", 9))
 
 
 @query("supported_rank", f"WITH {V} SELECT id, round(CASE WHEN ok THEN row_number() OVER (PARTITION BY g, ok ORDER BY s, id)::DOUBLE / count(*) OVER (PARTITION BY g, ok) ELSE 0 END, 9) AS rank FROM v")
 def supported_rank(spark, d):
-    return scored(spark, d).select("id", F.round(ranks.supported_rank(["g"], "s", "id", F.col("ok")), 9).alias("rank"))
+    return ranks.with_percentile_rank(scored(spark, d), ["g"], "s", "id", supported=F.col("ok")).select("id", r("rank", 9))
 
 
 @query("midrank", f"WITH {V} SELECT id, round((rank() OVER (PARTITION BY family, y ORDER BY s) + (count(*) OVER (PARTITION BY family, y, s) - 1) * 0.5::DOUBLE - 0.5::DOUBLE) / count(*) OVER (PARTITION BY family, y), 9) AS rank FROM v")
 def midrank(spark, d):
-    return scored(spark, d).select("id", F.round(ranks.midrank(["family", "y"], "s"), 9).alias("rank"))
+    return ranks.with_midrank(scored(spark, d), ["family", "y"], "s").select("id", r("rank", 9))
 
 
 @query("running_sum", f"WITH {V} SELECT id, sum(s) OVER (PARTITION BY g ORDER BY s DESC, id ROWS UNBOUNDED PRECEDING) AS total FROM v")
 def running_sum(spark, d):
-    return scored(spark, d).select("id", ranks.running_sum(["g"], "s", F.desc("s"), "id").alias("total"))
+    return ranks.with_running_sum(scored(spark, d), ["g"], "s", [F.desc("s"), F.col("id")]).select("id", "total")
 
 
 GRID = "c AS (SELECT (l_quantity - 1)::INT AS x, l_linenumber - 1 AS z, avg(l_extendedprice) AS s FROM lineitem GROUP BY ALL), cells AS (SELECT x, z, s, (x * 7 + z * 3) % 5 <> 0 AS ok FROM c)"
@@ -505,7 +504,7 @@ HIST = "hh AS (SELECT n.family, n.y, bin, (coalesce(c, 0) + 0.5::DOUBLE) / (n +
 
 
 def _ranked(spark, d):
-    return scored(spark, d).withColumn("rk", ranks.midrank(["family"], "s"))
+    return ranks.with_midrank(scored(spark, d), ["family"], "s", "rk")
 
 
 @query("class_histogram", f"WITH {V}, {RANKED}, {HIST} SELECT family, y, bin, round(mass, 9) AS mass FROM hh")
@@ -539,13 +538,23 @@ def family_conformity(spark, d):
     return calibration.combine_families(u, ["row"], 3).select("row", "support", "supported", r("score", 9))
 
 
-@query("tail_calibrator")
+KTH = "SELECT q.id, q.scale, q.block, " + DIST + " AS d, row_number() OVER (PARTITION BY q.id ORDER BY " + DIST + ", b.id) AS k FROM"
+
+
+@query("tail_calibrator", f"""WITH {E}, ng AS (SELECT * FROM e WHERE lib AND NOT y), rf AS (SELECT * FROM ({KTH} ng q JOIN ng b ON q.scale = b.scale AND q.id <> b.id) WHERE k IN (1, 3)), qk AS (SELECT * FROM ({KTH} e q JOIN ng b ON q.scale = b.scale WHERE NOT q.lib) WHERE k IN (1, 3)),
+t AS (SELECT q.id, q.k, count(*) FILTER (r.scale = q.scale AND r.block = q.block) AS n, count(*) FILTER (r.scale = q.scale AND r.block = q.block AND r.d >= q.d) AS ge, count(*) FILTER (r.block = q.block) AS bn, count(*) FILTER (r.block = q.block AND r.d >= q.d) AS bg, count(*) AS tn, count(*) FILTER (r.d >= q.d) AS tg FROM qk q JOIN rf r ON r.k = q.k GROUP BY q.id, q.k),
+m AS (SELECT *, CASE WHEN n > 0 AND bn > n THEN 1 WHEN n > 0 AND tn > bn THEN 2 WHEN n > 0 THEN 3 WHEN bn > n THEN 4 WHEN tn > bn THEN 5 ELSE 0 END AS mode, (ge + 1)::DOUBLE / (n + 1) AS l, (bg - ge + 1)::DOUBLE / (bn - n + 1) AS near, (tg - bg + 1)::DOUBLE / (tn - bn + 1) AS far, n / (n + 64.0::DOUBLE) AS w FROM t)
+SELECT id AS query_id, k::INT AS k, mode, round(CASE mode WHEN 1 THEN w * l + (1 - w) * near WHEN 2 THEN w * l + (1 - w) * far WHEN 3 THEN l WHEN 4 THEN near WHEN 5 THEN far END, 6) AS tail, mode > 0 AS supported FROM m""")
 def tail_calibrator(spark, d):
     df = vectors(spark, d)
     return experiments.TailCalibrator(df.filter("lib"), "scale", "block", [1, 3]).query(df.filter("not lib").select("id", "scale", "block", "f")).select("query_id", "k", "mode", r("tail"), "supported")
 
 
-@query("class_conditional_score")
+@query("class_conditional_score", f"""WITH {E}, tn AS (SELECT id, scale, id % 3 AS fam, y AS cls, f FROM e WHERE lib), ow AS (SELECT q.id, q.scale, q.fam, q.cls, min({DIST}) AS d FROM tn q JOIN tn b ON q.scale = b.scale AND q.fam = b.fam AND q.cls = b.cls AND q.id <> b.id GROUP BY ALL),
+fo AS (SELECT q.id, q.scale, b.fam, b.cls, min({DIST}) AS d FROM e q JOIN tn b ON q.scale = b.scale WHERE NOT q.lib GROUP BY ALL),
+ta AS (SELECT fo.id, fo.fam, fo.cls, CASE WHEN count(ow.d) > 0 THEN (count(*) FILTER (ow.d >= fo.d) + 1)::DOUBLE / (count(ow.d) + 1) END AS tail FROM fo LEFT JOIN ow ON ow.scale = fo.scale AND ow.fam = fo.fam AND ow.cls = fo.cls GROUP BY fo.id, fo.fam, fo.cls),
+wd AS (SELECT id, fam, max(tail) FILTER (cls) AS pos, max(tail) FILTER (NOT cls) AS neg FROM ta GROUP BY id, fam), ok AS (SELECT * FROM wd WHERE pos IS NOT NULL AND neg IS NOT NULL)
+SELECT e.id AS query_id, count(ok.id) AS support, count(ok.id) >= 2 AS supported, round(CASE WHEN count(ok.id) >= 2 THEN (1 + avg(pos) - avg(neg)) / 2 ELSE 0 END, 6) AS score FROM e LEFT JOIN ok ON ok.id = e.id WHERE NOT e.lib GROUP BY e.id""")
 def class_conditional_score(spark, d):
     df = vectors(spark, d).withColumn("family", F.col("id") % 3)
     return experiments.class_conditional(df.filter("lib"), df.filter("not lib"), [0, 1, 2], "scale", 1).select("query_id", "support", "supported", r("score"))

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from plumbline.plans import catalog
-from plumbline.plans import queries as _  # noqa: F401
+from plumbline.plans import evaluation_queries, queries as _  # noqa: F401
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
