@@ -253,13 +253,16 @@ class Encoder:
 
     def encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct chunks one after the other, and the number of ids of each."""
-        if not chunks:
+        return self.encode_runs(np.frombuffer(b"".join(chunks), np.uint8), np.array([len(c) for c in chunks], np.int64))
+
+    def encode_runs(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for chunks that stand one after the other in data."""
+        if not len(lengths):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        data = np.frombuffer(b"".join(chunks), np.uint8)
-        lengths = np.array([len(c) for c in chunks], np.int64)
         cls = CLASS[data]
         _latin(data, cls, not self.word)
-        start = np.cumsum(lengths) - lengths
+        start, original = np.cumsum(lengths) - lengths, data
+        chunk = lambda i: original[start[i] : start[i] + lengths[i]].tobytes()
         odd = (np.maximum.reduceat(cls, start) == UNSAFE) | (lengths > LONG)
         if self.word and not odd.all():  # upper-case Latin letters, two bytes each
             data = data.copy()
@@ -269,7 +272,7 @@ class Encoder:
         plain = np.flatnonzero(~odd)
         part = data[ranges(start[plain], lengths[plain])]
         ids, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        counts = np.zeros(len(chunks), np.int64)
+        counts = np.zeros(len(lengths), np.int64)
         if len(plain):
             begin = self._pieces(part, lengths[plain])
             size = np.diff(np.r_[begin, len(part)])
@@ -283,10 +286,10 @@ class Encoder:
         more: list[np.ndarray] = []
         strange = np.flatnonzero(odd)
         if self.word:
-            for e in self.tok.encode_batch_fast([chunks[i].decode("utf-8") for i in strange], add_special_tokens=False):
+            for e in self.tok.encode_batch_fast([chunk(i).decode("utf-8") for i in strange], add_special_tokens=False):
                 more.append(np.array(e.ids, np.int64))
         else:
-            pieces = [self._odd(chunks[i]) for i in strange]
+            pieces = [self._odd(chunk(i)) for i in strange]
             short = [p for own in pieces for p in own if not isinstance(p, int) and len(p) <= LONG]
             size = np.array([len(p) for p in short], np.int64)
             flat, n = self.merge(self.first[np.concatenate(short)], size) if short else (np.zeros(0, np.int64), size)
@@ -320,8 +323,7 @@ class Encoder:
         counts, at = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
         known = self.automaton.lookup(data, s, n) if self.automaton else np.full(len(one), -1, np.int64)
         hit, miss = np.flatnonzero(known >= 0), np.flatnonzero(known < 0)
-        raw = data.tobytes()
-        fresh, fresh_count = self.encode_chunks([raw[a : a + b] for a, b in zip(s[miss].tolist(), n[miss].tolist())])
+        fresh, fresh_count = self.encode_runs(data[ranges(s[miss], n[miss])], n[miss])
         pool = fresh
         counts[miss], at[miss] = fresh_count, np.cumsum(fresh_count) - fresh_count
         if len(hit):

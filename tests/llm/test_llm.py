@@ -325,6 +325,13 @@ def test_packing(docs, empty):
     assert packing.pack(empty, WORD).count() == 0
 
 
+def test_packing_comes_to_the_bound_on_a_whole_table(spark):
+    got = packing.op4_packing(spark, "/root/testdata/sf0.01").toPandas()
+    fill = got.groupby("sequence_id")["length"].sum()
+    assert got["doc_id"].nunique() == 1000 and fill.max() <= packing.LENGTH
+    assert len(fill) <= -(-int(fill.sum()) // packing.LENGTH) + 1
+
+
 def test_local_search_empties_bins():
     rng = np.random.default_rng(1)
     for n, high in ((1, 5), (300, 2000), (200, 4096)):
@@ -500,7 +507,7 @@ def test_lm_gather_tells_hashes_apart_and_adds_up():
     e = np.array([(7, 1, 0, 65535), (7, 1, 0, 2), (7, 2, 1, 3), (7, 3, 1, 1), (9, 1, 2, 4)], lm_score.ENTRY)
     import pandas as pd
 
-    counts = pd.DataFrame({"bucket": 0, "hash": [7, 7, 8], "more": [2, 1, 1], "c": [5, 9, 1]})
+    counts = pd.DataFrame({"bucket": 0, "data": [np.array(x, lm_score.COUNT).tobytes() for x in ([(7, 2, 5), (8, 1, 1)], [(7, 1, 9)])]})
     got = lm_score._gather(pd.DataFrame({"bucket": [0], "block": [4], "data": [e.tobytes()]}), counts).iloc[0]
     assert np.frombuffer(got["texts"], "<u4").tolist() == [0, 1, 2] and np.frombuffer(got["known"], np.int64).tolist() == [65537, 3, 0]
     assert np.allclose(np.frombuffer(got["base"]), [65537 * np.log10(9.1), 3 * np.log10(5.1) + np.log10(0.1), 4 * np.log10(0.1)])
