@@ -315,9 +315,21 @@ def observer_schedule(times: np.ndarray, low: Sequence[float], high: Sequence[fl
     return np.concatenate([2 * np.pi * reach * np.cos(turn[:, None] + shift) - np.cross(angular, middle), angular], axis=1)
 
 
-def moving_view(points: np.ndarray, steady, parameters: np.ndarray, turn: np.ndarray, moved: np.ndarray) -> np.ndarray:
-    """(time, points, 3) velocities that a moving observer sees of a steady field, given as a function of positions."""
-    return np.stack([steady(points @ r - d) @ r.T + p[:3] + np.cross(p[3:], points) for p, r, d in zip(parameters, turn, moved)]).astype(np.float32)
+def moving_view(points: np.ndarray, steady, parameters: np.ndarray, turn: np.ndarray, moved: np.ndarray, bounds: tuple | None = None) -> np.ndarray:
+    """(time, points, 3) velocities that a moving observer sees of a steady field, given as a function of positions.
+
+    bounds: the field's least and largest coordinates; a position outside them, or a velocity that isn't finite, is an error.
+    """
+    out = []
+    for k, (p, r, d) in enumerate(zip(parameters, turn, moved)):
+        at = points @ r - d
+        if bounds is not None and ((at < bounds[0]) | (at > bounds[1])).any():
+            raise ValueError(f"the observer looks outside the field in frame {k}")
+        seen = np.asarray(steady(at), float)
+        if seen.shape != points.shape or not np.isfinite(seen).all():
+            raise ValueError("the field gave no finite velocities")
+        out.append(seen @ r.T + p[:3] + np.cross(p[3:], points))
+    return np.stack(out).astype(np.float32)
 
 
 def rounding_envelope(values: Sequence[str], centre: str, name: str = "common") -> list[Column]:

@@ -94,11 +94,15 @@ def balanced_sample(df: DataFrame, strata: Sequence[str], label: str, identity:
     return df.join(counts, list(strata)).withColumn("__nth", nth).filter("__nth <= __take").drop("__nth", "__take")
 
 
-def sequential_draws(counts: DataFrame, strata: Sequence[str], most: int, seed: int) -> DataFrame:
+def sequential_draws(counts: DataFrame, strata: Sequence[str], most: int, seed: int, limit: int = 1 << 22) -> DataFrame:
     """The ordinals drawn in each two-class stratum, in order, by one generator over all strata; strata that are skipped draw nothing.
 
-    counts: strata, n0, n1; one row a stratum (a bounded table: strata, not rows). Returns strata, class and ordinal.
+    counts: strata, n0, n1; one row a stratum (a bounded table: strata, not rows). Returns strata, class and ordinal. One generator means one
+    process, so more than ``limit`` drawn rows are an error, never a cut; ``balanced_sample`` has no such bound.
     """
+    drawn = counts.agg(F.sum(2 * F.least(F.lit(most), F.col("n0"), F.col("n1")))).first()[0] or 0
+    if drawn > limit:
+        raise ValueError(f"{drawn} rows to draw; one generator draws no more than {limit}")
     rng, out = np.random.default_rng(seed), []
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.schema.fields if f.name in strata)
     for r in counts.orderBy(*strata).collect():

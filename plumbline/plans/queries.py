@@ -674,7 +674,15 @@ def pca_projection(spark, d):
     return scaling.apply_pca(df, mean, rows).select("id", F.transform("projected", lambda x: F.round(x, 5)).alias("projected"))
 
 
-@query("farthest_sample")
+PLACES = "[1, 256, 65536, 16777216, 4294967296, 1099511627776, 281474976710656, 72057594037927936]::HUGEINT[]"
+SQUARE = "(pts[i].px - pts[nxt].px) * (pts[i].px - pts[nxt].px) + (pts[i].pz - pts[nxt].pz) * (pts[i].pz - pts[nxt].pz)"
+
+
+@query("farthest_sample", f"""WITH RECURSIVE {GRID}, p AS (SELECT x % 2 AS k, list({{'id': x * 10 + z, 'px': x::DOUBLE, 'pz': z::DOUBLE}} ORDER BY x * 10 + z) AS pts FROM cells GROUP BY x % 2),
+h AS (SELECT *, sha256('0|' || k) AS h FROM p), s AS (SELECT k, pts, (list_sum(list_transform(range(1, 9), lambda i: ('0x' || h[2 * i - 1:2 * i])::HUGEINT * ({PLACES})[i])) % len(pts))::INT + 1 AS nxt FROM h),
+r(k, pts, nth, nxt, chosen, dist) AS (SELECT k, pts, 0, nxt, [nxt], list_transform(range(1, len(pts) + 1), lambda i: {SQUARE}) FROM s
+UNION ALL SELECT k, pts, nth + 1, nxt, list_append(chosen, nxt), list_transform(range(1, len(pts) + 1), lambda i: CASE WHEN list_contains(list_append(chosen, nxt), i::INT) THEN -1 ELSE least(dist[i], {SQUARE}) END)
+FROM (SELECT k, pts, nth, chosen, dist, list_position(dist, list_max(dist))::INT AS nxt FROM r) WHERE nth + 1 < least(12, len(pts))) SELECT k, pts[nxt].id AS id, nth::BIGINT AS nth FROM r""")
 def farthest_sample(spark, d):
     df = _cells(spark, d).select((F.col("x") * 10 + F.col("z")).alias("id"), (F.col("x") % 2).alias("k"), F.col("x").cast("double").alias("px"), F.col("z").cast("double").alias("pz"))
     return selection.farthest_sample(df, ["k"], "id", ["px", "pz"], 12)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import descriptors
 from plumbline.operators import fields, metrics, neighbours, prefix, ranks, scaling, selection
 from plumbline.plans import evaluation, experiments, slices
-from plumbline.sources import grids, tables
+from plumbline.sources import grids, steady, tables
 
 
 def rows_of(n=500, seed=3):
@@ -287,3 +287,80 @@ def test_numpy_assignment_by_rows(spark):
     df = spark.range(50).select((F.col("id") * 3).alias("id")).repartition(4)
     got = [r.scale for r in slices.numpy_assigned(df, "id", 7, 11).orderBy("id").collect()]
     assert got == fields.numpy_assignment(50, 7, 11).tolist()
+
+
+def steady_file(path, binary, kind="float", field=False, shift=0.0):
+    x, y, z = np.array([0.0, 1, 3, 4]), np.array([0.0, 2, 4]), np.array([0.0, 1, 2])
+    zz, yy, xx = np.meshgrid(z, y, x, indexing="ij")
+    points = np.stack([xx + shift * yy, yy, zz], -1)
+    velocity = np.stack([xx + yy, 2 * yy - zz, zz * xx], -1)
+    dtype = ">f4" if kind == "float" else ">f8"
+    body = lambda a: a.astype(dtype).tobytes() + b"\n" if binary else (" ".join(map(repr, a.ravel().tolist())) + "\n").encode()
+    n = xx.size
+    head = f"# vtk DataFile Version 3.0\nt\n{'BINARY' if binary else 'ASCII'}\nDATASET STRUCTURED_GRID\nDIMENSIONS 4 3 3\nPOINTS {n} {kind}\n".encode()
+    name = f"FIELD FieldData 1\nvelocity 3 {n} {kind}\n" if field else f"SCALARS p {kind} 1\nLOOKUP_TABLE default\n"
+    data = name.encode() + (b"" if field else body(np.arange(n)) + f"VECTORS velocity {kind}\n".encode())
+    path.write_bytes(head + body(points) + f"POINT_DATA {n}\n".encode() + data + body(velocity))
+    return str(path), points, velocity
+
+
+@pytest.mark.parametrize("binary,kind,field", [(True, "float", False), (False, "double", False), (True, "double", True)])
+def test_structured_grids_are_read_and_interpolated(tmp_path, binary, kind, field):
+    path, points, velocity = steady_file(tmp_path / "g.vtk", binary, kind, field)
+    p, v = steady.read_structured(path)
+    assert np.allclose(p, points) and np.allclose(v, velocity)
+    g = steady.load_steady(path, 96, 0.25)
+    at = np.array([[2.0, 1.0, 0.5], [3.5, 3.0, 1.5], [0.0, 0.0, 0.0], [4.0, 4.0, 2.0]])
+    assert np.allclose(g(at), np.stack([at[:, 0] + at[:, 1], 2 * at[:, 1] - at[:, 2], at[:, 2] * at[:, 0]], -1), atol=1e-5)
+    assert [len(a) for a in g.output] == [4, 3, 3] and g.output[0].tolist() == [1.0, 1 + 2 / 3, 1 + 4 / 3, 3.0]
+    assert [len(a) for a in steady.load_steady(path, 2, 0.25).output] == [2, 2, 2]
+
+
+def test_structured_grids_fail_closed(tmp_path):
+    path, points, velocity = steady_file(tmp_path / "s.vtk", True, shift=0.5)
+    with pytest.raises(ValueError, match="separable"):
+        steady.load_steady(path)
+    straight = points.copy()
+    straight[..., 0] -= 0.5 * straight[..., 1]
+    for p, v, about in ((straight[:, ::-1], velocity, "separable|increase"), (straight, velocity * np.nan, "finite")):
+        with pytest.raises(ValueError, match=about):
+            steady.SteadyGrid(p, v)
+    (tmp_path / "x.vtk").write_bytes(b"# vtk DataFile Version 3.0\nt\nASCII\nDATASET POLYDATA\n")
+    with pytest.raises(ValueError, match="structured"):
+        steady.read_structured(str(tmp_path / "x.vtk"))
+
+
+def test_unsteady_frames_are_what_the_observer_sees(spark, tmp_path):
+    path, *_ = steady_file(tmp_path / "g.vtk", True)
+    g = steady.load_steady(path, 96, 0.2)
+    rows = steady.unsteady_frames(spark, g, 3, 4, 20).orderBy("t", "iz", "iy", "ix").collect()
+    times = np.linspace(0, 1, 20)
+    q = fields.observer_schedule(times, g.low, g.high)
+    turn, moved = fields.observer_frames(q, times[1])
+    want = fields.moving_view(g.points, g, q[3:7], turn[3:7], moved[3:7])
+    assert len(rows) == 4 * len(g.points) and np.allclose([[r.u, r.v, r.w] for r in rows], want.reshape(-1, 3), atol=1e-6)
+    with pytest.raises(ValueError, match="frames"):
+        steady.unsteady_frames(spark, g, 18, 4, 20)
+    with pytest.raises(ValueError, match="outside"):
+        fields.moving_view(g.points + 10, g, q[:1], turn[:1], moved[:1], (g.low, g.high))
+
+
+def test_one_generator_draws_a_bounded_number(spark):
+    counts = spark.createDataFrame([(0, 50, 40), (1, 0, 9)], "k int, n0 long, n1 long")
+    with pytest.raises(ValueError, match="80 rows"):
+        selection.sequential_draws(counts, ["k"], 100, 5, limit=79)
+    assert selection.sequential_draws(counts, ["k"], 100, 5, limit=80).count() == 80
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from plumbline.plans.scratch import shared_folder
+
+    conf = lambda v: SimpleNamespace(get=lambda key, default=None: v)
+    session = lambda master, v: SimpleNamespace(conf=conf(v), sparkContext=SimpleNamespace(master=master, getConf=lambda: conf(v)))
+    assert shared_folder(session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_folder(session("local[4]", None)).startswith("file://")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(session(master, None))
