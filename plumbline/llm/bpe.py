@@ -20,7 +20,7 @@ from plumbline.llm.hashing import groups
 
 LETTER, DIGIT, OTHER, SPACE, UNSAFE = 0, 1, 2, 3, 4
 LONG = 512
-NONE = np.int64(1) << 40
+NONE = np.int32(2**31 - 1)
 
 
 def byte_alphabet() -> list[str]:
@@ -82,7 +82,7 @@ class Encoder:
         keys = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
         merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         keys, at = np.unique(keys, return_index=True)  # of a pair listed twice the first counts
-        self.merged = merged
+        self.merged = merged.astype(np.int32)
         bits = 19
         self.mask = (1 << bits) - 1
         self.slot_key, self.slot_rank, self.reach = self._table(keys, at, bits)
@@ -104,7 +104,7 @@ class Encoder:
         return (((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits))).astype(np.int64)
 
     def _table(self, keys: np.ndarray, ranks: np.ndarray, bits: int):
-        slot_key, slot_rank = np.full((1 << bits) + 64, -1, np.int64), np.full((1 << bits) + 64, NONE, np.int64)
+        slot_key, slot_rank = np.full((1 << bits) + 64, -1, np.int64), np.full((1 << bits) + 64, NONE, np.int32)
         reach, left, home = 0, np.arange(len(keys)), self._slot(keys, bits)
         while len(left):
             at = home[left] + reach
@@ -135,14 +135,14 @@ class Encoder:
 
         Each round merges every run's best pair wherever it stands; only the ranks of pairs beside a merge are looked up again.
         """
-        symbols, size, name = symbols.copy(), lengths.astype(np.int64), np.arange(len(lengths))
+        symbols, size, name = symbols.astype(np.int32), lengths.astype(np.int64), np.arange(len(lengths))
         done_ids, done_run, done_size = [], [], []
         last = np.zeros(len(symbols), bool)
         last[np.cumsum(size[size > 0]) - 1] = True
         name, size = name[size > 0], size[size > 0]
-        rank = np.full(len(symbols), NONE, np.int64)
+        rank = np.full(len(symbols), NONE, np.int32)
         inner = np.flatnonzero(~last)
-        rank[inner] = self.rank(symbols[inner] << 20 | symbols[inner + 1])
+        rank[inner] = self.rank(symbols[inner].astype(np.int64) << 20 | symbols[inner + 1])
         while len(symbols):
             starts = np.cumsum(size) - size
             best = np.minimum.reduceat(rank, starts)
@@ -169,20 +169,21 @@ class Encoder:
             last[at] = last[at + 1]
             keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
-            size -= np.bincount(np.searchsorted(np.cumsum(size), at, "right"), minlength=len(size))
+            # Every run merges once at least; mostly each does just once.
+            size -= 1 if len(at) == len(size) else np.bincount(np.searchsorted(np.cumsum(size), at, "right"), minlength=len(size))
             symbols, rank, last = symbols[keep], rank[keep], last[keep]
             at -= np.arange(len(at))
             near = np.concatenate([at, at[at > 0] - 1])
             rank[near] = NONE
             near = near[~last[near]]
-            rank[near] = self.rank(symbols[near] << 20 | symbols[near + 1])
+            rank[near] = self.rank(symbols[near].astype(np.int64) << 20 | symbols[near + 1])
         if not done_run:
             return np.zeros(0, np.int64), np.zeros(len(lengths), np.int64)
         run, size, ids = np.concatenate(done_run), np.concatenate(done_size), np.concatenate(done_ids)
         counts = np.zeros(len(lengths), np.int64)
         counts[run] = size
         order = np.argsort(run)
-        return ids[ranges((np.cumsum(size) - size)[order], size[order])], counts
+        return ids[ranges((np.cumsum(size) - size)[order], size[order])].astype(np.int64), counts
 
     def chunks(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The bytes, then start, length and text number of each chunk."""
