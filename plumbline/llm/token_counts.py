@@ -78,7 +78,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, text: str = "text"
     stored = stored.filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     rows = scratch.write(rows.join(stored.withColumnRenamed("digest", "__digest"), "__digest", "left"), "looked")
 
-    missing = rows.filter("n_tokens is null").groupBy(F.col("__digest").alias("digest")).agg(F.min(doc_id).alias("id")).hint("merge").alias("m")
+    missing = rows.filter("n_tokens is null").groupBy(F.col("__digest").alias("digest")).agg(F.min(doc_id).alias("id"))
+    missing = scratch.write(missing, "missing")
+    if missing.isEmpty():  # no text needs to be read again
+        return rows.select(doc_id, "n_bytes", "n_tokens")
+    missing = missing.hint("merge").alias("m")
     # The text travels once, dealt by digest and id, so that copies spread; that of one id for each missing digest is encoded.
     texts = docs.select(F.col(doc_id).alias("id"), body.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256))).alias("d")
     texts = texts.join(missing, (F.col("d.digest") == F.col("m.digest")) & F.col("d.id").eqNullSafe(F.col("m.id")), "left_semi").select("digest", "text")
