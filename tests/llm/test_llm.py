@@ -308,6 +308,40 @@ def test_sharding(spark, docs, empty):
     assert split.agg(F.max("n")).first()[0] == 1
 
 
+def brute_shards(rows, shards, share=50):
+    """(doc_id, shard, slot) by the rule in plain Python: rows by hash of the text, units at their middle byte."""
+    import xxhash
+
+    def signed(h):
+        return h - (1 << 64) if h >> 63 else h
+
+    rows = sorted(((signed(xxhash.xxh64_intdigest((t or "").encode(), 42)), t or "", i is not None, i or 0, len((t or "").encode()) + 8) for i, t in rows))
+    total, largest, start, out, first = sum(r[4] for r in rows), max(r[4] for r in rows), 0, [], {}
+    spans = {}
+    for r in rows:
+        spans.setdefault(r[1], [start, 0, 0])
+        spans[r[1]][1] += r[4]
+        spans[r[1]][2] += 1
+        start += r[4]
+    start = 0
+    for k, r in enumerate(rows):
+        a, size, n = spans[r[1]]
+        a, size = (a, size) if n > 1 and size <= max(total // (shards * share), largest) else (start, r[4])
+        shard = min(shards - 1, (2 * a + size) * shards // (2 * total))
+        first.setdefault(shard, k)
+        out.append((r[3] if r[2] else None, shard, k - first[shard]))
+        start += r[4]
+    return out
+
+
+def test_sharding_against_plain_python(spark, docs):
+    rng = random.Random(3)
+    some = [(i, rng.choice(VOCABULARY) * rng.randint(1, 9)) for i in range(900)] + [(1000 + i, "hot " * 15) for i in range(300)] + [(None, "x"), (None, None)]
+    for df, rows, n in ((docs, [r[:2] for r in ROWS], 5), (spark.createDataFrame(some, "doc_id long, text string").repartition(7), some, 24)):
+        got = sorted(((r.doc_id, r.shard, r.slot) for r in sharding.byte_shards(df, n).collect()), key=repr)
+        assert got == sorted(brute_shards(rows, n), key=repr)
+
+
 def test_packing(docs, empty):
     tok = Tokenizer.from_file(WORD)
     got = packing.pack(docs, WORD, 512).collect()
@@ -695,6 +729,23 @@ def test_langid_held_out_accuracy(spark):
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
 
 
+def test_langid_predicts_the_best_plain_cosine(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()][:60] + [None, "", "12 34", "é"]
+    train = langid.held_out_split(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).filter("not held_out")
+    names, prototypes = langid.train(train)
+    unit = [p / math.sqrt(sum(p * p)) for p in prototypes]
+    mean = sum(unit) / len(unit)
+    unit = [(u - mean) / math.sqrt(sum((u - mean) ** 2)) for u in unit]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), (names, prototypes)).collect()}
+    for i, t in enumerate(texts):
+        if t is None or not any(c.isalpha() for c in t):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        v = langid.Space().vectors([t])[0][0].astype(float)
+        cosine = [float(v @ u / math.sqrt(v @ v)) if v.any() else 0.0 for u in unit]
+        assert got[i].lang_pred == names[int(np.argmax(cosine))] and got[i].score == pytest.approx((1 + max(cosine)) / 2, abs=1e-4)
+
+
 def test_hypervectors_against_plain_binding():
     s = langid.Space()
     text = "abc dé!x"
