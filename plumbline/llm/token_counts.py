@@ -3,7 +3,7 @@
 The cache is a Parquet table of (content digest, tokenizer digest, tokens), in a folder for each tokenizer. Documents are digested where they
 are read and joined with it, which gives every known count; of the others one text for each digest is encoded, and appended. Their counts come
 back to the rows by a join on the digest, so a text with a million copies is encoded once, and one that any run has seen not at all.
-``op1_token_counts`` keeps its cache in the shared folder, where later runs find it.
+``op1_token_counts`` keeps a cache for each folder of tables in the shared folder, where later runs over the same tables find it.
 
 Normalisation is what leaves every count as the tokenizer gives it: null becomes the empty text, and nothing else
 changes. The tokenizer digest is that of its file's bytes, so another version never meets these counts.
@@ -104,6 +104,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, text: str = "text"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = f"{shared_folder(spark)}/plumbline-token-cache"
+    cache = f"{shared_folder(spark)}/plumbline-token-cache/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
     out = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))

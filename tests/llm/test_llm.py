@@ -96,7 +96,7 @@ def test_token_counts_come_from_the_cache(spark, docs, tmp_path):
     spark.createDataFrame([(i, t) for i, t, *_ in ROWS[:5]], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     from plumbline.plans.scratch import shared_folder
 
-    folder = f"{shared_folder(spark)}/plumbline-token-cache"
+    folder = f"{shared_folder(spark)}/plumbline-token-cache/{sha(str(tmp_path))[:16]}"
     first = token_counts.op1_token_counts(spark, str(tmp_path)).collect()
     kept = spark.read.parquet(folder).count()
     assert sorted(token_counts.op1_token_counts(spark, str(tmp_path)).collect()) == sorted(first) and spark.read.parquet(folder).count() == kept >= 4
