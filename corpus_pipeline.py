@@ -36,15 +36,29 @@ def _aside(stage):
 
 
 def _marked(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
-    """docs with a row number in ``row``, written so that it stays: ids may be null or repeated."""
-    return Scratch(spark, name).write(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    """docs with a row number in ``row`` that stays: ids may be null or repeated.
 
-
-def _smallest(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Of each group the row with the smallest id, of equal ids the first; null ids come last."""
+    Rows of files have the place of their file and their place in it; other rows are written with a number.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() == "Project":
+        plan = plan.child()
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        return Scratch(spark, name).write(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    files = sorted(r["file"] for r in placed.select("file").distinct().collect())  # a row a file
+    if not files:
+        return docs.withColumn("row", F.lit(0).cast("long"))
+    numbered = spark.createDataFrame(list(enumerate(files)), "number long, file string")
+    return placed.join(F.broadcast(numbered), "file").withColumn("row", F.shiftleft("number", 40) + F.col("place")).drop("number", "file", "place")
+
+
+def _smallest(rows: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of each group the row with the smallest id, of equal ids the first; null ids come last. What groups reads in scratch goes."""
     named = rows.select("row", "doc_id").join(groups, "row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    keep = named.groupBy("group").agg(first.alias("s")).select(F.col("s.row").alias("row"))
+    keep = Scratch(rows.sparkSession, "keep").write(named.groupBy("group").agg(first.alias("s")).select(F.col("s.row").alias("row")), "rows")
+    scratch.drop()
     return rows.join(keep, "row", "left_semi")
 
 
@@ -67,9 +81,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Texts are equal when they are identical but for runs of white space; a null text equals the empty one. Of rows with one id and equal
     texts one stays; a row with a null id stays only where its group has no other. An empty table stays empty.
     """
-    rows = _marked(spark, docs, "copies")
-    groups = exact_dedup.exact_groups(rows, doc_id="row").select(F.col("doc_id").alias("row"), F.col("keep_id").alias("group"))
-    return _smallest(rows, groups).select(*docs.columns)
+    rows, scratch = _marked(spark, docs, "copies"), Scratch(spark, "radix")
+    groups = exact_dedup.exact_groups(rows, doc_id="row", scratch=scratch).select(F.col("doc_id").alias("row"), F.col("keep_id").alias("group"))
+    return _smallest(rows, groups, scratch).select(*docs.columns)
 
 
 @_aside
@@ -79,9 +93,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words (null, empty, white space) are similar to none and all stay. Equal texts are one component, so of repeated rows one
     stays; a row with a null id stays only where its component has no other. An empty table stays empty.
     """
-    rows = _marked(spark, docs, "near")
-    groups = ngram_join.near_components(rows, doc_id="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
-    return _smallest(rows, groups).select(*docs.columns)
+    rows, scratch = _marked(spark, docs, "near"), Scratch(spark, "ngram")
+    groups = ngram_join.near_components(rows, doc_id="row", scratch=scratch).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    return _smallest(rows, groups, scratch).select(*docs.columns)
 
 
 @_aside

@@ -31,10 +31,9 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """For each row: uid, doc_id, keep_id, group_size, kept, text_sha256 (an output only)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "radix")
+def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
+    """For each row: uid, doc_id, keep_id, group_size, kept, text_sha256 (an output only); they read tables in scratch."""
+    scratch = scratch or Scratch(docs.sparkSession, "radix")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.encode(normalised(F.col(text)), "UTF-8").alias("body"))
     base = scratch.write(rows.withColumn("uid", F.monotonically_increasing_id()), "base")
     own = scratch.write(base.select("uid", "doc_id", F.unhex(F.sha2("body", 256)).alias("sha")), "rows")

@@ -1,12 +1,13 @@
 """N-gram Jaccard join by prefix trees, exact at 0.75 over sets of five-word shingles.
 
-1. Every text's set gets a 128-bit id (equal sets, one id); a sketch of fixed size counts shingles over all texts.
+1. Every text's set gets a 128-bit id (equal sets, one id); a sketch of bounded size counts shingles over all texts.
 2. All sets follow one global order: rare shingles first by the sketch, ties by hash. An order decides only how much work there is, never the
    result. Two similar sets share a shingle within their first (1 - 0.75) * n + 1 in that order. These prefixes meet by shingle, in
    buckets; a set that occurs often in a task goes there once.
 3. The sets of one shingle that three bounds leave similar (sizes, places in the order, parity bitmaps; no similar pair is lost) are joined into
    groups: a task emits one edge a set, to the least set of its group, never pairs. Connected components of these edges are the neighbourhoods,
-   so similar sets are always in one neighbourhood.
+   so similar sets are always in one neighbourhood. Bitmaps of 512 bits can't tell long sets apart; neighbourhoods that a cell can't hold are therefore
+   made once more by bitmaps of at least as many bits as a set has shingles, so that long texts don't link up by chance as their number grows.
 4. The whole sets of neighbourhoods travel, each text once, to cells of about ``CHUNK`` sets. A cell stores its sets in a trie in the
    global order and joins all of them with it in one traversal, in which probes share the path's partial overlaps and leave subtrees by remaining-length
    bounds (``prefix_trie``). Small neighbourhoods share a cell; a large one is split into blocks, and each two blocks meet in a cell of
@@ -18,7 +19,7 @@
 component. Every similar pair is verified and counted, none is written. ``near_links`` writes the pairs, for callers who want them: a
 group of n similar texts has up to n * (n - 1) / 2.
 
-Growth: what is broadcast has a fixed size: the sketch (``SKETCH`` counters of a byte) and a filter of ``FILTER`` bits, which lets texts travel that are in
+Growth: what is broadcast has a bounded size: the sketch (a byte a counter, 4 to 32 MiB by the input) and a filter of ``FILTER`` bits, which lets texts travel that are in
 a neighbourhood; both only decide how much is moved. Buckets grow in number with the input. A shingle that the sketch holds for very
 frequent is dealt to pairs of blocks of its sets (``HOT``), and so is one that many sets of a bucket share (``WIDE``). The work within a
 group of n near copies grows with n * n in compares of trie paths, and its sets travel n / ``CHUNK`` times; rows and files don't grow so.
@@ -32,6 +33,7 @@ holds no other id gets null. An empty table gives no rows. Extra columns are ign
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -45,67 +47,111 @@ from plumbline.llm.prefix_trie import DENOMINATOR, NUMERATOR, Trie, needed
 from plumbline.llm.shingles import BITS, set_id, shingle_sets
 from plumbline.plans.scratch import Scratch, ship, table
 
-SKETCH, PART, FILTER, MAP_WORDS = 1 << 22, 1 << 16, 1 << 23, 8
+#: The sketch has a counter for about LOAD shingles, within these powers of two.
+SKETCH, LOAD = (22, 25), 8
+PART, FILTER, MAP_WORDS = 1 << 20, 1 << 23, 8
 #: Prefix entries of a bucket; sets and items of a cell; sets of one shingle in a bucket and in a candidate task.
 BUCKET, CHUNK, ITEMS, HOT, WIDE = 300_000, 384, 1 << 20, 1 << 18, 4096
 ENTRY = np.dtype([("key", "<u8"), ("sid", "V16"), ("size", "<u4"), ("place", "<u4")])
 
 
-def _sketch_rows(counts: np.ndarray):
-    for i in range(0, SKETCH, PART):
-        yield i // PART, zlib.compress(counts[i : i + PART].tobytes(), 1)
+#: What a counter holds above a byte.
+OVER = np.dtype([("at", "<u4"), ("more", "<u4")])
 
 
-def _scan(batches):
+def _packed(counts: np.ndarray) -> bytes:
+    """A part of the sketch: a byte a counter, then what the few large ones have above it."""
+    at = np.flatnonzero(counts > 255)
+    over = np.empty(len(at), OVER)
+    over["at"], over["more"] = at, counts[at] - 255
+    return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + over.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    raw = zlib.decompress(data)
+    out, over = np.frombuffer(raw, np.uint8, PART).astype(np.int64), np.frombuffer(raw, OVER, offset=PART)
+    out[over["at"]] += over["more"]
+    return out
+
+
+def _sketch_rows(counts: np.ndarray) -> pd.DataFrame:
+    parts = [(i // PART, _packed(counts[i : i + PART])) for i in range(0, len(counts), PART)]
+    return pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * len(parts), "Int64"), "digest": 0, "sid": None, "n": [k for k, _ in parts], "data": [d for _, d in parts]})
+
+
+def _scan(bits: int):
     """Rows: kind 0, a document's set id, size and text digest; kind 1, a part of the task's sketch."""
-    counts, seen = np.zeros(SKETCH, np.uint32), set()
-    for batch in batches:
-        sid, size = [], []
-        for _, texts in byte_blocks(batch["text"]):
-            fresh = []
-            for s in shingle_sets(texts):
-                i = set_id(s)
-                sid.append(i)
-                size.append(len(s))
-                if i not in seen:
-                    seen.add(i)
-                    fresh.append(s)
-            if fresh:
-                counts += np.bincount((np.concatenate(fresh) >> np.uint64(BITS - 22)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
-        yield pd.DataFrame({"kind": 0, "doc_id": batch["doc_id"].astype("Int64"), "digest": batch["digest"], "sid": sid, "n": size, "data": None})
-    if seen:
-        parts = list(_sketch_rows(counts))
-        yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * len(parts), "Int64"), "digest": 0, "sid": None, "n": [k for k, _ in parts], "data": [d for _, d in parts]})
+
+    def run(batches):
+        counts, seen, since = np.zeros(1 << bits, np.uint16), set(), 0
+        for batch in batches:
+            sid, size = [], []
+            for _, texts in byte_blocks(batch["text"]):
+                fresh = []
+                for s in shingle_sets(texts):
+                    i = set_id(s)
+                    sid.append(i)
+                    size.append(len(s))
+                    if i not in seen:
+                        seen.add(i)
+                        fresh.append(s)
+                if since + len(fresh) > 65_535:  # a set adds one at most to a counter
+                    yield _sketch_rows(counts)
+                    counts[:], since = 0, 0
+                if fresh:
+                    since += len(fresh)
+                    for lo in range(0, len(fresh), 65_535):
+                        at, c = np.unique((np.concatenate(fresh[lo : lo + 65_535]) >> np.uint64(BITS - bits)).astype(np.uint32), return_counts=True)
+                        counts[at] = np.minimum(counts[at] + c, 65_535)
+            yield pd.DataFrame({"kind": 0, "doc_id": batch["doc_id"].astype("Int64"), "digest": batch["digest"], "sid": sid, "n": size, "data": None})
+        if since:
+            yield _sketch_rows(counts)
+
+    return run
 
 
 def _add_parts(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(PART, np.int64)
-    for d in pdf["data"]:
-        total += np.frombuffer(zlib.decompress(d), "<u4")
-    return pd.DataFrame({"n": pdf["n"].iloc[:1], "data": [zlib.compress(np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes(), 1)]})
+    total = sum(_unpacked(d) for d in pdf["data"])
+    return pd.DataFrame({"n": pdf["n"].iloc[:1], "data": [_packed(np.minimum(total, 1 << 32))]})
+
+
+def _add_classes(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(_unpacked(d) for d in pdf["data"])
+    return pd.DataFrame({"n": pdf["n"].iloc[:1], "data": [zlib.compress(np.minimum(255, np.rint(6 * np.log2(total + 1))).astype(np.uint8).tobytes(), 1)]})
 
 
-def _classes(parts: DataFrame) -> bytes:
+def _classes(parts: DataFrame, scratch: Scratch, bits: int) -> bytes:
     """One byte for each counter: how frequent, on a logarithmic scale. Its size is fixed."""
     some = parts.select("n", "data", (F.spark_partition_id() % 16).alias("salt")).groupBy("n", "salt").applyInPandas(_add_parts, "n long, data binary")
-    found = some.groupBy("n").applyInPandas(_add_parts, "n long, data binary").collect()
-    counts = np.zeros(SKETCH, np.int64)
-    for r in found:
-        counts[r["n"] * PART : (r["n"] + 1) * PART] = np.frombuffer(zlib.decompress(r["data"]), "<u4")
-    return np.minimum(255, np.rint(6 * np.log2(counts + 1))).astype(np.uint8).tobytes()
+    out = np.zeros(1 << bits, np.uint8)
+    for r in scratch.write(some.groupBy("n").applyInPandas(_add_classes, "n long, data binary"), "classes").collect():  # 32 rows at most
+        out[r["n"] * PART : (r["n"] + 1) * PART] = np.frombuffer(zlib.decompress(r["data"]), np.uint8)
+    return out.tobytes()
 
 
 def ordered(shingles: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """The set in the global order, as keys whose own order that is."""
-    return np.sort(classes[(shingles >> np.uint64(BITS - 22)).astype(np.int64)].astype(np.uint64) << np.uint64(BITS) | shingles)
+    bits = len(classes).bit_length() - 1
+    return np.sort(classes[(shingles >> np.uint64(BITS - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(BITS) | shingles)
 
 
 def parity(shingles: np.ndarray) -> bytes:
     """Bit b is set if an odd number of shingles fall on it: two sets differ in at least as many items as their maps in bits."""
-    bits = np.bincount((shingles & np.uint64(MAP_WORDS * 64 - 1)).astype(np.int64), minlength=MAP_WORDS * 64) & 1
+    return folded(whole_parity(shingles), MAP_WORDS)
+
+
+def whole_parity(shingles: np.ndarray) -> bytes:
+    """The parity bitmap of the least power of two of bits, from MAP_WORDS * 64 on, that is no less than the set."""
+    size = max(MAP_WORDS * 64, 1 << max(0, len(shingles) - 1).bit_length())
+    bits = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def folded(whole: bytes, words: int) -> bytes:
+    """The bitmap of words * 64 bits of the same set."""
+    return np.bitwise_xor.reduce(np.frombuffer(whole, "<u8").reshape(-1, words), 0).tobytes()
+
+
 def prefix_length(n: int) -> int:
     return n - (-(-NUMERATOR * n // DENOMINATOR)) + 1
 
@@ -130,7 +176,7 @@ def _prefix_rows(shared, buckets: int, hot: int):
         classes, seen = np.frombuffer(shared.value, np.uint8), set()
         for batch in batches:
             for _, texts in byte_blocks(batch["text"]):
-                entries, sids, sizes, maps = [], [], [], []
+                entries, sids, sizes, maps, wholes = [], [], [], [], []
                 for s in shingle_sets(texts):
                     if not len(s) or (i := set_id(s)) in seen:
                         continue
@@ -141,11 +187,13 @@ def _prefix_rows(shared, buckets: int, hot: int):
                     entries.append(e)
                     sids.append(i)
                     sizes.append(len(s))
-                    maps.append(parity(s))
+                    whole = whole_parity(s)
+                    maps.append(folded(whole, MAP_WORDS))
+                    wholes.append(whole if len(whole) > MAP_WORDS * 8 else None)
                 if not entries:
                     continue
                 own = np.array([int.from_bytes(i[:4], "little") % buckets for i in sids])
-                yield pd.DataFrame({"part": -1 - own, "sid": sids, "size": sizes, "map": maps, "data": None})
+                yield pd.DataFrame({"part": -1 - own, "sid": sids, "size": sizes, "map": maps, "whole": wholes, "data": None})
                 e = np.concatenate(entries)
                 # The most that the sketch allows a shingle's sets to be; few exceed HOT.
                 most = 2.0 ** (((e["key"] >> np.uint64(BITS)).astype(float) + 0.5) / 6)
@@ -156,7 +204,7 @@ def _prefix_rows(shared, buckets: int, hot: int):
                 order = np.lexsort((cell, b))
                 e, b, cell = e[order], b[order], cell[order]
                 edges = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (cell[1:] != cell[:-1]), True])
-                yield pd.DataFrame({"part": b[edges[:-1]], "sid": None, "size": cell[edges[:-1]], "map": None, "data": [e[lo:hi].tobytes() for lo, hi in zip(edges, edges[1:])]})
+                yield pd.DataFrame({"part": b[edges[:-1]], "sid": None, "size": cell[edges[:-1]], "map": None, "whole": None, "data": [e[lo:hi].tobytes() for lo, hi in zip(edges, edges[1:])]})
 
     return run
 
@@ -189,6 +237,29 @@ def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
 
+class Maps:
+    """Parity bitmaps of several sizes; two are compared at the size of the smaller one."""
+
+    def __init__(self, maps):
+        self.words = np.array([len(m) // 8 for m in maps])
+        self.place, self.folds = {}, {}
+        for w in np.unique(self.words).tolist():
+            at = np.flatnonzero(self.words >= w)
+            self.place[w] = np.full(len(self.words), -1)
+            self.place[w][at] = np.arange(len(at))
+            self.folds[w] = np.frombuffer(b"".join(folded(maps.iloc[i], w) if self.words[i] > w else maps.iloc[i] for i in at), np.uint64).reshape(-1, w)
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many bits at the least the maps of x and y differ."""
+        out, least = np.zeros(len(x), np.int64), np.minimum(self.words[x], self.words[y])
+        for w in np.unique(least).tolist():
+            of = np.flatnonzero(least == w)
+            for lo in range(0, len(of), step := max(1, (1 << 21) // w)):
+                some = of[lo : lo + step]
+                out[some] = _bits(self.folds[w][self.place[w][x[some]]], self.folds[w][self.place[w][y[some]]])
+        return out
+
+
 def least_linked(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Of each of n nodes the least one that the links (x, y) join it with, itself included."""
     label = np.arange(n)
@@ -226,7 +297,7 @@ def _edges(batches):
         key, cell = rows["key"].to_numpy(), rows["cell"].to_numpy()
         first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
         node, size, place = (rows[c].to_numpy() for c in ("node", "size", "place"))
-        maps = np.frombuffer(b"".join(rows["map"]), np.uint64).reshape(-1, MAP_WORDS)
+        maps = Maps(rows["map"])
         nodes, number = np.unique(node, return_inverse=True)
         label = np.arange(len(nodes))
         for x, y in _pairs(first, np.diff(np.r_[first, len(key)])):
@@ -234,7 +305,7 @@ def _edges(batches):
             x, y = x[apart], y[apart]
             ok = possible(size[x], place[x], size[y], place[y])
             x, y = x[ok], y[ok]
-            ok = _bits(maps[x], maps[y]) <= size[x] + size[y] - 2 * needed(size[x], size[y])
+            ok = maps.apart(x, y) <= size[x] + size[y] - 2 * needed(size[x], size[y])
             if ok.any():
                 label = least_linked(len(nodes), np.r_[np.arange(len(nodes)), number[x[ok]]], np.r_[label, number[y[ok]]])
         at = np.flatnonzero(label != np.arange(len(nodes)))
@@ -299,32 +370,47 @@ def _neighbourhoods(docs: DataFrame, scratch: Scratch, text: str, doc_id: str):
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("digest"))
-    scanned = scratch.write(rows.mapInPandas(_scan, "kind int, doc_id long, digest long, sid binary, n long, data binary"), "scanned")
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = min(max(SKETCH[0], round(math.log2(size / 6 / LOAD + 1))), SKETCH[1])  # a word is about six letters
+    scanned = scratch.write(rows.mapInPandas(_scan(bits), "kind int, doc_id long, digest long, sid binary, n long, data binary"), "scanned", by=("kind",))
     members = scanned.filter("kind = 0").select("doc_id", "sid", F.col("n").alias("n_shingles"), "digest")
-    packed = _classes(scanned.filter("kind = 1"))
+    packed = _classes(scanned.filter("kind = 1"), scratch, bits)
+    scratch.drop("scanned/kind=1")
     classes = spark.sparkContext.broadcast(packed)
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(64, int(total * (DENOMINATOR - NUMERATOR) / DENOMINATOR) // BUCKET)
-    hot = max(HOT, 4 * total // SKETCH)  # no counter is hot because of what else it holds
+    hot = max(HOT, 4 * total >> bits)  # no counter is hot because of what else it holds
 
-    prefix = rows.select("text").mapInPandas(_prefix_rows(classes, buckets, hot), "part long, sid binary, size long, map binary, data binary")
+    prefix = rows.select("text").mapInPandas(_prefix_rows(classes, buckets, hot), "part long, sid binary, size long, map binary, whole binary, data binary")
 
     def reduce(key, pdf):
         if key[0] < 0:
-            return pdf.drop_duplicates("sid")[["sid", "size", "map"]].assign(key=None, cell=None, place=None)[["key", "cell", "sid", "size", "place", "map"]]
-        return _meet(pdf).assign(map=None)
+            return pdf.drop_duplicates("sid")[["sid", "size", "map", "whole"]].assign(key=None, cell=None, place=None)[["key", "cell", "sid", "size", "place", "map", "whole"]]
+        return _meet(pdf).assign(map=None, whole=None)
 
-    met = scratch.write(prefix.groupBy("part").applyInPandas(reduce, "key long, cell long, sid binary, size long, place long, map binary"), "met")
+    met = scratch.write(prefix.groupBy("part").applyInPandas(reduce, "key long, cell long, sid binary, size long, place long, map binary, whole binary"), "met")
     live = met.filter("key is not null")
-    nodes = met.filter("key is null").select("sid", "size", "map").join(live.select("sid").distinct(), "sid", "left_semi")
+    nodes = met.filter("key is null").select("sid", "size", "map", "whole").join(live.select("sid").distinct(), "sid", "left_semi")
     nodes = scratch.write(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    asked = live.select("key", "cell", "sid", "place").join(nodes, "sid").drop("sid").repartition("key", "cell").sortWithinPartitions("key", "cell")
-    edges = scratch.write(asked.mapInPandas(_edges, "a long, b long").distinct(), "edges")
-    stars = components(edges, scratch, "near")
-    roots = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
-    sizes = roots.join(nodes.select("node", "size"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("items"))
-    sizes = sizes.withColumn("g", F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("items") / (2 * ITEMS))).cast("int"))
-    near = scratch.write(roots.join(sizes, "root").join(nodes.select("node", "sid", "size"), "node"), "neighbourhoods")
+
+    def linked(nodes: DataFrame, name: str) -> DataFrame:
+        """Stars of the candidates among nodes (sid, node, size, map)."""
+        asked = live.select("key", "cell", "sid", "place").join(nodes, "sid").drop("sid").repartition("key", "cell").sortWithinPartitions("key", "cell")
+        edges = scratch.write(asked.mapInPandas(_edges, "a long, b long").distinct(), "edges")
+        return components(edges, scratch, name)
+
+    def sized(stars: DataFrame) -> DataFrame:
+        roots = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+        sizes = roots.join(nodes.select("node", "size"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("items"))
+        sizes = sizes.withColumn("g", F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("items") / (2 * ITEMS))).cast("int"))
+        return roots.join(sizes, "root").join(nodes.select("node", "sid", "size"), "node")
+
+    near = scratch.write(sized(linked(nodes.drop("whole"), "near")), "neighbourhoods")
+    wide = near.filter("g > 1").select("node")
+    if not near.filter(f"g > 1 and size > {MAP_WORDS * 64}").isEmpty():
+        # Short bitmaps can't tell long sets apart: in what a cell can't hold, whole ones decide once more.
+        again = nodes.join(wide, "node", "left_semi").select("node", "sid", "size", F.coalesce("whole", "map").alias("map"))
+        near = scratch.write(near.filter("g = 1").unionByName(sized(linked(again, "finer")).select(*near.columns)), "finer_neighbourhoods")
     scratch.drop("met", "edges")
 
     small = near.filter("g = 1").agg(F.count(F.lit(1)), F.sum("size")).first()
@@ -366,9 +452,9 @@ def near_links(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: st
     return scratch.write(links, "links"), members.drop("digest").join(nodes, "sid", "left")
 
 
-def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, n_links, component_id of every row."""
-    scratch = Scratch(docs.sparkSession, "ngram")
+def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles, n_links, component_id of every row; they read tables in scratch."""
+    scratch = scratch or Scratch(docs.sparkSession, "ngram")
     members, nodes, cells = _neighbourhoods(docs, scratch, text, doc_id)
     counted = scratch.write(cells.groupBy("cell", "i", "j").applyInPandas(_cell_counts, "node long, root long, n_links long, whole boolean"), "counted")
     found = counted.groupBy("node").agg(F.sum("n_links").alias("n_links"), F.min("root").alias("least"))

@@ -17,6 +17,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: list[str] = []
 _ROOTS: list[tuple[SparkSession, str]] = []
 _SHIPPED: set[str] = set()
@@ -56,18 +57,29 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str, codec: str = "zstd", by: tuple[str, ...] = ()) -> DataFrame:
-        """Writes df, in folders by the columns ``by``, and reads it back; the result has no lineage beyond the files."""
-        df.write.mode("overwrite").option("compression", codec).partitionBy(*by).parquet(self.path(name))
+        """Writes df, in folders by the columns ``by``, and reads it back; the result has no lineage beyond the files.
+
+        The write's own shuffle files go when it ends, not when the driver happens to collect its garbage.
+        """
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", codec).partitionBy(*by).parquet(self.path(name))
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        """Deletes tables that no result still reads."""
+        """Deletes tables that no result still reads; without names all of them."""
         jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        for path in [self.path(n) for n in names] or [self.root]:
+            path = jvm.org.apache.hadoop.fs.Path(path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -8,7 +8,9 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -819,3 +821,41 @@ def test_pipeline_stages_keep_columns_of_any_name(spark):
         got = out.collect()
         assert got and all(r[k] == f"{k}:{r.doc_id}" for r in got for k in names if k != "n_chars")
     assert pipeline.STAGES[-1][1](spark, docs, "").columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_long_sets_do_not_link_up_by_chance(spark, monkeypatch):
+    """Long texts that share one shingle with the next one each are no neighbourhood, however many there are; true copies among them stay linked."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 3)
+    rng = np.random.default_rng(7)
+    long = [[f"a{i}x{j}" for j in range(1500)] for i in range(12)]
+    for i in range(11):
+        long[i + 1][:60] = long[i][-60:]
+    near = list(long[4])
+    for j in rng.choice(1500, 20, False):
+        near[j] += "y"
+    rows = [(i, " ".join(w)) for i, w in enumerate([*long, near])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ngram_join._neighbourhoods(docs, Scratch(spark, "long"), "text", "doc_id")[2].count() == 2
+    got = {r.doc_id: (r.n_links, r.component_id) for r in ngram_join.near_components(docs).collect()}
+    assert got == {i: (int(i in (4, 12)), 4 if i == 12 else i) for i in range(13)}
+
+
+def test_whole_parity_bounds_the_difference():
+    rng = np.random.default_rng(8)
+    a = np.unique(rng.integers(0, 1 << 56, 3000).astype(np.uint64))
+    b = np.unique(np.concatenate([a[200:], rng.integers(0, 1 << 56, 9000).astype(np.uint64)]))
+    maps = ngram_join.Maps(pd.Series([ngram_join.whole_parity(s) for s in (a, b, a[:300])]))
+    x, y = np.array([0, 0, 1, 0]), np.array([1, 2, 2, 0])
+    sets = [set(s.tolist()) for s in (a, b, a[:300])]
+    assert all(d <= len(sets[i] ^ sets[j]) for d, i, j in zip(maps.apart(x, y).tolist(), x, y))
+    assert maps.apart(x, y)[3] == 0 and ngram_join.folded(ngram_join.whole_parity(a), 8) == ngram_join.parity(a)
+
+
+def test_rows_of_files_are_told_apart_without_a_copy(spark, tmp_path):
+    rows = [(3, "a b c d e f", 1), (None, "a b c d e f", 2), (3, "a b c d e f", 3), (7, None, 4), (7, None, 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, more int").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    marked = corpus_pipeline._marked(spark, docs, "x")
+    assert sorted(marked.inputFiles()) == sorted(docs.inputFiles()) and marked.select("row").distinct().count() == 5
+    assert sorted(r.doc_id for r in corpus_pipeline.exact_copies(spark, docs, "").collect()) == [3, 7]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [3, 7, 7]
