@@ -71,8 +71,10 @@ def _spread(df: DataFrame, keys: Sequence[str], blocks, name: str) -> DataFrame:
 def nearest(queries: DataFrame, library: DataFrame, k: int = 1, keys: Sequence[str] = (), identity: str = "id", features: str = "f", label: str | None = "y", exclude_self: bool = False) -> DataFrame:
     """The k nearest library rows of each query, class and key: query_id, keys, y, library_id, d, nth."""
     keys = list(keys)
-    q = queries.select(F.col(identity).alias("query_id"), *keys, F.col(features).alias("qf"))
-    b = library.select(F.col(identity).alias("library_id"), *[F.col(k).alias(k) for k in keys], F.col(features).alias("bf"), (F.col(label) if label else F.lit(True)).alias("y"))
+    kind = queries.select(*keys).union(library.select(*keys)).schema if keys else {}
+    # Both sides' keys have one type: cogrouped rows are dealt by the hash of their own, and 1 as int isn't where 1 as long is.
+    q = queries.select(F.col(identity).alias("query_id"), *[F.col(k).cast(kind[k].dataType).alias(k) for k in keys], F.col(features).alias("qf"))
+    b = library.select(F.col(identity).alias("library_id"), *[F.col(k).cast(kind[k].dataType).alias(k) for k in keys], F.col(features).alias("bf"), (F.col(label) if label else F.lit(True)).alias("y"))
     (q, of_q), (b, of_b) = _blocks(q, keys, QUERIES, "query_id", "qb"), _blocks(b, keys, ROWS, "library_id", "bb")
     q, b = _spread(q, keys, of_b, "bb").select(*keys, "qb", "bb", "query_id", "qf"), _spread(b, keys, of_q, "qb").select(*keys, "qb", "bb", "library_id", "bf", "y")
     cell = [*keys, "qb", "bb"]

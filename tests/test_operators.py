@@ -256,3 +256,16 @@ def test_stream_counts_match_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("counts").agg(F.sum(F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))).first()[0] == 100
+
+
+def test_nearest_meets_keys_of_different_types(spark):
+    """A key that is an int on one side and a long on the other is one key, however many partitions there are."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        q = frame(spark, "id long, f array<double>, key int", *[(i, [float(i)], i) for i in range(20)])
+        lib = frame(spark, "id long, f array<double>, key long", *[(i, [i + 0.5], i) for i in range(20)])
+        got = neighbours.kth_distances(q, lib, [1], ["key"]).collect()
+        assert [(r.query_id, r.distance) for r in sorted(got, key=lambda r: r.query_id)] == [(i, 0.5) for i in range(20)]
+    finally:
+        spark.conf.unset(name)
