@@ -129,9 +129,10 @@ def paired_bootstrap(units: DataFrame, draws: DataFrame, first: str, second: str
 
     units: one row a unit, numbered from 0 within its family. draws: (replicate, family, pos), the same draws for both sides. A
     replicate's value is the mean over families of its mean difference; only one row for each replicate is ever aggregated globally.
+    Draws are many more than any estimate of what makes them says, so both sides of their join are sorted, and neither is broadcast.
     """
     diff = units.select(family, position, (F.col(first) - F.col(second)).alias("d"))
-    by_family = draws.join(diff, [family, position]).groupBy("replicate", family).agg(F.avg("d").alias("d"))
+    by_family = draws.hint("merge").join(diff, [family, position]).groupBy("replicate", family).agg(F.avg("d").alias("d"))
     replicates = by_family.groupBy("replicate").agg(F.avg("d").alias("d"))
     lo, hi = (F.percentile("d", F.lit(p)) for p in levels)
     interval = replicates.agg(lo.alias("ci_lower"), hi.alias("ci_upper"), F.count("d").alias("replicates"))

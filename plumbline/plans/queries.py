@@ -213,7 +213,8 @@ def bootstrap_draws(spark, d):
     """Every unit with its place in its family, and for each replicate as many places as the family has."""
     units = scored(spark, d).groupBy("family", "g").agg(F.avg("s").alias("a"), F.avg(F.when(F.col("ok"), F.col("s"))).alias("b"))
     units = ranked(units, ["family"], [F.col("g")], "pos").drop("pos_all").withColumn("pos", F.col("pos") - 1)
-    draws = units.groupBy("family").agg(F.count(F.lit(1)).alias("n")).crossJoin(spark.range(200).select(F.col("id").alias("replicate")))
+    sizes = units.groupBy("family").agg(F.count(F.lit(1)).alias("n"))  # a row a family
+    draws = spark.range(200).select(F.col("id").alias("replicate")).crossJoin(F.broadcast(sizes))
     draws = draws.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     return units, draws.select("replicate", "family", F.expr(f"cast({MIX} % n AS int)").alias("pos"))
 

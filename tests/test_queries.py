@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -57,6 +58,26 @@ def test_bootstrap_draws_reach_every_unit(spark):
     assert row.ci_lower < row.ci_upper
 
 
+def test_bootstrap_draws_are_never_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.operators import metrics
+
+    units = spark.range(1 << 21).selectExpr("id % 8 AS family", "id div 8 AS pos", "1.0D AS a", "0.0D AS b")
+    draws = spark.range(200).selectExpr("id AS replicate").crossJoin(spark.range(8).selectExpr("id AS family"))
+    draws = draws.withColumn("pos", F.explode(F.expr("sequence(0L, (1L << 18) - 1)")))  # 400 million rows, by estimate a few
+    lines = metrics.paired_bootstrap(units, draws, "a", "b")._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(re.match(r"[\s:+-]*", x).group()) for x in lines]
+    made = [i for i, x in enumerate(lines) if "Generate explode" in x]
+    assert made
+    for i in made:  # what stands above: the last shallower line, and so on
+        above, at = [], depth[i]
+        for j in range(i - 1, -1, -1):
+            if depth[j] < at:
+                above, at = [*above, lines[j]], depth[j]
+        assert not any("BroadcastExchange" in x for x in above)
+
+
 def test_every_family_is_left_out(spark):
     rows = catalog.QUERIES["leave_one_family_out"](spark, DATA).select("query_id", "fold").distinct().collect()
     ids = [r.vec_id for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").collect()]
