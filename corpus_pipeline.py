@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,13 +55,40 @@ def _marked(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
     return placed.join(F.broadcast(numbered), "file").withColumn("row", F.shiftleft("number", 40) + F.col("place")).drop("number", "file", "place")
 
 
+#: Rows of a bitmap; MB of all bitmaps that are broadcast at the most, a bit for each of 268 million rows.
+MARKS, MARKS_MB = 1 << 16, 32
+
+
+def _bitmaps(keep: DataFrame) -> DataFrame:
+    """(block, bits): the numbers in ``row``, as bitmaps of MARKS rows that end with their last one."""
+
+    def marks(pdf):
+        row = pdf["row"].to_numpy()
+        bits = np.zeros(MARKS, bool)
+        bits[row % MARKS] = True
+        words = np.packbits(bits, bitorder="little").view("<i8")
+        return pd.DataFrame({"block": [row[0] // MARKS], "bits": [words[: row.max() % MARKS // 64 + 1]]})
+
+    return keep.groupBy(F.shiftright("row", MARKS.bit_length() - 1)).applyInPandas(marks, "block long, bits array<long>")
+
+
+def _only(rows: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows whose number is in keep. Bitmaps of the numbers go to the rows, so that texts aren't dealt anew; more than MARKS_MB of them don't."""
+    bitmaps = Scratch(rows.sparkSession, "marks").write(_bitmaps(keep), "bitmaps")
+    if (bitmaps.agg(F.sum(F.size("bits") + 4)).first()[0] or 0) * 8 > MARKS_MB << 20:
+        return rows.join(keep.hint("merge"), "row", "left_semi")
+    place = F.col("row") - F.shiftleft("block", MARKS.bit_length() - 1)
+    marked = rows.join(F.broadcast(bitmaps), F.shiftright("row", MARKS.bit_length() - 1) == F.col("block"))
+    return marked.filter(F.getbit(F.get("bits", F.floor(place / 64).cast("int")), (place % 64).cast("int")) == 1).drop("block", "bits")
+
+
 def _smallest(rows: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
     """Of each group the row with the smallest id, of equal ids the first; null ids come last. What groups reads in scratch goes."""
     named = rows.select("row", "doc_id").join(groups, "row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     keep = Scratch(rows.sparkSession, "keep").write(named.groupBy("group").agg(first.alias("s")).select(F.col("s.row").alias("row")), "rows")
     scratch.drop()
-    return rows.join(keep, "row", "left_semi")
+    return _only(rows, keep)
 
 
 @_aside

@@ -859,3 +859,25 @@ def test_rows_of_files_are_told_apart_without_a_copy(spark, tmp_path):
     assert sorted(marked.inputFiles()) == sorted(docs.inputFiles()) and marked.select("row").distinct().count() == 5
     assert sorted(r.doc_id for r in corpus_pipeline.exact_copies(spark, docs, "").collect()) == [3, 7]
     assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [3, 7, 7]
+
+
+def test_kept_rows_are_found_without_dealing_texts(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, f"text {i // 2} of several words in a row", "en") for i in range(300)], "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for stage in (corpus_pipeline.exact_copies, corpus_pipeline.near_copies):
+            out = stage(spark, spark.read.parquet(f"{tmp_path}/docs"), "")
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+            assert sorted(r.doc_id for r in out.collect()) == list(range(0, 300, 2))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    rng = np.random.default_rng(1)
+    numbers = np.unique(np.r_[0, 63, 64, 65_535, 65_536, 3 << 40, rng.integers(0, 1 << 18, 3000), (1 << 40) + rng.integers(0, 1 << 12, 3000), (1 << 62) + rng.integers(0, 99, 50)]).tolist()
+    kept = sorted(random.Random(2).sample(numbers, len(numbers) // 2))
+    rows, keep = (spark.createDataFrame([(x,) for x in n], "row long") for n in (numbers, kept))
+    assert sorted(r.row for r in corpus_pipeline._only(rows, keep).collect()) == kept
+    assert corpus_pipeline._only(rows, keep.filter("row < 0")).count() == 0
+    monkeypatch.setattr(corpus_pipeline, "MARKS_MB", 0)
+    assert sorted(r.row for r in corpus_pipeline._only(rows, keep).collect()) == kept
