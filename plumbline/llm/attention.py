@@ -2,8 +2,8 @@
 
 A text is a sequence of types of subword ids between closing ones. A window has ``2 * SPAN`` inputs: the first half is context
 only (that of the window before), each input of the second half has its follower as target, so windows overlap by half and every token is
-scored once, past a text's first window after ``SPAN`` tokens of context or more. In a window ``QUERIES`` places look back, one every
-``STEP`` targets: masked attention over all inputs up to the place, all windows of a batch at once, then a hidden layer. They give a value u for each class of types.
+scored once, past a text's first window after ``SPAN`` tokens of context or more. Each target has a query of its own (``STEP`` is 1) that looks back over all
+inputs up to the target: masked attention, all windows of a batch at once, then a hidden layer. It gives a value u for each class of types.
 
 The probability of a target's class is in proportion to the corpus's frequency of the class after the target's own last type (``prior``) times a positive
 link of u (near exp(u)), normalised exactly. So the last type enters each target directly, and what stands before it
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 
-WIDTH, HIDDEN, SPAN, STEP, CLASSES = 16, 32, 32, 8, 128
+WIDTH, HIDDEN, SPAN, STEP, CLASSES = 16, 32, 32, 1, 128
 QUERIES, BATCH = SPAN // STEP, 128
 #: The link is (1 + u / 2**POWER) ** 2**POWER, close to exp(u) and far cheaper; below FLOOR the base is held.
 POWER, FLOOR = 3, 0.05
@@ -75,7 +75,7 @@ def probabilities(x: np.ndarray, y: np.ndarray, kind: np.ndarray, prior: np.ndar
     before, real = np.maximum(x[:, SPAN:], 0).reshape(shape), (y >= 0).reshape(shape)
     target = kind.take(np.maximum(y, 0)).reshape(shape)
     rows, classes = prior.take(before, 0), prior.shape[1]
-    total = (rows @ link[..., None])[..., 0]
+    total = (rows * link[..., None, :]).sum(3) if STEP == 1 else (rows @ link[..., None])[..., 0]
     weight = prior.ravel().take(before * classes + target) * link.ravel().take(np.arange(len(x) * QUERIES).reshape(-1, QUERIES, 1) * classes + target)
     return real, target, rows, weight, total
 
@@ -87,9 +87,9 @@ def gradient(p: dict, x: np.ndarray, y: np.ndarray, kind: np.ndarray, prior: np.
     real, target, rows, weight, total = probabilities(x, y, kind, prior, link)
     n = max(1, int(real.sum()))
     loss = float(-np.log(np.maximum(weight / total, 1e-30))[real].sum() / n)
-    z = ((real / total).astype(link.dtype)[..., None, :] @ rows)[..., 0, :] * link
+    z = ((real / total).astype(link.dtype)[..., None, :] @ rows)[..., 0, :] * link if STEP > 1 else (real / total).astype(link.dtype) * rows[..., 0, :] * link
     spot = (np.arange(z.shape[0] * QUERIES)[:, None] * classes + target.reshape(-1, STEP))[real.reshape(-1, STEP)]
-    z -= np.bincount(spot, minlength=z.size).reshape(z.shape).astype(link.dtype)
+    np.subtract.at(z.reshape(-1), spot, np.float32(1))
     z *= (base > FLOOR) / base / np.float32(n)  # of the link's logarithm
     flat = lambda t: t.reshape(-1, t.shape[-1])
     g = {"out": flat(z).T @ flat(h2)}
@@ -104,13 +104,13 @@ def gradient(p: dict, x: np.ndarray, y: np.ndarray, kind: np.ndarray, prior: np.
     da = a * (da - (da * a).sum(2, keepdims=True))
     g["place"] = da.sum(0)
     da *= WIDTH**-0.5
-    # Keys and values belong to classes: weights are added up by class first, so only sums of a query meet vectors.
-    by_class = (np.arange(a.shape[0] * QUERIES).reshape(-1, QUERIES, 1) * classes + c[:, None]).ravel()
-    gather = lambda t: np.bincount(by_class, t.ravel(), a.shape[0] * QUERIES * classes).reshape(-1, classes).astype(t.dtype)
-    g["key"], g["value"] = gather(da).T @ flat(q), gather(a).T @ flat(do)
-    one = np.zeros((last.size, classes), link.dtype)
-    one[np.arange(last.size), last.ravel()] = 1
-    g["query"], g["last"] = one.T @ flat(da @ k), one.T @ flat(d1)
+    # Keys and values belong to inputs, and inputs to classes.
+    one = np.zeros((c.size, classes), link.dtype)
+    one[np.arange(c.size), c.ravel()] = 1
+    inputs = np.concatenate([da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], 2)
+    g["key"], g["value"] = np.split(one.T @ flat(inputs), 2, axis=1)
+    one = flat(one.reshape(*c.shape, classes)[:, SPAN::STEP])
+    g["query"], g["last"] = np.split(one.T @ flat(np.concatenate([da @ k, d1], 2)), 2, axis=1)
     return loss, g
 
 

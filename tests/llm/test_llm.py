@@ -576,6 +576,18 @@ def test_attention_is_causal_scores_once_and_sums_to_one():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_every_target_sees_every_input_before_it():
+    x = np.random.default_rng(4).integers(1, 40, (1, 2 * attention.SPAN))
+    p, kind, _ = small_model()
+    link, _ = attention.forward(p, kind.take(x), x >= 0)
+    assert link.shape[1] == attention.SPAN  # a query a target
+    for place in range(2 * attention.SPAN):
+        other = x.copy()
+        other[0, place] = next(t for t in range(1, 40) if kind[t] != kind[x[0, place]])
+        changed = (attention.forward(p, kind.take(other), other >= 0)[0] != link).any(2)[0]
+        assert changed.tolist() == [i + attention.SPAN >= place for i in range(attention.SPAN)]
+
+
 def test_later_windows_score_after_half_a_window():
     counts = np.array([100, 33, 500])
     x, y, owner = attention.windows(np.ones(counts.sum(), np.int64), counts, 0)
