@@ -18,6 +18,10 @@ WIDTH, HIDDEN, SPAN, STEP, CLASSES = 16, 32, 32, 1, 128
 QUERIES, BATCH = SPAN // STEP, 128
 #: The link is (1 + u / 2**POWER) ** 2**POWER, close to exp(u) and far cheaper; below FLOOR the base is held.
 POWER, FLOOR = 3, 0.05
+#: Windows whose arrays are worked on together: few enough for the cache, enough to make good the calls.
+FEW = 22
+#: The exponents of attention are held at HIGH. Links at FLOOR have a share of a sum below 1e-9 / LEAST, unless the sum is below LEAST.
+HIGH, LEAST = 60, 0.1
 #: Inputs that each query may see.
 _SEEN = np.arange(2 * SPAN)[None] <= SPAN + STEP * np.arange(QUERIES)[:, None]
 
@@ -44,74 +48,137 @@ def windows(types: np.ndarray, counts: np.ndarray, closing: int) -> tuple[np.nda
     return rows[:, :-1], rows[:, SPAN + 1 :], text
 
 
-def forward(p: dict, c: np.ndarray, live: np.ndarray):
-    """The links (windows, QUERIES, classes) from the classes of inputs, and what the gradient needs. Windows don't touch each other."""
-    last = np.ascontiguousarray(c[:, SPAN::STEP])
-    q, k, v, e = p["query"].take(last, 0), p["key"].take(c, 0), p["value"].take(c, 0), p["last"].take(last, 0)
-    a = q @ k.transpose(0, 2, 1)
-    a *= WIDTH**-0.5
-    a += p["place"]
-    np.clip(a, -60, 60, out=a)
-    np.exp(a, out=a)
-    a *= _SEEN & live[:, None]
-    a /= a.sum(2, keepdims=True) + 1e-30
-    o = a @ v
-    h1 = e + o @ p["mix"]
-    u = np.maximum(h1 @ p["up"], 0)
-    h2 = h1 + u @ p["down"]
-    base = h2 @ np.ascontiguousarray(p["out"].T)
-    base *= 2.0**-POWER
+class _Tables:
+    """Weights as the steps below take them, for n windows at a time. A last row is that of no input: it weighs nothing."""
+
+    def __init__(self, p: dict, n: int):
+        classes, kind = p["out"].shape[0], p["out"].dtype
+        none = np.zeros((1, WIDTH), kind)
+        self.p, self.classes = p, classes
+        self.query = np.concatenate([p["query"] * kind.type(WIDTH**-0.5), none])
+        self.key, self.last = np.concatenate([p["key"], none]), np.concatenate([p["last"], none])
+        # A last column of values adds up the weights.
+        self.value = np.ones((classes + 1, WIDTH + 1), kind)
+        self.value[:-1, :-1], self.value[-1] = p["value"], 0
+        self.mix = np.concatenate([p["mix"], none])
+        self.place = p["place"].T.copy()
+        self.held = np.abs(self.place).max() + np.sqrt(np.square(self.query).sum(1).max() * np.square(self.key).sum(1).max()) > HIGH
+        if not self.held:
+            self.place = np.exp(self.place)
+            self.place *= _SEEN.T
+        self.out = np.multiply(p["out"].T, kind.type(2.0**-POWER), order="C")
+        self.nil, self.floor = np.zeros((n * QUERIES, HIDDEN), kind), np.full((n * QUERIES, classes), FLOOR, kind)
+        self.one = np.ones(classes, kind)
+
+
+def _links(t: _Tables, c: np.ndarray):
+    """The links (targets, classes) of windows with inputs of classes c (t.classes: no input), and what the gradient needs."""
+    p, last = t.p, c[:, SPAN::STEP]
+    q, k, v = t.query.take(last, 0), t.key.take(c, 0), t.value.take(c, 0)
+    a = k @ np.ascontiguousarray(q.transpose(0, 2, 1))  # inputs by queries
+    if t.held:
+        a += t.place
+        np.exp(np.clip(a, -HIGH, HIGH), out=a)
+        a *= _SEEN.T
+    else:
+        np.exp(a, out=a)
+        a *= t.place
+    o = (a.transpose(0, 2, 1) @ v).reshape(-1, WIDTH + 1)
+    share = 1 / (o[:, WIDTH:] + 1e-30)
+    o *= share
+    h1 = t.last.take(last.ravel(), 0)
+    h1 += o @ t.mix
+    u = h1 @ p["up"]
+    np.maximum(u, t.nil[: len(u)], out=u)
+    h2 = u @ p["down"]
+    h2 += h1
+    base = h2 @ t.out
     base += 1
-    np.maximum(base, FLOOR, out=base)
+    np.maximum(base, t.floor[: len(base)], out=base)
     link = base * base
     for _ in range(POWER - 1):
         link *= link
-    return link, (last, q, k, v, a, o, h1, u, h2, base)
+    return link, (q, k, v, a, share, o, h1, u, h2, base)
+
+
+def forward(p: dict, c: np.ndarray, live: np.ndarray):
+    """The links (windows, QUERIES, classes) from the classes of inputs, and what the gradient needs. Windows don't touch each other."""
+    link, rest = _links(_Tables(p, len(c)), np.where(live, c, len(p["out"])))
+    return link.reshape(-1, QUERIES, link.shape[1]), rest
 
 
-def probabilities(x: np.ndarray, y: np.ndarray, kind: np.ndarray, prior: np.ndarray, link: np.ndarray):
-    """Of each target: whether there is one, its class, its prior row over classes, its weight and the sum of all weights."""
-    shape = (len(x), QUERIES, STEP)
-    before, real = np.maximum(x[:, SPAN:], 0).reshape(shape), (y >= 0).reshape(shape)
-    target = kind.take(np.maximum(y, 0)).reshape(shape)
-    rows, classes = prior.take(before, 0), prior.shape[1]
-    total = (rows * link[..., None, :]).sum(3) if STEP == 1 else (rows @ link[..., None])[..., 0]
-    weight = prior.ravel().take(before * classes + target) * link.ravel().take(np.arange(len(x) * QUERIES).reshape(-1, QUERIES, 1) * classes + target)
-    return real, target, rows, weight, total
+def _inputs(x: np.ndarray, kind: np.ndarray, classes: int) -> np.ndarray:
+    """The classes of inputs; of -1, no input, the one past all classes."""
+    return np.append(kind, classes).take(x, mode="wrap")
 
 
 def gradient(p: dict, x: np.ndarray, y: np.ndarray, kind: np.ndarray, prior: np.ndarray):
-    """Mean loss a target and its gradient. kind: the class of each type; prior: a row over classes for each type."""
-    c, classes = kind.take(np.maximum(x, 0)), len(p["out"])
-    link, (last, q, k, v, a, o, h1, u, h2, base) = forward(p, c, x >= 0)
-    real, target, rows, weight, total = probabilities(x, y, kind, prior, link)
-    n = max(1, int(real.sum()))
-    loss = float(-np.log(np.maximum(weight / total, 1e-30))[real].sum() / n)
-    z = ((real / total).astype(link.dtype)[..., None, :] @ rows)[..., 0, :] * link if STEP > 1 else (real / total).astype(link.dtype) * rows[..., 0, :] * link
-    spot = (np.arange(z.shape[0] * QUERIES)[:, None] * classes + target.reshape(-1, STEP))[real.reshape(-1, STEP)]
-    np.subtract.at(z.reshape(-1), spot, np.float32(1))
-    z *= (base > FLOOR) / base / np.float32(n)  # of the link's logarithm
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    g = {"out": flat(z).T @ flat(h2)}
-    d2 = z @ p["out"]
-    g["down"] = flat(u).T @ flat(d2)
-    du = (d2 @ p["down"].T) * (u > 0)
-    g["up"] = flat(h1).T @ flat(du)
-    d1 = d2 + du @ p["up"].T
-    g["mix"] = flat(o).T @ flat(d1)
-    do = d1 @ p["mix"].T
-    da = do @ v.transpose(0, 2, 1)
-    da = a * (da - (da * a).sum(2, keepdims=True))
-    g["place"] = da.sum(0)
-    da *= WIDTH**-0.5
-    # Keys and values belong to inputs, and inputs to classes.
-    one = np.zeros((c.size, classes), link.dtype)
-    one[np.arange(c.size), c.ravel()] = 1
-    inputs = np.concatenate([da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], 2)
-    g["key"], g["value"] = np.split(one.T @ flat(inputs), 2, axis=1)
-    one = flat(one.reshape(*c.shape, classes)[:, SPAN::STEP])
-    g["query"], g["last"] = np.split(one.T @ flat(np.concatenate([da @ k, d1], 2)), 2, axis=1)
-    return loss, g
+    """Mean loss a target and its gradient, added up over a few windows at a time, so that arrays stay in the cache.
+    kind: the class of each type; prior: a row over classes for each type."""
+    t = _Tables(p, FEW)
+    c, real = _inputs(x, kind, t.classes), (y >= 0).ravel()
+    before, target = np.maximum(x[:, SPAN:], 0).ravel(), kind.take(np.maximum(y, 0).ravel())
+    n, dtype = max(1, int(real.sum())), p["out"].dtype
+    weight, total, one = np.empty(y.size, dtype), np.empty(y.size, dtype), np.ones(max(FEW, WIDTH + 1), dtype)
+    g = {k: np.zeros_like(p[k]) for k in ("out", "down", "up", "mix")}
+    place = np.zeros(2 * SPAN * QUERIES, dtype)
+    # Keys and values belong to inputs, queries and last inputs to targets, both to classes.
+    inputs, targets = (np.empty((len(x), m, 2 * WIDTH), dtype) for m in (2 * SPAN, QUERIES))
+    for lo in range(0, len(x), FEW):
+        some, rows = slice(lo, lo + FEW), slice(lo * QUERIES, (lo + FEW) * QUERIES)
+        z, (q, k, v, a, share, o, h1, u, h2, base) = _links(t, c[some])
+        z *= prior.take(before[rows], 0)
+        sums = np.matmul(z, t.one, out=total[rows])
+        flat, spot = z.reshape(-1), np.arange(0, z.size, t.classes) + target[rows]
+        weight[rows] = flat[spot]
+        # Of the link's logarithm, times total and n, which the rows of the next products make good.
+        z /= base
+        at = base.reshape(-1).take(spot)
+        flat[spot] = weight[rows] / at - sums / at
+        low = np.flatnonzero((at <= FLOOR) | (sums < LEAST))
+        if len(low):
+            z[low] *= base[low] > FLOOR
+        scale = (real[rows] / (sums * n)).astype(dtype)[:, None]
+        h2 *= scale
+        g["out"] += z.T @ h2
+        d2 = z @ p["out"]
+        d2 *= scale
+        g["down"] += u.T @ d2
+        du = d2 @ p["down"].T
+        du *= u > 0
+        g["up"] += h1.T @ du
+        d1 = d2
+        d1 += du @ p["up"].T
+        g["mix"] += (o.T @ d1)[:WIDTH]
+        do = d1 @ t.mix.T
+        do *= share
+        o *= do
+        do[:, WIDTH] -= o @ one[: WIDTH + 1]
+        do = do.reshape(len(q), QUERIES, WIDTH + 1)
+        da = v @ np.ascontiguousarray(do.transpose(0, 2, 1))
+        da *= a
+        place += one[: len(da)] @ da.reshape(len(da), -1)
+        np.matmul(da, q, out=inputs[some, :, :WIDTH])
+        np.matmul(a, do[:, :, :WIDTH], out=inputs[some, :, WIDTH:])
+        np.matmul(da.transpose(0, 2, 1), k, out=targets[some, :, :WIDTH])
+        targets[some, :, WIDTH:] = d1.reshape(q.shape)
+    g["place"] = place.reshape(2 * SPAN, QUERIES).T.copy()
+    g["key"], g["value"] = np.split(_by_class(inputs, c, t.classes), 2, axis=1)
+    g["query"], g["last"] = np.split(_by_class(targets, c[:, SPAN::STEP], t.classes), 2, axis=1)
+    g["query"] *= WIDTH**-0.5
+    return -float(np.log(np.maximum(weight / total, 1e-30))[real].sum() / n), g
+
+
+def _by_class(rows: np.ndarray, c: np.ndarray, classes: int) -> np.ndarray:
+    """The sums of rows by class; those of no input are left out."""
+    rows, c = rows.reshape(-1, rows.shape[-1]), c.ravel()
+    out = np.zeros((classes + 1, rows.shape[1]), rows.dtype)
+    order, count = np.argsort(c.astype(np.uint16), kind="stable"), np.bincount(c, minlength=classes + 1)
+    have = count > 0
+    if have.any():  # two columns are added up as one complex number
+        sums = np.add.reduceat(rows.take(order, 0).view(np.result_type(rows, np.complex64)), (np.cumsum(count) - count)[have], axis=0)
+        out[have] = sums.view(rows.dtype)
+    return out[:-1]
 
 
 class Adam:
@@ -138,10 +205,12 @@ class Adam:
 
 def score(p: dict, x: np.ndarray, y: np.ndarray, kind: np.ndarray, prior: np.ndarray) -> np.ndarray:
     """Natural log probability of the targets' classes, a sum for each window."""
-    out = np.zeros(len(x))
-    for lo in range(0, len(x), BATCH):
-        w = slice(lo, lo + BATCH)
-        link, _ = forward(p, kind.take(np.maximum(x[w], 0)), x[w] >= 0)
-        real, _, _, weight, total = probabilities(x[w], y[w], kind, prior, link)
-        out[w] = np.where(real, np.log(weight / total), 0).sum((1, 2), dtype=np.float64)
+    t, out = _Tables(p, FEW), np.zeros(len(x))
+    for lo in range(0, len(x), FEW):
+        w = slice(lo, lo + FEW)
+        link, _ = _links(t, _inputs(x[w], kind, t.classes))
+        before, target = np.maximum(x[w, SPAN:], 0).ravel(), kind.take(np.maximum(y[w], 0).ravel())
+        rows, spot = prior.take(before, 0), np.arange(0, link.size, t.classes) + target
+        weight = rows.reshape(-1)[spot] * link.reshape(-1)[spot]
+        out[w] = np.where(y[w] >= 0, np.log(weight / np.vecdot(rows, link)).reshape(-1, QUERIES), 0).sum(1, dtype=np.float64)
     return out

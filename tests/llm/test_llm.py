@@ -626,6 +626,69 @@ def test_attention_gradient():
         assert (a - b) / 2e-5 == pytest.approx(g[name][i], rel=1e-3)
 
 
+def plain_logs(p, x, y, kind, prior):
+    """Log probabilities of the targets' classes, one target after the other."""
+    out = np.zeros(y.shape)
+    for w, i in zip(*np.nonzero(y >= 0)):
+        seen = [j for j in range(attention.SPAN + i + 1) if x[w, j] >= 0]
+        c, last = kind[x[w, seen]], kind[x[w, attention.SPAN + i]]
+        a = np.exp(np.clip(p["key"][c] @ p["query"][last] / attention.WIDTH**0.5 + p["place"][i, seen], -60, 60))
+        h = p["last"][last] + a / (a.sum() + 1e-30) @ p["value"][c] @ p["mix"]
+        h = h + np.maximum(h @ p["up"], 0) @ p["down"]
+        share = prior[x[w, attention.SPAN + i]] * np.maximum(1 + p["out"] @ h / 8, attention.FLOOR) ** 8
+        out[w, i] = np.log(share[kind[y[w, i]]] / share.sum())
+    return out
+
+
+def test_attention_is_that_of_one_target_after_the_other():
+    rng = np.random.default_rng(6)
+    counts = np.array([0, 5, 31, 32, 33, 700, 90])
+    x, y, _ = attention.windows(rng.integers(0, 40, counts.sum()), counts, 0)
+    p, kind, prior = small_model(types=60)
+    prior = prior.astype(float)
+    for times in (1, 4, 40):  # of 4 some links are held, of 40 some exponents are, too
+        q = {k: v.astype(float) * times for k, v in p.items()}
+        logs = plain_logs(q, x, y, kind, prior)
+        assert np.allclose(attention.score(q, x, y, kind, prior), logs.sum(1), rtol=1e-9)
+        assert attention.gradient(q, x, y, kind, prior)[0] == pytest.approx(-np.maximum(logs, np.log(1e-30)).sum() / (y >= 0).sum(), rel=1e-9)
+
+
+def test_attention_gradient_of_held_links_and_parts():
+    rng = np.random.default_rng(1)
+    p, kind, prior = small_model(types=60)
+    counts = np.array([900, 20, 0, 40])
+    x, y, _ = attention.windows(rng.integers(0, 40, counts.sum()), counts, 0)
+    p, prior = {k: v.astype(float) * 4 for k, v in p.items()}, prior.astype(float)
+    whole = attention.gradient(p, x, y, kind, prior)[1]
+    real = (y >= 0).sum(1)
+    for name in p:
+        parts = sum(attention.gradient(p, x[i : i + 1], y[i : i + 1], kind, prior)[1][name] * real[i] for i in range(len(x)))
+        assert np.allclose(whole[name], parts / real.sum(), atol=1e-9 * np.abs(whole[name]).max())
+        i = np.unravel_index(np.abs(whole[name]).argmax(), whole[name].shape)
+        p[name][i] += 1e-6
+        a = attention.gradient(p, x, y, kind, prior)[0]
+        p[name][i] -= 2e-6
+        b = attention.gradient(p, x, y, kind, prior)[0]
+        p[name][i] += 1e-6
+        assert (a - b) / 2e-6 == pytest.approx(whole[name][i], rel=1e-3)
+
+
+def test_attention_works_on_few_windows_at_a_time():
+    import tracemalloc
+
+    x = np.random.default_rng(2).integers(0, 40, (attention.BATCH, 2 * attention.SPAN + 1))
+    p, kind, prior = small_model()
+    args = p, x[:, :-1], x[:, attention.SPAN + 1 :], kind, prior
+    peak = []
+    for step in (attention.gradient, attention.score):
+        step(*args)
+        tracemalloc.start()
+        step(*args)
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peak[0] < 8 << 20 and peak[1] < 5 << 20  # 21 and 12 MiB where a whole batch is worked on at once
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     got = lm_score.op7_lm_score(spark, "/root/testdata/sf0.01").toPandas()
     held = got[got["held_out"]]
